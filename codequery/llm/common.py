@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +65,23 @@ def by_block(docs: DataFrame, n_blocks: int, doc_id: str = "doc_id", text: str =
     block = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_blocks)).cast("int")
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     return docs.select(block.alias("block"), F.col(doc_id).cast("long").alias("doc_id"), data.alias("data"))
+
+
+def on_table(f, *first):
+    """f(*first, table) -> table, hinted as applyInArrow wants it."""
+
+    def call(rows):
+        return f(*first, rows)
+
+    call.__annotations__ = {"rows": pa.Table, "return": pa.Table}
+    return call
+
+
+def on_tables(f, *first):
+    """The same for a pair of cogrouped tables."""
+
+    def call(left, right):
+        return f(*first, left, right)
+
+    call.__annotations__ = {"left": pa.Table, "right": pa.Table, "return": pa.Table}
+    return call

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+from . import op2_embedding_near_dedup as op2
+from . import op4_quality_classifier as op4
+from . import op5_lm_scoring as op5
+from . import op7_language_id as op7
 from . import op8_simhash_near_dedup as op8
+from . import op10_best_fit_packing as op10
 
 
 def queries() -> dict:
-    return {"op8_simhash_near_dedup": op8.op8_simhash_near_dedup}
+    found = (
+        op2.op2_embedding_near_dedup,
+        op4.op4_quality_classifier,
+        op5.op5_lm_scoring,
+        op7.op7_language_id,
+        op8.op8_simhash_near_dedup,
+        op10.op10_best_fit_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
