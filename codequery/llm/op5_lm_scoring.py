@@ -136,7 +136,7 @@ def _summed(rows: pa.Table) -> pa.Table:
         if keys == "words":
             n, v = int(total.sum()), int((total > 0).sum())
         ends = np.cumsum([len(e) for e in each])
-        back.append([x.astype("<u4").tobytes() for x in np.split(total[inverse], ends[:-1])])
+        back.append([zlib.compress(x.astype("<u4").tobytes(), 1) for x in np.split(total[inverse], ends[:-1])])
     first = [1] + [0] * (rows.num_rows - 1)
     return pa.table([rows["part"].combine_chunks(), rows["block"].combine_chunks(), *(pa.array(x, pa.binary()) for x in back), pa.array([n * f for f in first], pa.int64()), pa.array([v * f for f in first], pa.int64())], names=["part", "block", "word_totals", "pair_totals", "n", "v"])
 
@@ -148,7 +148,7 @@ def _scored(n: int, v: int, mu: float, rows: pa.Table, model: pa.Table) -> pa.Ta
     if not rows.num_rows:
         return pa.table({f.split()[0]: pa.array([], {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[f.split()[1]]) for f in SCORED.split(", ")})
     block, model = Block(rows), model.sort_by("part")
-    words, pairs = (np.frombuffer(b"".join(model[c].to_pylist()), "<u4").astype(np.float64) for c in ("word_totals", "pair_totals"))
+    words, pairs = (np.frombuffer(b"".join(map(zlib.decompress, model[c].to_pylist())), "<u4").astype(np.float64) for c in ("word_totals", "pair_totals"))
     p = (words + ADD) / (n + ADD * (v + 1))
     history = words.copy()
     history[block.start] = words[block.end]  # each document starts once and ends once
