@@ -27,7 +27,7 @@ from .common import blocks_for, by_block, checkpoint, on_table, on_tables, relea
 FOLDS, HELD = 10, 0
 ADD = 0.1
 MU = 200.0
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 END, START = b" ", b"  "
 
 

@@ -7,6 +7,7 @@ from . import op4_quality_classifier as op4
 from . import op5_lm_scoring as op5
 from . import op7_language_id as op7
 from . import op8_simhash_near_dedup as op8
+from . import op9_media_columns as op9
 from . import op10_best_fit_packing as op10
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         op5.op5_lm_scoring,
         op7.op7_language_id,
         op8.op8_simhash_near_dedup,
+        op9.op9_media_columns,
         op10.op10_best_fit_packing,
     )
     return {f.__name__: f for f in found}
