@@ -292,7 +292,7 @@ def parse(file: bytes) -> Picture:
     if file[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     picture, at, tables, restart = Picture(), 2, {}, 0
-    while at + 4 <= len(file):
+    while at + 2 <= len(file):
         if file[at] != 0xFF:
             raise ValueError("marker expected")
         marker = file[at + 1]
@@ -301,6 +301,8 @@ def parse(file: bytes) -> Picture:
             continue
         if marker == 0xD9:
             break
+        if at + 4 > len(file):
+            raise ValueError("no end of image")
         size = struct.unpack_from(">H", file, at + 2)[0]
         body, at = file[at + 4 : at + 2 + size], at + 2 + size
         if marker == 0xFE:

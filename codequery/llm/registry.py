@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import op2_embedding_near_dedup as op2
+from . import op3_byte_bpe as op3
 from . import op4_quality_classifier as op4
 from . import op5_lm_scoring as op5
 from . import op7_language_id as op7
@@ -14,6 +15,7 @@ from . import op10_best_fit_packing as op10
 def queries() -> dict:
     found = (
         op2.op2_embedding_near_dedup,
+        op3.op3_byte_bpe,
         op4.op4_quality_classifier,
         op5.op5_lm_scoring,
         op7.op7_language_id,
