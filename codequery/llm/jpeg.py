@@ -386,7 +386,7 @@ class _Bits:
         return self.window[p >> 3] << (p & 7).astype(np.uint64)
 
     def check(self) -> None:
-        if (self.at > self.end - 64 + 7).any():
+        if (self.at > self.end - 64).any():
             raise ValueError("entropy-coded data end too early")
 
 

@@ -25,12 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_for, by_block, on_table, on_tables, table, text_bytes
+from .common import blocks_for, on_table, on_tables, packed_by_block, table, text_bytes, unpacked
 
 BLOCK_BYTES = 24 << 20
 #: Words of more bytes are merged with a heap where their document is: a fold takes as many steps as bytes.
 LONG_WORD = 48
 SLOTS = 1 << 16
+NEVER = 2**31 - 1
 
 
 @lru_cache(maxsize=2)
@@ -89,25 +90,39 @@ def _let(value: Column, body) -> Column:
 
 def encoded(word: Column, ranks: dict[bytes, int]) -> Column:
     """array<int>: the ids of a word (string of at most LONG_WORD bytes or so)."""
-    slots = _rank_map(ranks)
+    slots, none = _rank_map(ranks), F.array().cast("array<int>")
 
     def rank(piece: Column) -> Column:
         return F.try_element_at(F.get(slots, (F.crc32(piece.cast("binary")) % SLOTS).cast("int")), piece)
 
-    def step(pieces: Column, _: Column) -> Column:
-        # the lowest (rank, place) of all neighbouring pairs; none: nothing changes any more
-        pairs = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p, i: F.struct(F.coalesce(rank(F.concat(F.get(pieces, i), p)), F.lit(2**31 - 1)).alias("rank"), i.alias("i")))
+    def rank_or(piece: Column) -> Column:
+        return F.coalesce(rank(piece), F.lit(NEVER))
 
-        def merge(best: Column) -> Column:
-            i = best["i"]
-            joined = F.concat(F.slice(pieces, 1, i), F.array(F.concat(F.get(pieces, i), F.get(pieces, i + 1))), F.slice(pieces, i + 3, F.size(pieces)))
-            return F.when(best["rank"].isNull() | (best["rank"] == 2**31 - 1), pieces).otherwise(joined)
+    def merge(acc: Column, i: Column) -> Column:
+        """acc with pieces i and i + 1 joined; only the ranks of the pairs beside them change."""
+        p, r = acc["p"], acc["r"]
 
-        return _let(F.array_min(pairs), merge)
+        def around(joined: Column) -> Column:
+            left = F.when(i > 0, F.array(rank_or(F.concat(F.get(p, i - 1), joined)))).otherwise(none)
+            right = F.when(i + 2 < F.size(p), F.array(rank_or(F.concat(joined, F.get(p, i + 2))))).otherwise(none)
+            pieces = F.concat(F.slice(p, 1, i), F.array(joined), F.slice(p, i + 3, F.size(p)))
+            pairs = F.concat(F.slice(r, 1, F.greatest(i - 1, F.lit(0))), left, right, F.slice(r, i + 3, F.size(r)))
+            return F.struct(pieces.alias("p"), pairs.alias("r"))
+
+        return _let(F.concat(F.get(p, i), F.get(p, i + 1)), around)
+
+    def step(acc: Column, _: Column) -> Column:
+        lowest = F.coalesce(F.array_min(acc["r"]), F.lit(NEVER))
+        return _let(lowest, lambda best: F.when(best == NEVER, acc).otherwise(_let((F.array_position(acc["r"], best) - 1).cast("int"), lambda i: merge(acc, i))))
 
     def fold(chars: Column) -> Column:
-        done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(chars) - 1, F.lit(1))), F.split(chars, ""), step)
-        return F.transform(done, rank)
+        def start(p: Column) -> Column:
+            pairs = F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, i: rank_or(F.concat(F.get(p, i), x)))
+            return F.struct(p.alias("p"), pairs.alias("r"))
+
+        steps = F.sequence(F.lit(1), F.greatest(F.length(chars) - 1, F.lit(1)))
+        done = F.aggregate(steps, _let(F.split(chars, ""), start), step)
+        return F.transform(done["p"], rank)
 
     def whole(chars: Column) -> Column:
         return _let(rank(chars), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold(chars)))
@@ -124,24 +139,45 @@ def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.aggregate(ids, F.lit(b""), lambda all_, i: F.concat(all_, F.get(literal, i)))
 
 
-def _words(rows: pa.Table) -> tuple[list[list[str]], list[str]]:
-    """Each document's words; the block's distinct ones that are not long, by hash."""
-    find = pattern().findall
-    each = [find(x.decode()) for x in rows["data"].to_pylist()]
-    distinct = {w for ws in each for w in ws}
-    short = [w for w in distinct if len(w) <= LONG_WORD and len(w.encode()) <= LONG_WORD]
-    keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in short), np.uint64, len(short))
-    return each, [short[i] for i in np.lexsort((np.arange(len(short)), keys))]
+def _splits(chunk: str) -> bool:
+    """Whether a text between single spaces is matched on its own: the pattern joins spaces only to what follows."""
+    return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
 
 
-def _ranges(words: list[str], n: int) -> np.ndarray:
-    keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+class Words:
+    """A block's texts as chunks between spaces; a text with other white space beside a space is one chunk."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.doc_id, self.data = rows["doc_id"].to_pylist(), rows["data"]
+        plain, self.whole = set(), set()
+        for x in self.data:
+            text = x.as_py().decode()
+            plain.update(text.split(" ")[1:])
+        self.odd = {c for c in plain if not _splits(c)}
+        self.chunks = {" " + c for c in plain - self.odd}
+        del plain
+        for x in self.data:
+            self.chunks.update(self.split(x.as_py().decode())[:1])
+        found = {w for c in self.chunks for w in pattern().findall(c)}
+        # in an order of their hashes, which is the order of the ranges that they are sent to
+        self.words = sorted((w for w in found if not _long(w)), key=lambda w: (xxhash.xxh64_intdigest(w), w))
+
+    def split(self, text: str) -> list[str]:
+        """The first chunk bare, the rest without the space before them; [text] if it has to stay whole."""
+        chunks = text.split(" ")
+        if len(chunks) > 1 and (not _splits(chunks[0]) or (self.odd and not self.odd.isdisjoint(chunks[1:]))):
+            return [text]
+        return chunks
+
+
+def _long(word: str) -> bool:
+    return len(word) > LONG_WORD or len(word.encode()) > LONG_WORD
 
 
 def _sent(n: int, rows: pa.Table) -> pa.Table:
-    _, words = _words(rows)
-    at = _ranges(words, n)
+    words = Words(unpacked(rows)).words
+    keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    at = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
     parts = [k for k in range(n) if at[k + 1] > at[k]]
     return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array([rows["block"][0].as_py()] * len(parts), pa.int32()), "words": pa.array([words[at[k] : at[k + 1]] for k in parts], pa.list_(pa.string()))})
 
@@ -150,28 +186,23 @@ CODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _assembled(path: str, digest: bool, rows: pa.Table, known: pa.Table) -> pa.Table:
-    """Each document's ids and bytes from those of its words."""
-    ranks = None
-    each, words = _words(rows) if rows.num_rows else ([], [])
-    known = known.sort_by("part")
-    ids = dict(zip(words, [x for row in known["ids"].to_pylist() for x in row], strict=True))
-    back = dict(zip(words, [x for row in known["decoded"].to_pylist() for x in row], strict=True))
+def _assembled(path: str, digest: bool, packs: pa.Table, known: pa.Table) -> pa.Table:
+    """Each document's ids and bytes from those of its chunks' words."""
+    block = Words(unpacked(packs))
+    piece = {str(v): k for k, v in ranks_of(path).items()}
+    ids = dict(zip(block.words, [x for row in known.sort_by("part")["ids"].to_pylist() for x in row.split(";")], strict=True))
+    spelled: dict[str, str] = {}
+    for chunk in block.chunks:
+        spelled[chunk] = " ".join([ids[w] if not _long(w) else " ".join(map(str, merged(w.encode(), ranks_of(path)))) for w in pattern().findall(chunk)])
+    back = {c: b"".join([piece[i] for i in x.split()]) for c, x in spelled.items()}
     out: list[tuple] = []
-    for doc_id, ws in zip(rows["doc_id"].to_pylist(), each, strict=True):
-        try:
-            text, data = " ".join([ids[w] for w in ws]), b"".join([back[w] for w in ws])
-        except KeyError:
-            ranks = ranks or ranks_of(path)
-            piece = {v: k for k, v in ranks.items()}
-            for w in {w for w in ws if w not in ids}:
-                if len(w) <= LONG_WORD and len(w.encode()) <= LONG_WORD:
-                    raise
-                found = merged(w.encode(), ranks)
-                ids[w], back[w] = " ".join(map(str, found)), b"".join(piece[i] for i in found)
-            text, data = " ".join([ids[w] for w in ws]), b"".join([back[w] for w in ws])
-        n = text.count(" ") + 1 if text else 0
-        out.append((doc_id, n, *((hashlib.sha256(x).hexdigest() for x in (text.encode(), data)) if digest else (text.encode(), data))))
+    for doc_id, data in zip(block.doc_id, block.data, strict=True):
+        first, *rest = block.split(data.as_py().decode())
+        rest = [" " + c for c in rest]
+        text = " ".join([spelled[first], *map(spelled.__getitem__, rest)]).encode()
+        plain = b"".join([back[first], *map(back.__getitem__, rest)])
+        n = text.count(b" ") + 1 if text else 0
+        out.append((doc_id, n, *((hashlib.sha256(x).hexdigest() for x in (text, plain)) if digest else (text, plain))))
     kinds = (pa.int64(), pa.int64(), *((pa.string(),) * 2 if digest else (pa.binary(),) * 2))
     return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in (DIGEST if digest else CODED).split(", ")])
 
@@ -185,15 +216,15 @@ def code(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     path = str(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ranks = ranks_of(path)
     n = blocks_for(text_bytes(docs, text), block_bytes)
-    dealt = by_block(docs, n, doc_id, text)
+    dealt = packed_by_block(docs, n, doc_id, text)
     sent = dealt.groupBy("block").applyInArrow(on_table(_sent, n), "part int, block int, words array<string>")
     one = sent.repartition("part").select("part", "block", F.posexplode("words").alias("at", "word"))
     # distinct words of a range; each goes back to the blocks and places that asked for it
     asked = one.groupBy("part", "word").agg(F.collect_list(F.struct("block", "at")).alias("who"))
-    answered = asked.withColumn("ids", encoded(F.col("word"), ranks)).withColumn("decoded", decoded(F.col("ids"), ranks))
-    answered = answered.select("part", F.explode("who").alias("w"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "decoded")
-    lists = answered.groupBy("part", F.col("w.block").alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.col("w.at").alias("at"), "ids", "decoded"))).alias("x"))
-    back = lists.select("block", "part", F.col("x.ids").alias("ids"), F.col("x.decoded").alias("decoded"))
+    ids = F.array_join(encoded(F.col("word"), ranks).cast("array<string>"), " ")
+    answered = asked.select("part", "who", ids.alias("ids")).select("part", "ids", F.inline("who"))
+    lists = answered.groupBy("part", "block").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("x"))
+    back = lists.select("block", "part", F.array_join("x.ids", ";").alias("ids"))
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(on_tables(_assembled, path, digest), DIGEST if digest else CODED)
 
 

@@ -97,4 +97,4 @@ def test_broken_data_is_an_error():
     file = jpeg.encode([bytes(range(64)) * 20])[0]
     at = file.rindex(b"\xff\xda")
     with pytest.raises(ValueError):
-        jpeg.coefficients([jpeg.parse(file[: at + 11] + b"\xff\xd9")])
+        jpeg.coefficients([jpeg.parse(file[: at + 10] + b"\xff\xd9")])
