@@ -395,6 +395,11 @@ def _field(window: np.ndarray, skip: np.ndarray, n: np.ndarray) -> np.ndarray:
     return ((window << skip.astype(np.uint64)) >> np.uint64(1) >> (63 - n).astype(np.uint64)).astype(np.int64)
 
 
+def _known(length: np.ndarray) -> None:
+    if not length.all():
+        raise ValueError("a code that the table doesn't have")
+
+
 def _signed(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(bits < (np.int64(1) << np.maximum(size - 1, 0)), bits - (np.int64(1) << size) + 1, bits)
 
@@ -415,6 +420,7 @@ def _read_dc(coef, bits, codes, units, kinds, first, count, ah, al) -> None:
             some, w = who[on], window[on]
             head = (w >> np.uint64(48)).astype(np.int64)
             size, length = code.symbols[head], code.lengths[head]
+            _known(length)
             predicted[some, k] += np.where(size > 0, _signed(_field(w, length, size), size), 0)
             coef[units[unit[on]], 0] = predicted[some, k] << al
             bits.at[some] += length + size
@@ -428,6 +434,7 @@ def _read_ac_first(coef, bits, code, units, first, count, ss, se, al) -> None:
         window = bits.look(who)
         head = (window >> np.uint64(48)).astype(np.int64)
         symbol, length = code.symbols[head], code.lengths[head]
+        _known(length)
         run, size = symbol >> 4, symbol & 15
         plain, closing = size > 0, (size == 0) & (run < 15)
         extra = np.where(plain, size, np.where(closing, run, 0))
@@ -457,6 +464,7 @@ def _read_ac_refine(coef, bits, code, units, first, count, ss, se, al) -> None:
             window = bits.look(some)
             head = (window >> np.uint64(48)).astype(np.int64)
             symbol, length = code.symbols[head], code.lengths[head]
+            _known(length)
             r, size = symbol >> 4, symbol & 15
             closing = (size == 0) & (r < 15)
             extra = np.where(size > 0, 1, np.where(closing, r, 0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import op1_url_filters as op1
 from . import op2_embedding_near_dedup as op2
 from . import op3_byte_bpe as op3
 from . import op4_quality_classifier as op4
@@ -14,6 +15,7 @@ from . import op10_best_fit_packing as op10
 
 def queries() -> dict:
     found = (
+        op1.op1_url_filters,
         op2.op2_embedding_near_dedup,
         op3.op3_byte_bpe,
         op4.op4_quality_classifier,
