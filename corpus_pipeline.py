@@ -1,7 +1,35 @@
-"""The corpus pipeline; its stages are added as the operators land."""
+"""The corpus pipeline: quality, language, repeated lines, near-duplicate documents, packing."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from codequery.llm import op4_quality_classifier as op4
+from codequery.llm import op6_line_dedup as op6
+from codequery.llm import op7_language_id as op7
+from codequery.llm import op8_simhash_near_dedup as op8
+from codequery.llm import op10_best_fit_packing as op10
+from codequery.llm.common import shared_dir, table
+
+STAGES = [
+    ("quality classifier", op4.stage),
+    ("language ID", op7.stage),
+    ("line dedup", op6.stage),
+    ("SimHash near-dedup", op8.stage),
+    ("best-fit packing", op10.stage),
+]
+
+#: The trained stages and XXH64 are beyond SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written as Parquet in the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    place = f"{shared_dir(spark).rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
+        docs = spark.read.parquet(f"{place}/{k}")
+    return docs
