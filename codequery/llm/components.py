@@ -47,6 +47,13 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], pa.int64()) for i in (0, 1)], ["v", "r"])
 
 
+def _stars(now: DataFrame) -> bool:
+    """Whether every vertex has one edge and no root has any; rounds keep what is connected, so that is the end."""
+    ends = now.select("v", F.lit(1).alias("edges"), F.lit(0).alias("root")).union(now.select("r", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("v").agg(F.sum("edges").alias("edges"), F.max("root").alias("root"))
+    return ends.where("edges > 1 or edges > 0 and root > 0").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(v, root): every vertex that some edge joins to a smaller one, with the smallest vertex it can reach.
 
@@ -56,8 +63,9 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     """
     clean = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     now = checkpoint(clean.mapInArrow(_local, "v long, r long"))
-    seen = None
     for _ in range(max_rounds):
+        if _stars(now):
+            return now.select("v", F.col("r").alias("root"))
         both = now.union(now.select("r", "v"))
         low = both.groupBy("v").agg(F.least(F.min("r"), F.first("v")).alias("m"))
         large = both.where("r > v").join(low, "v").select(F.col("r").alias("v"), F.col("m").alias("r"))
@@ -65,8 +73,4 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         near = large.join(low, "v")
         small = near.select("v", F.col("m").alias("r")).union(near.where("r <> m").select(F.col("r").alias("v"), "m"))
         now = checkpoint(small.distinct())
-        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "r"))).first())
-        if state == seen:
-            return now.select("v", F.col("r").alias("root"))
-        seen = state
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

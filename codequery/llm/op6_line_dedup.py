@@ -73,7 +73,7 @@ def _bands(lines: list[bytes]) -> np.ndarray:
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, limit: float) -> bool:
     if min(len(a), len(b)) < limit * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
     return both >= limit * (len(a) + len(b) - both)
 
 
@@ -130,19 +130,22 @@ def _verified(limit: float, rows: pa.Table) -> pa.Table:
             if jaccard_at_least(sets[a], sets[b], limit):
                 forest.union(a, b)
 
-        members: dict[int, list[int]] = {}
-        for k, keys in enumerate(bands(texts).tolist()):
-            for key in keys:
-                members.setdefault(key, []).append(k)
-        shared = [m for m in members.values() if len(m) > 1]
-        for m in shared:  # one of each band against the rest; then whatever that left apart
-            for b in m[1:]:
-                linked(m[0], b)
-        for m in shared:
-            if len({forest.find(k) for k in m}) > 1:
-                for x, a in enumerate(m):
-                    for b in m[x + 1 :]:
-                        linked(a, b)
+        for b in range(1, len(at)):  # most clusters are one line's variants
+            linked(0, b)
+        if len({forest.find(k) for k in range(len(at))}) > 1:
+            members: dict[int, list[int]] = {}
+            for k, keys in enumerate(bands(texts).tolist()):
+                for key in keys:
+                    members.setdefault(key, []).append(k)
+            shared = [m for m in members.values() if len(m) > 1]
+            for m in shared:  # one of each band against the rest; then whatever that left apart
+                for b in m[1:]:
+                    linked(m[0], b)
+            for m in shared:
+                if len({forest.find(k) for k in m}) > 1:
+                    for x, a in enumerate(m):
+                        for b in m[x + 1 :]:
+                            linked(a, b)
         for a, b in forest.stars():
             left.append(line[at[a]])
             right.append(line[at[b]])
