@@ -1,24 +1,6 @@
-"""Registry of the engine's queries and of the SQL that each must agree with."""
+"""All queries of the engine and the SQL that each must agree with."""
 
-from __future__ import annotations
+from . import graph_queries, relational_queries, search_queries  # noqa: F401
+from .registry import oracle_sql, queries
 
-_QUERIES: dict = {}
-_SQL: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict:
-    return dict(_SQL)
+__all__ = ["oracle_sql", "queries"]
