@@ -109,46 +109,64 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(line[apart]), pa.array(leader[apart])], ["a", "b"])
 
 
+class _Cluster:
+    """Lines of a coarse cluster, and the forest of their verified links."""
+
+    def __init__(self, rows: list[int], texts: list[bytes], limit: float) -> None:
+        self.rows, self.texts, self.limit = rows, texts, limit
+        self.sets: dict[int, np.ndarray] = {}
+        self.forest, self.tried = Forest(), set()
+
+    def link(self, a: int, b: int) -> None:
+        if (a, b) in self.tried or self.forest.find(a) == self.forest.find(b):
+            return
+        self.tried.add((a, b))
+        for k in (a, b):
+            if k not in self.sets:
+                self.sets[k] = shingles(self.texts[k])
+        if jaccard_at_least(self.sets[a], self.sets[b], self.limit):
+            self.forest.union(a, b)
+
+    def whole(self, members) -> bool:
+        return len({self.forest.find(k) for k in members}) <= 1
+
+    def finish(self, keys: list[list[int]]) -> None:
+        """Every pair that shares a band: one line of each band against the rest, then whatever that left apart."""
+        members: dict[int, list[int]] = {}
+        for k, own in enumerate(keys):
+            for key in own:
+                members.setdefault(key, []).append(k)
+        shared = [m for m in members.values() if len(m) > 1]
+        for m in shared:
+            for b in m[1:]:
+                self.link(m[0], b)
+        for m in shared:
+            if not self.whole(m):
+                for x, a in enumerate(m):
+                    for b in m[x + 1 :]:
+                        self.link(a, b)
+
+
 def _verified(limit: float, rows: pa.Table) -> pa.Table:
     clusters: dict[tuple, list[int]] = {}
     for i, key in enumerate(zip(rows["cluster"].to_pylist(), rows["i"].to_pylist(), rows["j"].to_pylist(), strict=True)):
         clusters.setdefault(key, []).append(i)
     line, text = rows["line"].to_pylist(), rows["norm"]
     left, right = [], []
-    for at in clusters.values():
-        texts = text.take(pa.array(at)).to_pylist()
-        sets: dict[int, np.ndarray] = {}
-        forest, tried = Forest(), set()
-
-        def linked(a, b, texts=texts, sets=sets, forest=forest, tried=tried):
-            if (a, b) in tried or forest.find(a) == forest.find(b):
-                return
-            tried.add((a, b))
-            for k in (a, b):
-                if k not in sets:
-                    sets[k] = shingles(texts[k])
-            if jaccard_at_least(sets[a], sets[b], limit):
-                forest.union(a, b)
-
-        for b in range(1, len(at)):  # most clusters are one line's variants
-            linked(0, b)
-        if len({forest.find(k) for k in range(len(at))}) > 1:
-            members: dict[int, list[int]] = {}
-            for k, keys in enumerate(bands(texts).tolist()):
-                for key in keys:
-                    members.setdefault(key, []).append(k)
-            shared = [m for m in members.values() if len(m) > 1]
-            for m in shared:  # one of each band against the rest; then whatever that left apart
-                for b in m[1:]:
-                    linked(m[0], b)
-            for m in shared:
-                if len({forest.find(k) for k in m}) > 1:
-                    for x, a in enumerate(m):
-                        for b in m[x + 1 :]:
-                            linked(a, b)
-        for a, b in forest.stars():
-            left.append(line[at[a]])
-            right.append(line[at[b]])
+    todo = [_Cluster(at, text.take(pa.array(at)).to_pylist(), limit) for at in clusters.values()]
+    for c in todo:  # most clusters are one line's variants
+        for b in range(1, len(c.texts)):
+            c.link(0, b)
+    apart = [c for c in todo if not c.whole(range(len(c.texts)))]
+    keys = bands([t for c in apart for t in c.texts]).tolist()  # in one call: short lists cost as much as long ones
+    at = 0
+    for c in apart:
+        c.finish(keys[at : at + len(c.texts)])
+        at += len(c.texts)
+    for c in todo:
+        for a, b in c.forest.stars():
+            left.append(line[c.rows[a]])
+            right.append(line[c.rows[b]])
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
