@@ -79,7 +79,7 @@ def coverage(found: DataFrame) -> DataFrame:
     tried = F.col("seen") - F.col("skipped")
     tally = lambda rows, key: rows.groupBy(key).count().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "count")))))
     langs = tally(per.where("status <> 'skipped'"), "language").toDF("by_language")
-    reasons = tally(per.where("reason is not null"), "reason").toDF("skip_reasons")
+    reasons = tally(per.where("status = 'skipped'"), "reason").toDF("skip_reasons")
     n = found.where("unit_type <> 'file'").agg(F.count("*").alias("units"))
     out = counts.withColumn("ratio", F.when(tried == 0, 0.0).otherwise(F.round((F.col("parsed") + F.col("partial")) / tried, 4)))
     return out.crossJoin(n).crossJoin(langs).crossJoin(reasons)
