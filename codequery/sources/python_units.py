@@ -93,7 +93,8 @@ def analyze(path: str, data: bytes | None) -> list[Unit]:
 
 
 def _found(path: str, text: str, tree: ast.Module, base: dict) -> list[Unit]:
-    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    lines = text.split("\n")
     needs = imports(tree)
     body, note = clipped(text)
     known = {"path": path, "ord": 0, "unit_id": "", "imports": needs, **base}

@@ -216,7 +216,7 @@ class Walk:
         head = SPACE.sub(" ", self.text[a.at : self.t[head_end].at if head_end < len(self.t) else b.end]).strip()
         head = re.sub(r"\s*(?:\{|=>)\s*$", "", head)[:SIGNATURE_CHARS]
         last = b.line + self.text.count("\n", b.at, b.end)
-        self.units.append(Unit(self.path, 0, "", kind, f"{owner}.{name}" if owner else name, parent=owner, line_start=a.line, line_end=last, docstring=self.docs.get(start), calls=sorted({n for n, _ in calls if n and not n.startswith("*")}), call_sites=sites(calls), language=self.language, name=name, signature=head, source=self.text[a.at : b.end], routes=list(routes), uncertainty=dynamic_note(sum(n is None or n.startswith("*") for n, _ in calls))))
+        self.units.append(Unit(self.path, 0, "", kind, f"{owner}.{name}" if owner else name, parent=owner, line_start=a.line, line_end=last, docstring=self.docs.get(start), calls=sorted({n for n, _ in calls if n and not n.startswith("*")}), call_sites=sites(calls), language=self.language, name=name, signature=head, routes=list(routes), uncertainty=dynamic_note(sum(n is None or n.startswith("*") for n, _ in calls))))
 
     def callable(self, kind: str, name: str, start: int, span: tuple[int, int, int], owner: str | None, routes=()) -> int:
         """A unit of a function whose body is known; what is named inside it comes after it and owns its own calls."""
@@ -524,8 +524,10 @@ def analyze(path: str, data: bytes | None, language: str) -> list[Unit]:
     found = [u for w in walks for u in w.units]
     pairs_ = [p for w in walks for p in w.exports]
     needs = sorted({m for w in walks for m in w.imports})
+    rows = text.split("\n")
     for u in found:
         u.imports = needs
+        u.source = "\n".join(rows[u.line_start - 1 : u.line_end])
         if u.parent is None:
             u.exports = list(dict.fromkeys(out for local, out in pairs_ if local == u.name))
     body, note = clipped(text)
