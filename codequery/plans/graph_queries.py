@@ -86,7 +86,7 @@ def call_unresolved(spark, d):
 
 
 both("container_edges", "SELECT n_nationkey AS source, r_regionkey AS target, CASE WHEN r_regionkey IS NULL THEN 'DEFINES' ELSE 'CONTAINS' END AS kind FROM {nation} LEFT JOIN {region} ON n_regionkey = r_regionkey AND r_regionkey < 3")
-both("subgraph_export", "WITH k AS (SELECT c_custkey FROM {customer} ORDER BY c_custkey LIMIT 200) SELECT o_orderkey AS target, o_custkey AS source FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM k) AND o_orderkey <= 5000")
+both("subgraph_export", "WITH k AS (SELECT c_custkey FROM {customer} ORDER BY c_custkey LIMIT 200) SELECT o_orderkey AS target, o_custkey AS source FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM k)")
 both("kg_nodes", "SELECT 'REGION' AS kind, count(*) AS n FROM {region} UNION ALL SELECT 'NATION', count(*) FROM {nation} UNION ALL SELECT 'CUSTOMER', count(*) FROM {customer} UNION ALL SELECT 'ORDER', count(*) FROM {orders} UNION ALL SELECT 'PART', count(*) FROM {part} UNION ALL SELECT 'SUPPLIER', count(*) FROM {supplier}")
 both("kg_edges", "SELECT 'CONTAINS' AS kind, count(*) AS n FROM {nation} JOIN {region} ON n_regionkey = r_regionkey UNION ALL SELECT 'DEFINES', count(*) FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey UNION ALL SELECT 'USES', count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM {lineitem} WHERE l_partkey IN (SELECT p_partkey FROM {part}) AND l_suppkey IN (SELECT s_suppkey FROM {supplier})) x")
 both("node_search", "SELECT c_custkey, c_name FROM {customer} WHERE lower(c_name) LIKE '%00042%' ORDER BY length(c_name), c_custkey LIMIT 100")
