@@ -171,3 +171,112 @@ def rank_metrics(spark, d):
     scores = T.terms(spread, "doc_id", "text").distinct().join(F.broadcast(T.terms(items, "item_id", "text").distinct()), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
     results = scores.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")))
     return evaluation.rank_metrics(results, relevant, "item_id", "doc_id", 10)
+
+
+# The searches of a query set: every row whose id is divisible by 100, against all rows. The SQL above stays as it is.
+EVERY = "item_id % 100 = 0"
+
+
+def query_set(spark, d, where=EVERY):
+    return frame(spark, d, "benchmark").where(where)
+
+
+def lexical_set(spark, d, items, limit=search.FIRST_STAGE):
+    _, postings, every = corpus(spark, d)
+    return search.ranked(search.bm25(postings, every, T.terms(items, "item_id", "text"), "doc_id", by="item_id"), "doc_id", limit, "item_id")
+
+
+def semantic_set(spark, d, items, limit=search.FIRST_STAGE):
+    docs = frame(spark, d, "documents").select("doc_id", "text").repartition(max(2, spark.sparkContext.defaultParallelism))
+    q = T.hashed(items, "item_id", "text").withColumnRenamed("weight", "qw")
+    scores = T.hashed(docs, "doc_id", "text").join(q, "bucket").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("score"))
+    return search.ranked(scores, "doc_id", limit, "item_id")
+
+
+def bm25_set_sql(where=EVERY):
+    """CTEs that end in lex (item_id, k, score)."""
+    asked = terms_sql("q", f"SELECT item_id AS k, text AS x FROM benchmark WHERE {where}")
+    return f"""{_DOCS}, {asked}, qd AS (SELECT DISTINCT k AS item_id, term FROM q),
+ post AS (SELECT k, term, count(*) AS tf FROM d GROUP BY ALL),
+ dl AS (SELECT doc_id AS k, coalesce(dl, 0) AS dl FROM documents LEFT JOIN (SELECT k, sum(tf) AS dl FROM post GROUP BY k) ON doc_id = k),
+ st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+ tdf AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM q) GROUP BY term),
+ lex AS (SELECT item_id, k, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+   FROM post JOIN tdf USING (term) JOIN qd USING (term) JOIN dl USING (k), st GROUP BY item_id, k)"""
+
+
+def lists_set_sql(where=EVERY):
+    """CTEs that end in l1 (lexical) and l2 (semantic): item_id, k, rank."""
+    asked = _HASH.format(n="hq", s=f"SELECT item_id AS k, text AS x FROM benchmark WHERE {where}")
+    return f"""{bm25_set_sql(where)}, {_HASHED}, {asked},
+ sem AS (SELECT hq.k AS item_id, hd.k, round(sum(hd.w * hq.w), 9) AS score FROM hd JOIN hq USING (bucket) GROUP BY hq.k, hd.k),
+ l1 AS (SELECT item_id, k, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k) AS rank FROM lex QUALIFY rank <= 50),
+ l2 AS (SELECT item_id, k, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k) AS rank FROM sem QUALIFY rank <= 50)"""
+
+
+def bm25_topk_all_sql(where=EVERY):
+    return f"WITH {bm25_set_sql(where)} SELECT item_id, k AS doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY lex.score DESC, k) AS INT) AS rank FROM lex QUALIFY rank <= 20"
+
+
+@query("bm25_topk_all", bm25_topk_all_sql())
+def bm25_topk_all(spark, d, where=EVERY):
+    return lexical_set(spark, d, query_set(spark, d, where), 20).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def bm25_lang_filter_all_sql(where=EVERY):
+    return f"WITH {bm25_set_sql(where)} SELECT item_id, k AS doc_id, round(score, 6) AS score FROM lex JOIN documents ON k = doc_id WHERE lower(lang) = 'en' QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY lex.score DESC, k) <= 20"
+
+
+@query("bm25_lang_filter_all", bm25_lang_filter_all_sql())
+def bm25_lang_filter_all(spark, d, where=EVERY):
+    docs, postings, every = corpus(spark, d)
+    scores = search.bm25(postings, every, T.terms(query_set(spark, d, where), "item_id", "text"), "doc_id", by="item_id")
+    own = scores.join(docs.where(F.lower("lang") == "en").select("doc_id"), "doc_id", "left_semi")
+    return search.ranked(own, "doc_id", 20, "item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+_DOT = "round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 9)"
+
+
+@query("dense_topk_all", f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_DOT} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) SELECT query_id, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, vec_id) <= 20")
+def dense_topk_all(spark, d, block=4096):
+    e = frame(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    scores = search.nearest(e, q, "vec_id", "query_id", "embedding", 20, block)
+    return search.ranked(scores, "vec_id", 20, "query_id").select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+def hybrid_rrf_all_sql(where=EVERY):
+    return f"""WITH {lists_set_sql(where)}, f AS (SELECT item_id, k, round(sum(1 / (60 + rank)), 12) AS score, min(rank) AS best, min(CASE WHEN l = 's' THEN rank END) AS rs, min(CASE WHEN l = 'l' THEN rank END) AS rl
+ FROM (SELECT item_id, k, rank, 'l' AS l FROM l1 UNION ALL SELECT item_id, k, rank, 's' FROM l2) GROUP BY item_id, k)
+ SELECT item_id, k AS doc_id, round(score, 6) AS score, CAST(rs AS INT) AS rank_semantic, CAST(rl AS INT) AS rank_lexical FROM f
+ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY f.score DESC, best, coalesce(rs, 1000000000), coalesce(rl, 1000000000), k) <= 10"""
+
+
+@query("hybrid_rrf_all", hybrid_rrf_all_sql())
+def hybrid_rrf_all(spark, d, where=EVERY):
+    items = query_set(spark, d, where)
+    out = search.fused({"lexical": lexical_set(spark, d, items), "semantic": semantic_set(spark, d, items)}, "doc_id", by="item_id")
+    return out.where("rank <= 10").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank_semantic", "rank_lexical")
+
+
+def rerank_overlap_all_sql(where=EVERY):
+    return f"""WITH {bm25_set_sql(where)}, pool AS (SELECT item_id, k, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k) AS rank FROM lex QUALIFY rank <= 30),
+ nq AS (SELECT item_id, count(*) AS nq FROM qd GROUP BY item_id), hit AS (SELECT item_id, k, count(*) AS h FROM post JOIN qd USING (term) GROUP BY item_id, k),
+ h AS (SELECT pool.item_id, pool.k, rank, coalesce(h, 0) / nq AS s FROM pool JOIN nq USING (item_id) LEFT JOIN hit ON hit.item_id = pool.item_id AND hit.k = pool.k),
+ r AS (SELECT item_id, k, rank, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, rank) AS rr FROM h)
+ SELECT item_id, k AS doc_id, round(1 / (60 + rr) + 1 / (60 + rank), 6) AS score, CAST(rr AS INT) AS rank_reranker FROM r
+ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(1 / (60 + rr) + 1 / (60 + rank), 12) DESC, least(rank, rr), rr, k) <= 10"""
+
+
+@query("rerank_overlap_all", rerank_overlap_all_sql())
+def rerank_overlap_all(spark, d, where=EVERY):
+    from pyspark.sql import Window
+
+    _, postings, every = corpus(spark, d)
+    q = T.terms(query_set(spark, d, where), "item_id", "text")
+    pool = search.ranked(search.bm25(postings, every, q, "doc_id", by="item_id"), "doc_id", search.POOL, "item_id")
+    scored = search.overlap(postings, q, pool, "doc_id", by="item_id").join(pool.select("item_id", "doc_id", F.col("rank").alias("_r")), ["item_id", "doc_id"])
+    again = scored.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("score").desc(), "_r")))
+    out = search.fused({"reranker": again, "first_stage": pool}, "doc_id", by="item_id")
+    return out.where("rank <= 10").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank_reranker")
