@@ -1,10 +1,11 @@
 """Line dedup: fuzzy lines by MinHash.
 
-Lines (trimmed, lower-cased; blank ones are left alone) are sets of shingles of eight UTF-8 bytes, a shorter
+Lines (trimmed, lower-cased; blank ones are left alone) are sets of shingles of five characters, a shorter
 line being one shingle. MinHash signatures are cut into bands; lines that share a band are joined into coarse
 clusters by union-find; only lines of a cluster are fetched, and those that share a band are verified by exact
 Jaccard similarity. The verified links go through distributed union-find, and of each component the first line
-(by document, then place) stays. Clusters beyond BLOCK_LINES are verified block against block.
+(by document, then place) stays. Clusters beyond BLOCK_LINES are verified band by band (bands of equal lines once), or block against block where
+that takes fewer rows; the work so follows the bands' sizes and not the square of a chained cluster's.
 """
 
 from __future__ import annotations
@@ -20,25 +21,36 @@ from .common import checkpoint, on_table, release, table
 from .components import Forest, components
 
 SIMILARITY = 0.8
-SHINGLE = 8
+SHINGLE = 5
 BANDS, ROWS = 12, 4
 BLOCK_LINES = 4096
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _windows(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on, as one number."""
-    two = data[:-1].astype(np.uint64) | (data[1:].astype(np.uint64) << np.uint64(8))
-    four = two[:-2] | (two[2:] << np.uint64(16))
-    return four[:-4] | (four[4:] << np.uint64(32))
+def _padded(line: bytes) -> str:
+    """A line's characters, one shingle at least; bytes that are no UTF-8 count as characters of their own."""
+    return line.decode("utf-8", "surrogateescape").ljust(SHINGLE, "\0")
+
+
+def _windows(text: str) -> np.ndarray:
+    """The five characters from each place on, hashed to one number: 21 bits hold a character, so three and two of them."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    two = c[:-1] | (c[1:] << np.uint64(21))
+    three = two[:-3] | (c[2:-2] << np.uint64(42))
+    w = three * _ODD
+    w ^= w >> np.uint64(32)
+    w += two[3:]
+    w *= _MIX
+    return w ^ (w >> np.uint64(29))
 
 
 def shingles(line: bytes) -> np.ndarray:
     """The sorted set of a line's shingles."""
-    return np.unique(_windows(np.frombuffer(line.ljust(SHINGLE, b"\0"), np.uint8)))
+    return np.unique(_windows(_padded(line)))
 
 
 def bands(lines: list[bytes], stretch: int = 1 << 16) -> np.ndarray:
@@ -48,17 +60,16 @@ def bands(lines: list[bytes], stretch: int = 1 << 16) -> np.ndarray:
     for i, line in enumerate(lines):
         held += len(line)
         if held >= stretch or i == len(lines) - 1:
-            out[first : i + 1] = _bands([x.ljust(SHINGLE, b"\0") for x in lines[first : i + 1]])
+            out[first : i + 1] = _bands([_padded(x) for x in lines[first : i + 1]])
             first, held = i + 1, 0
     return out
 
 
-def _bands(lines: list[bytes]) -> np.ndarray:
+def _bands(lines: list[str]) -> np.ndarray:
     lengths = np.array([len(x) for x in lines])
     start = np.cumsum(lengths) - lengths
     edges = np.stack([start, start + lengths - SHINGLE + 1], 1).ravel()
-    w = _windows(np.frombuffer(b"".join(lines) + b"\0" * SHINGLE, np.uint8))
-    w = w ^ (w >> np.uint64(29))
+    w = _windows("".join(lines) + "\0" * SHINGLE)
     x = ((w * _MIX) >> np.uint64(32)).astype(np.uint32)
     low = np.empty((len(lines), BANDS, ROWS), np.uint64)
     for k in range(BANDS * ROWS):
@@ -142,14 +153,17 @@ class _Cluster:
                 self.link(m[0], b)
         for m in shared:
             if not self.whole(m):
-                for x, a in enumerate(m):
-                    for b in m[x + 1 :]:
-                        self.link(a, b)
+                self.every(m)
+
+    def every(self, members: list[int]) -> None:
+        for x, a in enumerate(members):
+            for b in members[x + 1 :]:
+                self.link(a, b)
 
 
 def _verified(limit: float, rows: pa.Table) -> pa.Table:
     clusters: dict[tuple, list[int]] = {}
-    for i, key in enumerate(zip(rows["cluster"].to_pylist(), rows["i"].to_pylist(), rows["j"].to_pylist(), strict=True)):
+    for i, key in enumerate(zip(rows["banded"].to_pylist(), rows["unit"].to_pylist(), rows["i"].to_pylist(), rows["j"].to_pylist(), strict=True)):
         clusters.setdefault(key, []).append(i)
     line, text = rows["line"].to_pylist(), rows["norm"]
     left, right = [], []
@@ -157,7 +171,13 @@ def _verified(limit: float, rows: pa.Table) -> pa.Table:
     for c in todo:  # most clusters are one line's variants
         for b in range(1, len(c.texts)):
             c.link(0, b)
-    apart = [c for c in todo if not c.whole(range(len(c.texts)))]
+    apart = []
+    for (banded, *_), c in zip(clusters, todo, strict=True):
+        if not c.whole(range(len(c.texts))):
+            if banded:  # all share the band
+                c.every(list(range(len(c.texts))))
+            else:
+                apart.append(c)
     keys = bands([t for c in apart for t in c.texts]).tolist()  # in one call: short lists cost as much as long ones
     at = 0
     for c in apart:
@@ -170,6 +190,26 @@ def _verified(limit: float, rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
+def _units(found: DataFrame, coarse: DataFrame, block_lines: int) -> DataFrame:
+    """(line, unit, banded, blocks): coarse clusters, and bands of those clusters that have fewer rows by band than by block."""
+    blocks = F.ceil(F.col("n") / block_lines).cast("int")
+    sizes = coarse.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("blocks", blocks)
+    whole = coarse.join(sizes, "cluster").select("line", F.col("cluster").alias("unit"), F.lit(False).alias("banded"), "blocks")
+    large = sizes.where("blocks > 1")
+    if large.isEmpty():
+        return whole
+    own = coarse.join(large.select("cluster"), "cluster")
+    members = checkpoint(found.where("bands is not null").select("line", "bands").join(own, "line").select("cluster", "line", F.explode("bands").alias("band")).distinct())
+    same = [F.bit_xor(F.xxhash64("line", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    bands_of = members.groupBy("cluster", "band").agg(F.count("*").alias("n"), *same).where("n > 1")
+    bands_of = bands_of.groupBy("cluster", "n", "x0", "x1").agg(F.min("band").alias("band")).select("cluster", "band", blocks.alias("blocks"), "n")
+    bands_of = checkpoint(bands_of)
+    cost = bands_of.groupBy("cluster").agg(F.sum(F.col("n") * F.col("blocks")).alias("cost"))
+    chosen = cost.join(large, "cluster").where(F.col("cost") < F.col("n") * F.col("blocks")).select("cluster")
+    by_band = members.join(bands_of.drop("n"), ["cluster", "band"]).join(chosen, "cluster").select("line", F.col("band").alias("unit"), F.lit(True).alias("banded"), "blocks")
+    return whole.join(chosen.withColumnRenamed("cluster", "unit"), "unit", "left_anti").select(*whole.columns).union(by_band)
+
+
 def _row_key(doc_id: str, text: str):
     return F.xxhash64(F.col(doc_id), F.col(text))
 
@@ -200,14 +240,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarit
     wanted = owner.groupBy("at.row").agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "line", "cluster")).alias("want"))
     texts = rows.select("row", "text").join(wanted, "row").select(F.split("text", "\n").alias("l"), F.explode("want").alias("w"))
     texts = texts.select("w.line", "w.cluster", F.get("l", F.col("w.pos")).alias("l")).select("line", "cluster", norm.cast("binary").alias("norm"))
-    sizes = coarse.groupBy("cluster").agg(F.ceil(F.count("*") / block_lines).cast("int").alias("blocks"))
-    texts = texts.join(sizes, "cluster").withColumn("own", F.pmod(F.hash("line"), F.col("blocks")))
+    units = checkpoint(_units(found, coarse, block_lines))
+    texts = texts.select("line", "norm").join(units, "line").withColumn("own", F.pmod(F.hash("line"), F.col("blocks")))
     turns = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j")))
-    texts = texts.select("line", "cluster", "norm", F.explode(turns).alias("t")).select("line", "cluster", "norm", "t.*")
-    groups = max(1, -(-coarse.count() // (block_lines // 2)))
-    texts = texts.withColumn("g", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(groups)))
+    texts = texts.select("line", "unit", "banded", "norm", F.explode(turns).alias("t")).select("line", "unit", "banded", "norm", "t.*")
+    groups = max(1, -(-units.count() // (block_lines // 2)))
+    texts = texts.withColumn("g", F.pmod(F.xxhash64("unit", "banded", "i", "j"), F.lit(groups)))
     links = checkpoint(texts.groupBy("g").applyInArrow(on_table(_verified, similarity), "a long, b long"))
-    del texts
+    del texts, units
     release(spark)
 
     classes = components(links, "a", "b")
