@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+import uuid
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows that Python gets at a time: texts go whole, so a batch is bounded by rows and their lengths.
-BATCH_ROWS = 1000
+#: What Python gets at a time: so many rows, or the rows that reach so many bytes (one longer text goes alone).
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; Python functions over it work on batches of BATCH_ROWS."""
+    """A table of the folder; the session's Arrow batches are bounded by BATCH_ROWS and BATCH_BYTES from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _own_dir(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="codequery-checkpoint-")
     spark.conf.set("spark.codequery.ownCheckpointDir", made)
     return made
@@ -44,15 +46,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle and checkpoint files of frames that nothing refers to any more.
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written once as Parquet in the shared folder: cuts the lineage, as checkpoint() does, but keeps columns apart.
 
-    The first pass frees the frames, the second what only they held; the cleaner follows within a second or so.
+    The folder goes when the driver ends, or earlier by dropped(); the shuffles that made the rows go at once.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete what stored() wrote for frames that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -60,48 +79,6 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def text_bytes(docs: DataFrame, text: str = "text") -> int:
-    """Bytes of all texts: one narrow aggregate."""
-    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-
-
-def blocks_for(total_bytes: int, block_bytes: int) -> int:
-    return max(1, -(-total_bytes // block_bytes))
-
-
-def by_block(docs: DataFrame, n_blocks: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, doc_id, data) with whole texts as UTF-8 bytes (null: empty), dealt into blocks by id and text.
-
-    A block is the unit that one Python call holds in memory; its size is set by bytes of text, so the
-    number of blocks follows the corpus and no key can make one large.
-    """
-    block = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_blocks)).cast("int")
-    data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    return docs.select(block.alias("block"), F.col(doc_id).cast("long").alias("doc_id"), data.alias("data"))
-
-
-def _packing(batches):
-    for batch in batches:
-        whole = pa.Table.from_batches([batch])
-        for block in pc.unique(batch.column("block")).to_pylist():
-            own = whole.filter(pc.equal(whole["block"], block)).select(["doc_id", "data"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(own)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "pack"])
-
-
-def packed_by_block(docs: DataFrame, n_blocks: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """by_block(), with the rows that a batch has for a block compressed together: (block, pack)."""
-    return by_block(docs, n_blocks, doc_id, text).mapInArrow(_packing, "block int, pack binary")
-
-
-def unpacked(packs: pa.Table) -> pa.Table:
-    """(doc_id, data) of a block's packs, in an order of their own content."""
-    parts = [pa.ipc.open_stream(p).read_all() for p in packs["pack"].to_pylist()]
-    return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
-
-
 def on_table(f, *first):
     """f(*first, table) -> table, hinted as applyInArrow wants it."""
 

@@ -1,20 +1,27 @@
-"""Language-model scoring by a weighted backoff automaton.
-
-Model: bigrams over lower-cased words with a Dirichlet prior on smoothed unigrams,
-    p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),    p(w | h) = (c(h w) + MU p(w)) / (c(h) + MU).
-As an automaton, every history is a state with an arc for each word seen after it (weight log10 p(w | h))
-and a failure arc (weight log10 MU / (c(h) + MU)) to the empty history, whose arcs weigh log10 p(w).
-
-Counts are exact over all training documents and belong to no one machine: documents lie in blocks of bounded
-bytes; each block sends the counts of its n-grams, as sorted 64-bit hashes packed by key range, to the range's
-group; the group returns totals in the block's own order; so each block gets just the part of the automaton
-that its texts can reach. (Two words or pairs with equal 64-bit hashes would share a count.)
+"""Language-model scoring by a weighted backoff automaton of order three.
+
+Model: trigrams over lower-cased words with Dirichlet priors on the next shorter history,
+    p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
+    p(w | b) = (c(b w) + MU[0] p(w)) / (c(b) + MU[0]),
+    p(w | a b) = (c(a b w) + MU[1] p(w | b)) / (c(a b) + MU[1]).
+As an automaton: the empty history, every word and every seen pair of words is a state. A state has an arc for each
+word seen after it, which weighs log10 of the probability above and leads to the longest history that is a state,
+and a failure arc, which weighs log10 of the share left to the prior and leads to the next shorter history. Texts are
+walked from left to right, many at a time, each with its state and its sum; a long text is walked in stretches, each
+of which first reads two words without weight, and so stands in the state in which the stretch before it ends.
+
+Counts are exact over all training documents and belong to no one machine: each block of documents sends the counts of
+its n-grams, packed by key range; the range's group returns totals in the block's own order; so each block gets just
+the part of the automaton that its texts can reach. Words are told apart by 128 bits of hash, longer n-grams by 64:
+two of those with equal hashes would share a count in the score (not in the other columns).
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,43 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_for, by_block, checkpoint, on_table, on_tables, release, table, text_bytes
+from .blocks import bounds, get_keys, get_numbers, opened, packed, put_keys, put_numbers, ranges_for
+from .common import on_table, on_tables, stored, table
 
 FOLDS, HELD = 10, 0
 ADD = 0.1
-MU = 200.0
-BLOCK_BYTES = 12 << 20
+MU = (200.0, 4.0)
+BLOCK_BYTES = 8 << 20
+RANGE_BYTES = 8 << 20
+STRETCH = 256
 END, START = b" ", b"  "
 
 
-class Automaton:
-    """States, arcs and failure arcs; for use on a model that fits into memory."""
-
-    def __init__(self, unigrams: dict, pairs: dict, documents: int, mu: float = MU) -> None:
-        self.total, self.pairs, self.unigrams, self.mu = sum(unigrams.values()), pairs, unigrams, mu
-        self.bottom = self.total + ADD * (len(unigrams) + 1)
-        self.history = unigrams | {START: documents}
-
-    def arcs(self, state: bytes | None, token: bytes) -> float | None:
-        """Weight of the arc for the token; None where the state has none. The empty history (None) has every arc."""
-        p = (self.unigrams.get(token, 0) + ADD) / self.bottom
-        if state is None:
-            return float(np.log10(p))
-        seen = self.pairs.get((state, token), 0)
-        return float(np.log10((seen + self.mu * p) / (self.history[state] + self.mu))) if seen else None
-
-    def failure(self, state: bytes) -> float:
-        return float(np.log10(self.mu / (self.history.get(state, 0) + self.mu)))
-
-    def score(self, tokens: list[bytes]) -> float:
-        state, total = START, 0.0
-        for token in tokens:
-            weight = self.arcs(state, token)
-            total += weight if weight is not None else self.failure(state) + self.arcs(None, token)
-            state = token
-        return total
-
-
 def tokens(data: bytes) -> list[bytes]:
     """Words, A-Z lower-cased, then the end."""
     return [*data.lower().split(), END]
@@ -76,110 +58,222 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Automaton:
+    """States, arcs and failure arcs over the words 0 .. len(words) - 1.
+
+    words, history: total of each word as a token and as a history; pairs: (first, second, total), sorted;
+    triples: (index of the pair, word, index of the pair that the last two words are, total), sorted. States: 0 is
+    the empty history, 1 + w a word, 1 + len(words) + p a pair.
+    """
+
+    def __init__(self, n: int, v: int, words, history, pairs, triples, mu=MU) -> None:
+        self.size = len(words)
+        first, second, seen = pairs
+        p1 = (words + ADD) / (n + ADD * (v + 1))
+        p2 = (seen + mu[0] * p1[second]) / (history[first] + mu[0])
+        pair, word, end, thrice = triples
+        own, more = np.flatnonzero(seen > 0), np.flatnonzero(thrice > 0)
+        self.empty = np.log10(p1)
+        state_of_pair = 1 + self.size + np.arange(len(seen))
+        # arcs of word states, then of pair states: sorted by state and word
+        self.key = np.concatenate([self.code(1 + first[own], second[own]), self.code(state_of_pair[pair[more]], word[more])])
+        self.weight = np.log10(np.concatenate([p2[own], (thrice[more] + mu[1] * p2[end[more]]) / (seen[pair[more]] + mu[1])]))
+        self.next = np.concatenate([state_of_pair[own], state_of_pair[end[more]]])
+        self.fail_weight = np.log10(np.concatenate([[1.0], mu[0] / (history + mu[0]), mu[1] / (seen + mu[1])]))
+        self.fail_to = np.concatenate([np.zeros(1 + self.size, np.int64), 1 + second])
+
+    def code(self, state, word):
+        return state.astype(np.int64) * self.size + word
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states, weights) after each state reads its word, by failure arcs down to a state that has an arc for it."""
+        state, weight = state.copy(), np.zeros(len(state))
+        todo = np.arange(len(state))
+        while len(todo):
+            bottom = state[todo] == 0
+            if bottom.any():
+                at = todo[bottom]
+                weight[at] += self.empty[word[at]]
+                state[at] = 1 + word[at]
+                todo = todo[~bottom]
+            if not len(todo):
+                break
+            key = self.code(state[todo], word[todo])
+            arc = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+            hit = self.key[arc] == key if len(self.key) else np.zeros(len(todo), bool)
+            at = todo[hit]
+            weight[at] += self.weight[arc[hit]]
+            state[at] = self.next[arc[hit]]
+            todo = todo[~hit]
+            weight[todo] += self.fail_weight[state[todo]]
+            state[todo] = self.fail_to[state[todo]]
+        return state, weight
+
+    def walk(self, run: np.ndarray, first: np.ndarray, length: np.ndarray, start: int, stretch: int = STRETCH) -> np.ndarray:
+        """Sum of the weights of each text: length words of run from its first on, out of the state of the word start."""
+        parts = np.maximum(1, -(-length // stretch))
+        text = np.repeat(np.arange(len(first)), parts)
+        turn = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        warm = np.where(turn > 0, 2, 0)
+        begin = first[text] + turn * stretch - warm
+        steps = np.minimum(stretch, length[text] - turn * stretch) + warm
+        order = np.argsort(-steps, kind="stable")
+        text, warm, begin, steps = text[order], warm[order], begin[order], steps[order]
+        state, total = np.where(warm > 0, 0, 1 + start), np.zeros(len(text))
+        lanes = len(text)
+        for t in range(int(steps[0]) if len(steps) else 0):
+            while lanes and steps[lanes - 1] <= t:
+                lanes -= 1
+            state[:lanes], weight = self.step(state[:lanes], run[begin[:lanes] + t])
+            total[:lanes] += weight if t > 1 else np.where(warm[:lanes] > t, 0.0, weight)
+        return np.bincount(text, total, len(first))
+
+
 class Block:
-    """A block's token runs as indexes into its own words and pairs, each kind sorted by key."""
+    """A block's texts as runs of indexes into its own words, pairs and triples, each kind sorted by key."""
 
     def __init__(self, rows: pa.Table) -> None:
         self.doc_id = rows["doc_id"].to_pylist()
         words: defaultdict = defaultdict()
         words.default_factory = words.__len__
-        runs = [np.fromiter(map(words.__getitem__, (START, *tokens(data))), np.int64) for data in rows["data"].to_pylist()]
-        self.start, self.end = words[START], words[END]
-        lengths = np.array([len(r) for r in runs])
+        runs = [np.fromiter(map(words.__getitem__, (START, *tokens(x.as_py() or b""))), np.int32) for x in rows["data"]]
+        lengths = np.array([len(r) for r in runs], np.int64)
         self.tokens = lengths - 1
         run = np.concatenate(runs)
-        first = np.cumsum(lengths) - lengths
-        before = np.delete(np.arange(len(run)), first + lengths - 1)
-        keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-        rank = np.argsort(keys)
-        place = np.empty(len(keys), np.int64)
-        place[rank] = np.arange(len(keys))
-        self.keys, self.start, self.end = keys[rank], place[self.start], place[self.end]
-        run = place[run]
-        self.before, self.at = run[before], run[before + 1]
-        self.pairs, self.pair = np.unique(_mixed(self.keys[self.before], self.keys[self.at]), return_inverse=True)
-        self.offsets = np.cumsum(self.tokens) - self.tokens
+        del runs
+        self.first = np.cumsum(lengths) - lengths + 1  # after the start of each text
+        digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+        rank = np.lexsort((digest[:, 1], digest[:, 0]))
+        place = np.empty(len(rank), np.int32)
+        place[rank] = np.arange(len(rank), dtype=np.int32)
+        self.low, self.high = np.ascontiguousarray(digest[rank, 0]), np.ascontiguousarray(digest[rank, 1])
+        self.start, self.end = int(place[words[START]]), int(place[words[END]])
+        del words
+        self.run = place[run]
+        at = np.ones(len(run), bool)
+        at[self.first - 1] = False
+        self.at = np.flatnonzero(at)  # places of tokens in the run; the token before each is its history
+        self.pairs, first, self.pair = np.unique(_mixed(self.low[self.run[self.at - 1]], self.low[self.run[self.at]]), return_index=True, return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
+        self.pair_words = self.run[self.at[first] - 1], self.run[self.at[first]]
+        third = np.ones(len(run), bool)
+        third[self.first - 1] = False
+        third[self.first] = False
+        third = third[self.at]  # tokens with two before them (a text's start is one)
+        here = np.flatnonzero(third)
+        key = _mixed(self.pairs[self.pair[here - 1]], self.low[self.run[self.at[here]]])
+        self.triples, first, self.triple = np.unique(key, return_index=True, return_inverse=True)
+        self.here = here
+        self.triple_parts = self.pair[here[first] - 1], self.run[self.at[here[first]]], self.pair[here[first]]
         left = [remainder(d) for d in self.doc_id]
         self.held = np.array([r == HELD for r in left])
         self.train = np.array([r is not None and r != HELD for r in left])
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences in training documents, for each key."""
+    def counts(self) -> list[np.ndarray]:
+        """Occurrences in training documents, of each word, pair and triple."""
         on = np.repeat(self.train, self.tokens)
-        return np.bincount(self.at[on], minlength=len(self.keys)), np.bincount(self.pair[on], minlength=len(self.pairs))
-
-
-def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each of the equal ranges of the key space begins and ends in sorted keys."""
-    return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
-
-
-SENT = "part int, block int, words binary, word_counts binary, pairs binary, pair_counts binary"
-
-
-def _counted(ranges: int, rows: pa.Table) -> pa.Table:
-    block = Block(rows)
-    words, pairs = block.counts()
-    w, p = _ranges(block.keys, ranges), _ranges(block.pairs, ranges)
-    some = np.flatnonzero((w[1:] > w[:-1]) | (p[1:] > p[:-1]))
-    packed = [[x[at[k] : at[k + 1]].tobytes() for k in some] for x, at in ((block.keys, w), (words.astype("<u4"), w), (block.pairs, p), (pairs.astype("<u4"), p))]
-    return pa.table([pa.array(some, pa.int32()), pa.array(np.full(len(some), rows["block"][0].as_py()), pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=["part", "block", "words", "word_counts", "pairs", "pair_counts"])
+        return [
+            np.bincount(self.run[self.at[on]], minlength=len(self.low)),
+            np.bincount(self.pair[on], minlength=len(self.pairs)),
+            np.bincount(self.triple[on[self.here]], minlength=len(self.triples)),
+        ]
+
+    def automaton(self, n: int, v: int, totals: list[np.ndarray], mu) -> Automaton:
+        words, pairs, triples = totals
+        history = words.copy()
+        history[self.start] = words[self.end]  # each document starts once and ends once
+        # the automaton wants arcs sorted by state and word, not by key
+        a, b = (x.astype(np.int64) for x in self.pair_words)
+        order = np.lexsort((b, a))
+        new = np.empty(len(order), np.int64)
+        new[order] = np.arange(len(order))
+        p, w, end = (x.astype(np.int64) for x in self.triple_parts)
+        p, end = new[p], new[end]
+        sort = np.lexsort((w, p))
+        return Automaton(n, v, words, history, (a[order], b[order], pairs[order]), (p[sort], w[sort], end[sort], triples[sort]), mu)
+
+
+KINDS = ("words", "pairs", "triples")
+SENT = "part int, block long, words binary, high binary, word_counts binary, pairs binary, pair_counts binary, triples binary, triple_counts binary"
+
+
+def _counted(ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for number, pack in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            block = Block(opened(pack.as_py()))
+            keys, counts = (block.low, block.pairs, block.triples), block.counts()
+            cuts = [bounds(k, ranges) for k in keys]
+            some = np.flatnonzero(np.logical_or.reduce([c[1:] > c[:-1] for c in cuts]))
+            columns = {"part": pa.array(some, pa.int32()), "block": pa.array(np.full(len(some), number), pa.int64())}
+            for name, key, count, cut in zip(KINDS, keys, counts, cuts, strict=True):
+                columns[name] = pa.array([put_keys(key[cut[k] : cut[k + 1]]) for k in some], pa.binary())
+                if name == "words":
+                    columns["high"] = pa.array([block.high[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
+                columns[f"{name[:-1]}_counts"] = pa.array([put_numbers(count[cut[k] : cut[k + 1]]) for k in some], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
+
+
+TOTALS = "part int, block long, words binary, pairs binary, triples binary, n long, v long"
 
 
 def _summed(rows: pa.Table) -> pa.Table:
     """For each block, its totals in its own order; on the first row also what the range adds to N and V."""
     back, n, v = [], 0, 0
-    for keys, counts in (("words", "word_counts"), ("pairs", "pair_counts")):
-        each = [np.frombuffer(x, "<u8") for x in rows[keys].to_pylist()]
-        _, inverse = np.unique(np.concatenate(each), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([np.frombuffer(x, "<u4") for x in rows[counts].to_pylist()]))
-        if keys == "words":
+    for name in KINDS:
+        each = [get_keys(x.as_py()) for x in rows[name]]
+        key, count = np.concatenate(each), np.concatenate([get_numbers(x.as_py()) for x in rows[f"{name[:-1]}_counts"]])
+        if name == "words":
+            high = np.frombuffer(b"".join(rows["high"].to_pylist()), "<u8")
+            order = np.lexsort((high, key))
+            apart = (np.diff(key[order]) > 0) | (np.diff(high[order]) != 0)
+        else:
+            order = np.argsort(key, kind="stable")
+            apart = np.diff(key[order]) > 0
+        group = np.concatenate([[0], np.cumsum(apart)]) if len(key) else np.zeros(0, np.int64)
+        total = np.add.reduceat(count[order], np.concatenate([[0], np.flatnonzero(apart) + 1])) if len(key) else count
+        if name == "words":
             n, v = int(total.sum()), int((total > 0).sum())
+        own = np.empty(len(key), np.int64)
+        own[order] = total[group]
         ends = np.cumsum([len(e) for e in each])
-        back.append([zlib.compress(x.astype("<u4").tobytes(), 1) for x in np.split(total[inverse], ends[:-1])])
+        back.append([put_numbers(x) for x in np.split(own, ends[:-1])])
     first = [1] + [0] * (rows.num_rows - 1)
-    return pa.table([rows["part"].combine_chunks(), rows["block"].combine_chunks(), *(pa.array(x, pa.binary()) for x in back), pa.array([n * f for f in first], pa.int64()), pa.array([v * f for f in first], pa.int64())], names=["part", "block", "word_totals", "pair_totals", "n", "v"])
+    return pa.table([rows["part"].combine_chunks(), rows["block"].combine_chunks(), *(pa.array(x, pa.binary()) for x in back), pa.array([n * f for f in first], pa.int64()), pa.array([v * f for f in first], pa.int64())], names=[f.split()[0] for f in TOTALS.split(", ")])
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(n: int, v: int, mu: float, rows: pa.Table, model: pa.Table) -> pa.Table:
-    if not rows.num_rows:
-        return pa.table({f.split()[0]: pa.array([], {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[f.split()[1]]) for f in SCORED.split(", ")})
-    block, model = Block(rows), model.sort_by("part")
-    words, pairs = (np.frombuffer(b"".join(map(zlib.decompress, model[c].to_pylist())), "<u4").astype(np.float64) for c in ("word_totals", "pair_totals"))
-    p = (words + ADD) / (n + ADD * (v + 1))
-    history = words.copy()
-    history[block.start] = words[block.end]  # each document starts once and ends once
-    empty = np.log10(p)
-    failure = np.log10(mu / (history + mu))
-    seen = pairs[block.pair]
-    # With bigrams the state after a token is that token's, by either arc: the walk over all texts is one expression.
-    arc = np.log10((seen + mu * p[block.at]) / (history[block.before] + mu))
-    weight = np.where(seen > 0, arc, failure[block.before] + empty[block.at])
-    sums = [np.add.reduceat(x, block.offsets) for x in ((words[block.at] > 0).astype(np.int64), empty[block.at], weight)]
-    return pa.table([pa.array(block.doc_id, pa.int64()), pa.array(block.held), pa.array(block.tokens, pa.int64()), pa.array(sums[0]), pa.array(np.full(len(block.doc_id), n), pa.int64()), pa.array(sums[1]), pa.array(sums[2])], names=[f.split()[0] for f in SCORED.split(", ")])
-
-
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mu: float = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _scored(n: int, v: int, mu: tuple[float, float], packs: pa.Table, model: pa.Table) -> pa.Table:
+    out = []
+    model = model.sort_by("part")
+    for pack in packs["pack"]:  # one
+        block = Block(opened(pack.as_py()))
+        totals = [np.concatenate([get_numbers(x.as_py()) for x in model[c]]) for c in KINDS]
+        automaton = block.automaton(n, v, totals, mu)
+        word = block.run[block.at]
+        offsets = block.first - 1 - np.arange(len(block.first))
+        known, base = (np.add.reduceat(x, offsets) for x in ((totals[0][word] > 0).astype(np.int64), automaton.empty[word]))
+        walked = automaton.walk(block.run, block.first, block.tokens, block.start)
+        out.append(pa.table([pa.array(block.doc_id, pa.int64()), pa.array(block.held), pa.array(block.tokens, pa.int64()), pa.array(known), pa.array(np.full(len(known), n), pa.int64()), pa.array(base), pa.array(walked)], names=[f.split()[0] for f in SCORED.split(", ")]))
+    return pa.concat_tables(out) if out else pa.table({f.split()[0]: pa.array([], {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[f.split()[1]]) for f in SCORED.split(", ")})
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mu: tuple[float, float] = MU, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """SCORED: one row per input row, by a model of the rows whose crc32(id) mod 10 is not 0.
 
     Null texts are empty (their end alone is scored); rows without an id are scored, but neither train nor are
     held out; repeated rows count as often as they occur; no rows give no rows, and with no training rows
     every probability is that of an unknown word. Other columns are not read.
     """
-    spark = docs.sparkSession
-    blocks = blocks_for(text_bytes(docs, text), block_bytes)
-    dealt = by_block(docs, blocks, doc_id, text)
-    sent = dealt.groupBy("block").applyInArrow(on_table(_counted, blocks), SENT)
-    totals = checkpoint(sent.groupBy("part").applyInArrow(on_table(_summed), "part int, block int, word_totals binary, pair_totals binary, n long, v long"))
-    del sent
-    release(spark)
+    packs = packed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data")), block_bytes)
+    sent = packs.select("block", "pack").mapInArrow(partial(_counted, ranges_for(packs, range_bytes)), SENT)
+    totals = stored(sent.groupBy("part").applyInArrow(on_table(_summed), TOTALS))
     n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    model = totals.select("part", "block", "word_totals", "pair_totals").groupBy("block")
-    return dealt.groupBy("block").cogroup(model).applyInArrow(on_tables(_scored, n, v, mu), SCORED)
+    model = totals.select("block", "part", "words", "pairs", "triples").groupBy("block")
+    return packs.groupBy("block").cogroup(model).applyInArrow(on_tables(_scored, n, v, tuple(mu)), SCORED)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() over all documents; see there for nulls, repeats and empty tables."""
     return score(table(spark, sf_dir, "documents"))

@@ -1,56 +1,12 @@
-from collections import Counter
-
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from codequery.llm import op4_quality_classifier as op4
-from codequery.llm import op5_lm_scoring as op5
 from codequery.llm import op7_language_id as op7
 
 SF = "/root/testdata/sf0.01"
 
 
-def naive(rows, mu):
-    train = [op5.tokens((t or "").encode()) for d, t in rows if op5.remainder(d) not in (None, 0)]
-    unigrams = Counter(w for ws in train for w in ws)
-    pairs = Counter(p for ws in train for p in zip([op5.START, *ws], ws, strict=False))
-    auto = op5.Automaton(unigrams, pairs, len(train), mu)
-    for d, t in rows:
-        ws = op5.tokens((t or "").encode())
-        base = sum(np.log10((unigrams.get(w, 0) + 0.1) / (auto.total + 0.1 * (len(unigrams) + 1))) for w in ws)
-        yield d, op5.remainder(d) == 0, len(ws), sum(w in unigrams for w in ws), auto.total, base, auto.score(ws)
-
-
-def test_language_model_equals_walked_automaton(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(70_001, None), (70_002, ""), (None, "the the"), (70_004, "A b\x0bC\x1cd é É"), (70_005, "w " * 30_000)]
-    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, block int, data string")
-    want = sorted(naive(rows, op5.MU), key=str)
-    for size in (op5.BLOCK_BYTES, 50_000):
-        got = sorted(map(tuple, op5.score(df, block_bytes=size).collect()), key=str)
-        assert len(got) == len(want)
-        for g, w in zip(got, want, strict=True):
-            assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
-
-
-def test_language_model_without_rows_or_training(spark):
-    df = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
-    (row,) = op5.score(df).collect()
-    assert (row.train_tokens, row.n_known, row.base_score, row.score) == (0, 0, 0.0, 0.0)
-    assert op5.score(df.limit(0)).collect() == []
-
-
-def test_arcs_of_a_state_sum_to_one():
-    texts = [op5.tokens(b"a b"), op5.tokens(b"A a b b")]
-    unigrams, pairs = Counter(w for ws in texts for w in ws), Counter(p for ws in texts for p in zip([op5.START, *ws], ws, strict=False))
-    auto = op5.Automaton(unigrams, pairs, 2, 4.0)
-    unseen = 0.1 / auto.bottom
-    for state in (b"a", b"b", op5.START):
-        mass = sum(10 ** (auto.arcs(state, w) if auto.arcs(state, w) is not None else auto.failure(state) + auto.arcs(None, w)) for w in unigrams)
-        assert mass + 10 ** auto.failure(state) * unseen == pytest.approx(1)
-
-
 def test_quality_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = op4.op4_quality_classifier(spark, SF)
