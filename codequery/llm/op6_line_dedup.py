@@ -1,34 +1,57 @@
 """Line dedup: fuzzy lines by MinHash.
 
-Lines (trimmed, lower-cased; blank ones are left alone) are sets of shingles of five characters, a shorter
-line being one shingle. MinHash signatures are cut into bands; lines that share a band are joined into coarse
-clusters by union-find; only lines of a cluster are fetched, and those that share a band are verified by exact
-Jaccard similarity. The verified links go through distributed union-find, and of each component the first line
-(by document, then place) stays. Clusters beyond BLOCK_LINES are verified band by band (bands of equal lines once), or block against block where
-that takes fewer rows; the work so follows the bands' sizes and not the square of a chained cluster's.
+Lines (trimmed, lower-cased; blank ones are left alone) are sets of shingles of five characters, a shorter line being
+one shingle. In blocks of documents:
+
+1. equal lines meet by 128 bits of hash in a range of the key space, which answers who holds a line first;
+2. first holders sign their lines; band keys meet in ranges; lines that share a band are a unit (units of equal
+   members are one), and the blocks learn the units of their lines;
+3. the lines of units are fetched and verified by exact Jaccard similarity: each against the unit's leader, and what
+   that leaves apart against all of the unit. A unit beyond UNIT_LINES is dealt into parts, each with the leader,
+   and lines that stay apart from it visit the other parts;
+4. the verified links go through distributed union-find, and of each component the first line (by document, then
+   place) stays.
+
+Bands are sharp (six rows), so that lines that share only common words hardly meet: their number grows with the square
+of the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import checkpoint, on_table, release, table
+from .blocks import bounds, get_keys, get_numbers, opened, packed, put_keys, put_numbers, ranges_for
+from .common import dropped, on_table, on_tables, stored, table
 from .components import Forest, components
 
 SIMILARITY = 0.8
 SHINGLE = 5
-BANDS, ROWS = 12, 4
-BLOCK_LINES = 4096
+BANDS, ROWS = 24, 6
+BLOCK_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
+UNIT_LINES = 1024
+#: A line's id is its block's number and its place among the block's distinct lines.
+LINE_BITS = 26
+BLANK = " \t\r\x0b\f"
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
+PLACE = np.dtype([("has", "u1"), ("doc", "<i8"), ("row", "<u8"), ("pos", "<u4")])
+
+
+def normal(line: str) -> str:
+    return line.strip(BLANK).lower()
 
 
 def _padded(line: bytes) -> str:
@@ -54,8 +77,8 @@ def shingles(line: bytes) -> np.ndarray:
 
 
 def bands(lines: list[bytes], stretch: int = 1 << 16) -> np.ndarray:
-    """(lines, BANDS) int64: lines that agree in ROWS minima of a band get the same number for it."""
-    out = np.empty((len(lines), BANDS), np.int64)
+    """(lines, BANDS) keys: lines that agree in ROWS minima of a band get the same key for it."""
+    out = np.empty((len(lines), BANDS), np.uint64)
     first, held = 0, 0
     for i, line in enumerate(lines):
         held += len(line)
@@ -71,14 +94,12 @@ def _bands(lines: list[str]) -> np.ndarray:
     edges = np.stack([start, start + lengths - SHINGLE + 1], 1).ravel()
     w = _windows("".join(lines) + "\0" * SHINGLE)
     x = ((w * _MIX) >> np.uint64(32)).astype(np.uint32)
-    low = np.empty((len(lines), BANDS, ROWS), np.uint64)
-    for k in range(BANDS * ROWS):
-        low[:, k // ROWS, k % ROWS] = np.minimum.reduceat(x * _A[k] + _B[k], edges)[::2]
     key = np.arange(BANDS, dtype=np.uint64)[None, :] + np.zeros((len(lines), 1), np.uint64)
     for r in range(ROWS):
-        key = (key ^ low[:, :, r]) * _MIX
+        low = np.stack([np.minimum.reduceat(x * _A[k] + _B[k], edges)[::2] for k in range(r, BANDS * ROWS, ROWS)], 1)
+        key = (key ^ low) * _MIX
         key ^= key >> np.uint64(31)
-    return key.view(np.int64)
+    return key
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, limit: float) -> bool:
@@ -88,181 +109,313 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, limit: float) -> bool:
     return both >= limit * (len(a) + len(b) - both)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences with the bands of their line, on its first occurrence in the partition only."""
-    seen: set[int] = set()
+class Lines:
+    """A block's lines: rows, places and distinct lines, these sorted by their hashes."""
+
+    def __init__(self, number: int, rows: pa.Table, text_at: int) -> None:
+        """rows: columns of the documents, the last one the id; text_at: which one holds the text."""
+        self.number, self.rows, self.text_at = number, rows, text_at
+        ids, texts = rows.column(rows.num_columns - 1).to_pylist(), rows.column(text_at)
+        self.has = np.array([d is not None for d in ids], np.uint8)
+        self.doc = np.array([d or 0 for d in ids], np.int64)
+        self.hash = np.zeros(len(ids), np.uint64)
+        self.norm: list[str] = []
+        row, pos, line = [], [], []
+        known: dict[bytes, int] = {}
+        for i, t in enumerate(texts):
+            text = t.as_py()
+            if not text:
+                continue
+            self.hash[i] = xxhash.xxh3_64_intdigest(text)
+            for k, x in enumerate(map(normal, text.split("\n"))):
+                if x:
+                    key = xxhash.xxh3_128_digest(x)
+                    at = known.get(key)
+                    if at is None:
+                        at = known[key] = len(known)
+                        self.norm.append(x)
+                    row.append(i)
+                    pos.append(k)
+                    line.append(at)
+        self.row, self.pos, line = (np.array(x, np.int64) for x in (row, pos, line))
+        digest = np.frombuffer(b"".join(known), "<u8").reshape(-1, 2)
+        if len(digest) >> LINE_BITS:
+            raise ValueError("a block has too many lines")
+        order = np.lexsort((digest[:, 1], digest[:, 0]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.low, self.high = np.ascontiguousarray(digest[order, 0]), np.ascontiguousarray(digest[order, 1])
+        self.norm = [self.norm[i] for i in order.tolist()]
+        self.line = place[line]
+        # rows in their order; rows equal in id and text take the same place in it
+        by = np.lexsort((self.hash, self.doc, self.has))
+        turn = np.concatenate([[0], np.cumsum((np.diff(self.has[by].astype(int)) != 0) | (np.diff(self.doc[by]) != 0) | (self.hash[by][1:] != self.hash[by][:-1]))]) if len(by) else by
+        rank = np.empty(len(by), np.int64)
+        rank[by] = turn
+        self.at = (rank[self.row] << 32) | self.pos
+        self.first = np.full(len(order), np.iinfo(np.int64).max)
+        np.minimum.at(self.first, self.line, self.at)
+
+    def places(self) -> np.ndarray:
+        """PLACE of the first occurrence of each distinct line."""
+        out = np.zeros(len(self.low), PLACE)
+        one = np.flatnonzero(self.at == self.first[self.line])
+        at, row = self.line[one], self.row[one]
+        out["has"][at], out["doc"][at], out["row"][at], out["pos"][at] = self.has[row], self.doc[row], self.hash[row], self.pos[one]
+        return out
+
+
+def _each(packs: pa.Table, text_at: int) -> Iterator[Lines]:
+    for number, pack in zip(packs["block"].to_pylist(), packs["pack"], strict=True):
+        yield Lines(number, opened(pack.as_py()), text_at)
+
+
+def _sent(block: int, cut: np.ndarray, **columns) -> pa.Table:
+    """A row for each range that has keys: columns give (kind of packing, array)."""
+    some = np.flatnonzero(cut[1:] > cut[:-1])
+    made = {c: pa.array([put(x[cut[k] : cut[k + 1]]) for k in some], pa.binary()) for c, (put, x) in columns.items()}
+    return pa.table({"part": pa.array(some, pa.int32()), "block": pa.array(np.full(len(some), block), pa.int64()), **made})
+
+
+# 1. Who holds a line first.
+
+
+def _held(ranges: int, text_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        key = batch.column("line").to_pylist()
-        fresh = []
-        for i, k in enumerate(key):
-            if k not in seen:
-                seen.add(k)
-                fresh.append(i)
-        texts = batch.column("norm").take(pa.array(fresh, pa.int64())).to_pylist()
-        found: list = [None] * len(key)
-        for i, row in zip(fresh, bands(texts).tolist() if texts else [], strict=True):
-            found[i] = row
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("line", "doc_id", "row", "pos")] + [pa.array(found, pa.list_(pa.int64()))], ["line", "doc_id", "row", "pos", "bands"])
-
-
-def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (band, line): each line with the first one of its band."""
-    last, first = None, None
+        for lines in _each(pa.Table.from_batches([batch]), text_at):
+            sent = _sent(lines.number, bounds(lines.low, ranges), low=(put_keys, lines.low), high=(bytes, lines.high), place=(bytes, lines.places()))
+            yield from sent.to_batches()
+
+
+def _owned(rows: pa.Table) -> pa.Table:
+    """For each block, whether its place of a line is the first of all (a byte a line, in its order)."""
+    low = [get_keys(x.as_py()) for x in rows["low"]]
+    place = np.frombuffer(b"".join(rows["place"].to_pylist()), PLACE)
+    keys = np.concatenate(low), np.frombuffer(b"".join(rows["high"].to_pylist()), "<u8")
+    order = np.lexsort((place["pos"], place["row"], place["doc"], place["has"], keys[1], keys[0]))
+    begins = np.ones(len(order), bool)
+    begins[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    first = order[np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))]
+    own = np.empty(len(order), np.uint8)
+    own[order] = place[order] == place[first]
+    ends = np.cumsum([len(x) for x in low])
+    return pa.table({"block": rows["block"], "part": rows["part"], "marks": pa.array([x.tobytes() for x in np.split(own, ends[:-1])], pa.binary())})
+
+
+def _own(marks: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(marks.sort_by("part")["marks"].to_pylist()), np.uint8).astype(bool)
+
+
+# 2. Bands and units.
+
+
+def _signed(ranges: int, text_at: int, packs: pa.Table, marks: pa.Table) -> pa.Table:
+    out = [pa.table({"part": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "lines": pa.array([], pa.binary())})]
+    for lines in _each(packs, text_at):
+        own = np.flatnonzero(_own(marks))
+        if len(own):
+            key = bands([lines.norm[i].encode("utf-8", "surrogatepass") for i in own.tolist()]).ravel()
+            order = np.argsort(key, kind="stable")
+            key, at = key[order], own[order // BANDS]
+            out.append(_sent(lines.number, bounds(key, ranges), keys=(put_keys, key), lines=(put_numbers, at)))
+    return pa.concat_tables(out)
+
+
+def _united(rows: pa.Table) -> pa.Table:
+    """For each block, the units that its lines are in: unit, its size and whether the line leads it."""
+    each = [get_keys(x.as_py()) for x in rows["keys"]]
+    key = np.concatenate(each)
+    block = np.repeat(rows["block"].to_numpy(), [len(x) for x in each])
+    line = (block << LINE_BITS) | np.concatenate([get_numbers(x.as_py()) for x in rows["lines"]])
+    order = np.lexsort((line, key))
+    key, line = key[order], line[order]
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.concatenate([begins, [len(key)]]))
+    mixed = (line.astype(np.uint64) + _ODD) * _MIX
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _ODD
+    unit = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), begins)
+    lead = np.repeat(line[begins], size) == line
+    unit, size = np.repeat(unit, size), np.repeat(size, size)
+    some = size > 1
+    line, unit, size, lead = line[some], unit[some], size[some], lead[some]
+    order = np.argsort(line >> LINE_BITS, kind="stable")
+    line, unit, size, lead = line[order], unit[order], size[order], lead[order]
+    number, at = np.unique(line >> LINE_BITS, return_index=True)
+    cuts = np.concatenate([at, [len(line)]])
+    packed_by = lambda put, x: pa.array([put(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+    return pa.table({"block": pa.array(number, pa.int64()), "units": packed_by(bytes, unit), "lines": packed_by(put_numbers, line & ((1 << LINE_BITS) - 1)), "sizes": packed_by(put_numbers, size), "leads": packed_by(put_numbers, lead.astype(np.int64))})
+
+
+# 3. Fetching and verifying.
+
+FETCHED = "unit long, size long, lead boolean, line long, has boolean, doc long, row long, pos long, norm binary"
+
+
+def _fetched(text_at: int, packs: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The lines of units; a unit that several ranges found comes once."""
+    empty = pa.table({"unit": pa.array([], pa.int64()), "size": pa.array([], pa.int64()), "lead": pa.array([], pa.bool_()), "line": pa.array([], pa.int64()), "has": pa.array([], pa.bool_()), "doc": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "pos": pa.array([], pa.int64()), "norm": pa.array([], pa.binary())})
+    if not wanted.num_rows:
+        return empty
+    out = [empty]
+    unit = np.frombuffer(b"".join(wanted["units"].to_pylist()), "<i8")
+    line, size, lead = (np.concatenate([get_numbers(x.as_py()) for x in wanted[c]]) for c in ("lines", "sizes", "leads"))
+    one = np.unique(np.stack([unit, line], 1), axis=0, return_index=True)[1]
+    for lines in _each(packs, text_at):
+        place = lines.places()[line[one]]
+        texts = [lines.norm[i].encode("utf-8", "surrogatepass") for i in line[one].tolist()]
+        out.append(pa.table([pa.array(unit[one]), pa.array(size[one]), pa.array(lead[one] > 0), pa.array((lines.number << LINE_BITS) | line[one]), pa.array(place["has"] > 0), pa.array(place["doc"]), pa.array(np.ascontiguousarray(place["row"]).view(np.int64)), pa.array(place["pos"].astype(np.int64)), pa.array(texts, pa.binary())], names=empty.column_names))
+    return pa.concat_tables(out)
+
+
+class _Unit:
+    """Lines of a unit's part, the leader first, and the forest of their verified links."""
+
+    def __init__(self, texts: list[bytes], limit: float) -> None:
+        sets = [shingles(t) for t in texts]
+        self.size = np.array([len(s) for s in sets])
+        self.start = np.cumsum(self.size) - self.size
+        self.every, self.owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        self.limit, self.forest = limit, Forest()
+
+    def visit(self, k: int) -> None:
+        """Link line k with every line that is similar to it."""
+        own = self.every[self.start[k] : self.start[k] + self.size[k]]
+        same = own[np.minimum(np.searchsorted(own, self.every), len(own) - 1)] == self.every
+        both = np.bincount(self.owner[same], minlength=len(self.size))
+        for j in np.flatnonzero(both >= self.limit * (self.size + self.size[k] - both)).tolist():
+            self.forest.union(k, j)
+
+    def apart(self) -> list[int]:
+        """Visits the leader, then each line that is not connected with it at its turn; gives those that end apart."""
+        self.visit(0)
+        for k in range(1, len(self.size)):
+            if self.forest.find(k) != self.forest.find(0):
+                self.visit(k)
+        return [k for k in range(1, len(self.size)) if self.forest.find(k) != self.forest.find(0)]
+
+
+LINKS = "a long, b long, apart boolean, unit long"
+
+
+def _verified(limit: float, visiting: bool, rows: pa.Table) -> pa.Table:
+    """Links (a, b) of each (unit, part) in the group; of units of many parts also the lines that stay apart (a, null).
+
+    visiting: rows marked lead are visitors, compared with all lines of the part, and nothing else is.
+    """
+    parts: dict[tuple, list[int]] = {}
+    lead = rows["lead"].to_numpy()
+    for i, key in enumerate(zip(rows["unit"].to_pylist(), rows["o"].to_pylist(), strict=True)):
+        parts.setdefault(key, []).append(i)
+    line, texts, several = rows["line"].to_numpy(), rows["norm"], rows["parts"].to_numpy() > 1
+    out: list[tuple] = []
+    for (unit, _), at in parts.items():
+        at = np.array(sorted(at, key=lambda i: (not lead[i], line[i])))
+        found = _Unit(texts.take(pa.array(at)).to_pylist(), limit)
+        if visiting:
+            for k in range(int(lead[at].sum())):
+                found.visit(k)
+        else:
+            left = found.apart()
+            if several[at[0]]:
+                out += [(int(line[at[k]]), None, True, unit) for k in left]
+        out += [(int(line[at[a]]), int(line[at[b]]), False, unit) for a, b in found.forest.stars()]
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in LINKS.split(", ")])
+
+
+def _links(fetched: DataFrame, similarity: float, unit_lines: int) -> DataFrame:
+    """(a, b) of verified lines of all units."""
+    rows = fetched.select("unit", "lead", "line", "norm", F.ceil(F.col("size") / unit_lines).alias("parts"))
+    own = F.pmod(F.xxhash64("line"), F.col("parts"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    n = rows.count()
+
+    def verify(dealt: DataFrame, visiting: bool) -> DataFrame:
+        groups = max(1, -(-n // (4 * unit_lines)))
+        keyed = dealt.withColumn("g", F.pmod(F.xxhash64("unit", "o"), F.lit(groups)))
+        return stored(keyed.groupBy("g").applyInArrow(on_table(_verified, similarity, visiting), LINKS))
+
+    # the leader goes to every part
+    first = verify(rows.withColumn("o", F.explode(F.when(F.col("lead"), every).otherwise(F.array(own)))), False)
+    links = first.where("not apart")
+    left = first.where("apart").select("unit", F.col("a").alias("line"), F.lit(True).alias("_left"))
+    if left.isEmpty():
+        return links.select("a", "b")
+    many = rows.where("parts > 1").join(left, ["unit", "line"], "left").drop("lead")
+    visitors = many.where("_left").withColumn("o", F.explode(every)).where(F.col("o") != own).withColumn("lead", F.lit(True))
+    hosts = many.join(left.select("unit").distinct(), "unit", "left_semi").withColumn("o", own).withColumn("lead", F.lit(False))
+    return links.select("a", "b").union(verify(visitors.unionByName(hosts), True).where("not apart").select("a", "b"))
+
+
+# 4. What stays.
+
+
+def _gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines to take out, gathered by block."""
     for batch in batches:
-        band, line = (c.to_numpy() for c in batch.columns)
-        if not len(band):
-            continue
-        begins = np.concatenate([[last is None or band[0] != last], band[1:] != band[:-1]])
-        head = np.maximum.accumulate(np.where(begins, np.arange(len(band)), -1))
-        leader = np.where(head >= 0, line[np.maximum(head, 0)], first if first is not None else 0)
-        last, first = band[-1], leader[-1]
-        apart = line != leader
-        yield pa.RecordBatch.from_arrays([pa.array(line[apart]), pa.array(leader[apart])], ["a", "b"])
-
-
-class _Cluster:
-    """Lines of a coarse cluster, and the forest of their verified links."""
-
-    def __init__(self, rows: list[int], texts: list[bytes], limit: float) -> None:
-        self.rows, self.texts, self.limit = rows, texts, limit
-        self.sets: dict[int, np.ndarray] = {}
-        self.forest, self.tried = Forest(), set()
-
-    def link(self, a: int, b: int) -> None:
-        if (a, b) in self.tried or self.forest.find(a) == self.forest.find(b):
-            return
-        self.tried.add((a, b))
-        for k in (a, b):
-            if k not in self.sets:
-                self.sets[k] = shingles(self.texts[k])
-        if jaccard_at_least(self.sets[a], self.sets[b], self.limit):
-            self.forest.union(a, b)
-
-    def whole(self, members) -> bool:
-        return len({self.forest.find(k) for k in members}) <= 1
-
-    def finish(self, keys: list[list[int]]) -> None:
-        """Every pair that shares a band: one line of each band against the rest, then whatever that left apart."""
-        members: dict[int, list[int]] = {}
-        for k, own in enumerate(keys):
-            for key in own:
-                members.setdefault(key, []).append(k)
-        shared = [m for m in members.values() if len(m) > 1]
-        for m in shared:
-            for b in m[1:]:
-                self.link(m[0], b)
-        for m in shared:
-            if not self.whole(m):
-                self.every(m)
-
-    def every(self, members: list[int]) -> None:
-        for x, a in enumerate(members):
-            for b in members[x + 1 :]:
-                self.link(a, b)
-
-
-def _verified(limit: float, rows: pa.Table) -> pa.Table:
-    clusters: dict[tuple, list[int]] = {}
-    for i, key in enumerate(zip(rows["banded"].to_pylist(), rows["unit"].to_pylist(), rows["i"].to_pylist(), rows["j"].to_pylist(), strict=True)):
-        clusters.setdefault(key, []).append(i)
-    line, text = rows["line"].to_pylist(), rows["norm"]
-    left, right = [], []
-    todo = [_Cluster(at, text.take(pa.array(at)).to_pylist(), limit) for at in clusters.values()]
-    for c in todo:  # most clusters are one line's variants
-        for b in range(1, len(c.texts)):
-            c.link(0, b)
-    apart = []
-    for (banded, *_), c in zip(clusters, todo, strict=True):
-        if not c.whole(range(len(c.texts))):
-            if banded:  # all share the band
-                c.every(list(range(len(c.texts))))
-            else:
-                apart.append(c)
-    keys = bands([t for c in apart for t in c.texts]).tolist()  # in one call: short lists cost as much as long ones
-    at = 0
-    for c in apart:
-        c.finish(keys[at : at + len(c.texts)])
-        at += len(c.texts)
-    for c in todo:
-        for a, b in c.forest.stars():
-            left.append(line[c.rows[a]])
-            right.append(line[c.rows[b]])
-    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-
-def _units(found: DataFrame, coarse: DataFrame, block_lines: int) -> DataFrame:
-    """(line, unit, banded, blocks): coarse clusters, and bands of those clusters that have fewer rows by band than by block."""
-    blocks = F.ceil(F.col("n") / block_lines).cast("int")
-    sizes = coarse.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("blocks", blocks)
-    whole = coarse.join(sizes, "cluster").select("line", F.col("cluster").alias("unit"), F.lit(False).alias("banded"), "blocks")
-    large = sizes.where("blocks > 1")
-    if large.isEmpty():
-        return whole
-    own = coarse.join(large.select("cluster"), "cluster")
-    members = checkpoint(found.where("bands is not null").select("line", "bands").join(own, "line").select("cluster", "line", F.explode("bands").alias("band")).distinct())
-    same = [F.bit_xor(F.xxhash64("line", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
-    bands_of = members.groupBy("cluster", "band").agg(F.count("*").alias("n"), *same).where("n > 1")
-    bands_of = bands_of.groupBy("cluster", "n", "x0", "x1").agg(F.min("band").alias("band")).select("cluster", "band", blocks.alias("blocks"), "n")
-    bands_of = checkpoint(bands_of)
-    cost = bands_of.groupBy("cluster").agg(F.sum(F.col("n") * F.col("blocks")).alias("cost"))
-    chosen = cost.join(large, "cluster").where(F.col("cost") < F.col("n") * F.col("blocks")).select("cluster")
-    by_band = members.join(bands_of.drop("n"), ["cluster", "band"]).join(chosen, "cluster").select("line", F.col("band").alias("unit"), F.lit(True).alias("banded"), "blocks")
-    return whole.join(chosen.withColumnRenamed("cluster", "unit"), "unit", "left_anti").select(*whole.columns).union(by_band)
-
-
-def _row_key(doc_id: str, text: str):
-    return F.xxhash64(F.col(doc_id), F.col(text))
-
-
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, block_lines: int = BLOCK_LINES) -> DataFrame:
+        line = np.sort(batch.column(0).to_numpy())
+        number, at = np.unique(line >> LINE_BITS, return_index=True)
+        marks = [put_numbers(x & ((1 << LINE_BITS) - 1)) for x in np.split(line, at[1:])] if len(line) else []
+        yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array([-1] * len(number), pa.int32()), pa.array(marks, pa.binary())], ["block", "part", "marks"])
+
+
+def _rebuilt(text_at: int, schema: pa.Schema | None, packs: pa.Table, marks: pa.Table) -> pa.Table:
+    out = []
+    gone = pc.equal(marks["part"], -1)
+    for lines in _each(packs, text_at):
+        keep = _own(marks.filter(pc.invert(gone))).copy()
+        for x in marks.filter(gone)["marks"]:
+            keep[get_numbers(x.as_py())] = False
+        stays = keep[lines.line] & (lines.at == lines.first[lines.line])
+        total = np.bincount(lines.row, minlength=lines.rows.num_rows)
+        removed = np.bincount(lines.row[~stays], minlength=lines.rows.num_rows)
+        texts = lines.rows.column(text_at).to_pylist()
+        leave: dict[int, set[int]] = {}
+        for i, k in zip(lines.row[~stays].tolist(), lines.pos[~stays].tolist(), strict=True):
+            leave.setdefault(i, set()).add(k)
+        for i, ks in leave.items():
+            texts[i] = "\n".join([x for k, x in enumerate(texts[i].split("\n")) if k not in ks])
+        rows = lines.rows.set_column(text_at, lines.rows.schema.field(text_at), pa.array(texts, lines.rows.schema.field(text_at).type))
+        rows = rows.remove_column(rows.num_columns - 1)
+        out.append(rows.append_column("_lines", pa.array(total, pa.int32())).append_column("_removed", pa.array(removed, pa.int32())))
+    return pa.concat_tables(out) if out else pa.table([pa.array([], f.type) for f in schema], schema=schema)
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, unit_lines: int = UNIT_LINES, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs with the text less the lines that another line stands for, and columns _lines and _removed (counts).
 
     Null and empty texts have no lines and stay as they are; so do blank lines. Rows equal in id and text are
     one document, and keep the same lines; a null id sorts first; lines of any length are compared whole; no
-    rows give no rows. All columns of docs are kept.
+    rows give no rows. All columns of docs are kept; none may be called _lines or _removed.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
-    norm = F.lower(F.btrim(F.col("l"), F.lit(" \t\r\u000b\f")))
-    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "l")).select("doc_id", "row", "pos", norm.alias("norm")).where("norm <> ''")
-    lines = lines.select(F.xxhash64("norm").alias("line"), "doc_id", "row", "pos", F.col("norm").cast("binary").alias("norm"))
-    found = checkpoint(lines.mapInArrow(_signed, "line long, doc_id long, row long, pos int, bands array<long>"))
-
-    banded = found.where("bands is not null").select(F.explode("bands").alias("band"), "line")
-    pairs = banded.repartition("band").sortWithinPartitions("band", "line").mapInArrow(_chained, "a long, b long")
-    coarse = components(pairs, "a", "b")
-    coarse = checkpoint(coarse.union(coarse.select("root", "root").distinct()).toDF("line", "cluster"))
-    del pairs, banded
-    release(spark)
-
-    places = found.select("line", F.struct("doc_id", "row", "pos").alias("at"))
-    owner = places.join(coarse, "line").groupBy("line", "cluster").agg(F.min("at").alias("at"))
-    wanted = owner.groupBy("at.row").agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "line", "cluster")).alias("want"))
-    texts = rows.select("row", "text").join(wanted, "row").select(F.split("text", "\n").alias("l"), F.explode("want").alias("w"))
-    texts = texts.select("w.line", "w.cluster", F.get("l", F.col("w.pos")).alias("l")).select("line", "cluster", norm.cast("binary").alias("norm"))
-    units = checkpoint(_units(found, coarse, block_lines))
-    texts = texts.select("line", "norm").join(units, "line").withColumn("own", F.pmod(F.hash("line"), F.col("blocks")))
-    turns = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j")))
-    texts = texts.select("line", "unit", "banded", "norm", F.explode(turns).alias("t")).select("line", "unit", "banded", "norm", "t.*")
-    groups = max(1, -(-units.count() // (block_lines // 2)))
-    texts = texts.withColumn("g", F.pmod(F.xxhash64("unit", "banded", "i", "j"), F.lit(groups)))
-    links = checkpoint(texts.groupBy("g").applyInArrow(on_table(_verified, similarity), "a long, b long"))
-    del texts, units
-    release(spark)
-
-    classes = components(links, "a", "b")
-    of = found.select("line", "doc_id", "row", "pos").join(classes, F.col("line") == F.col("v"), "left")
-    of = of.select(F.coalesce("root", "line").alias("class"), F.struct("doc_id", "row", "pos").alias("at"))
-    first = of.groupBy("class").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = of.join(first, "class").where(~F.col("at").eqNullSafe(F.col("first")))
-    gone = gone.groupBy(F.col("at.row").alias("_row")).agg(F.collect_set("at.pos").alias("_gone"))
-
-    out = docs.withColumn("_row", _row_key(doc_id, text)).join(gone, "_row", "left")
-    split = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumn("_lines", F.coalesce(F.size(F.filter(split, lambda x: F.btrim(x, F.lit(" \t\r\u000b\f")) != "")), F.lit(0)))
-    out = out.withColumn("_removed", F.coalesce(F.size("_gone"), F.lit(0))).withColumn("_text", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
-    return out.withColumn(text, F.col("_text")).select(*docs.columns, "_lines", "_removed")
+    key = "_id"
+    while key in docs.columns:
+        key += "_"
+    text_at = docs.columns.index(text)
+    packs = packed(docs.select("*", F.col(doc_id).cast("long").alias(key)), block_bytes)
+    ranges = ranges_for(packs, range_bytes)
+    whole = packs.select("block", "pack")
+
+    sent = whole.mapInArrow(partial(_held, ranges, text_at), "part int, block long, low binary, high binary, place binary")
+    marks = stored(sent.groupBy("part").applyInArrow(on_table(_owned), "block long, part int, marks binary"))
+
+    signed = whole.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(on_tables(_signed, ranges, text_at), "part int, block long, keys binary, lines binary")
+    units = stored(signed.groupBy("part").applyInArrow(on_table(_united), "block long, units binary, lines binary, sizes binary, leads binary"))
+    fetched = stored(whole.groupBy("block").cogroup(units.groupBy("block")).applyInArrow(on_tables(_fetched, text_at), FETCHED))
+    dropped(units)
+
+    classes = components(_links(fetched, similarity, unit_lines), "a", "b")
+    place = F.struct("has", "doc", F.col("row").alias("row"), "pos")
+    at = fetched.select("line", place.alias("at")).distinct()
+    roots = classes.select(F.col("root").alias("v"), "root").distinct()
+    of = at.join(classes.union(roots), F.col("line") == F.col("v"))
+    first = of.groupBy("root").agg(F.min("at").alias("first"))
+    gone = stored(of.join(first, "root").where(F.col("at") != F.col("first")).select("line").distinct().mapInArrow(_gone, "block long, part int, marks binary"))
+
+    out = StructType([*docs.schema.fields, StructField("_lines", IntegerType()), StructField("_removed", IntegerType())])
+    none = docs.sparkSession.createDataFrame([], out).toArrow().schema
+    decided = marks.unionByName(gone)
+    return whole.groupBy("block").cogroup(decided.groupBy("block")).applyInArrow(on_tables(_rebuilt, text_at, none), out)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -272,5 +425,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup() over all documents, with its counts; see there for nulls, repeats and empty tables."""
     out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"), "text")

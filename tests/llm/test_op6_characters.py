@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from codequery.llm import op6_line_dedup as op6
 
 WORDS = {
@@ -45,15 +47,31 @@ def test_one_changed_character_links_where_five_character_sets_agree(spark):
     want = {i: line if i in first.values() else "" for i, line in enumerate(made)}
     assert list(want.values()).count("") > 20
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
-    for block in (4096, 2):
-        assert {r.doc_id: r.text for r in op6.dedup(docs, block_lines=block).collect()} == want
-
-
-def test_a_chained_cluster_costs_its_bands_not_its_square(spark):
-    n = 200
-    coarse = spark.createDataFrame([(i, 0) for i in range(n)], "line long, cluster long")
-    found = spark.createDataFrame([(i, [i // 2, 1000 + (i + 1) // 2]) for i in range(n)], "line long, bands array<long>")
-    rows = [r for r in op6._units(found, coarse, 4).collect()]
-    assert all(r.banded and r.blocks == 1 for r in rows) and len(rows) < 2 * n
-    pairs = {tuple(sorted(r.line for r in rows if r.unit == u)) for u in {r.unit for r in rows}}
-    assert pairs == {(i, i + 1) for i in range(n - 1)}
+    for size in (1024, 2):
+        assert {r.doc_id: r.text for r in op6.dedup(docs, unit_lines=size, block_bytes=1 << 10 + size, range_bytes=1 << 11).collect()} == want
+
+
+def test_a_unit_in_parts_links_what_one_part_links():
+    """Lines that stay apart from their part's leader visit the other parts."""
+    rng = random.Random(9)
+    base = [" ".join(rng.choice(WORDS["en"].split()) for _ in range(12)) for _ in range(3)]
+    texts = sorted({b[:i] + c + b[i + 1 :] for b in base for i in range(0, len(b), 7) for c in "#+"})
+    unit = op6._Unit([t.encode() for t in texts], 0.8)
+    unit.apart()
+    sets = [own_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root = [root[a] if r == root[b] else r for r in root]
+    together = lambda f: {(a, b) for a in range(len(texts)) for b in range(a) if f(a) == f(b)}
+    assert together(unit.forest.find) == together(root.__getitem__)
+
+
+def test_places_and_bands_of_a_block():
+    rows = pa.table({"text": ["a\n B \n\nb", "b\na", None, "b\na"], "id": pa.array([5, 2, 1, 2], pa.int64())})
+    lines = op6.Lines(3, rows, 0)
+    assert sorted(lines.norm) == ["a", "b"] and len(lines.line) == 7
+    place = {n: tuple(p) for n, p in zip(lines.norm, lines.places().tolist(), strict=True)}
+    assert {n: (p[0], p[1], p[3]) for n, p in place.items()} == {"a": (1, 2, 1), "b": (1, 2, 0)}
+    assert int((lines.at == lines.first[lines.line]).sum()) == 4  # both copies of one row hold them

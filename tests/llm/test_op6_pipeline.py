@@ -50,8 +50,8 @@ def test_lines_equal_brute_force(spark):
     rows = fixture(spark)
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, line int, band int")
     want = sorted(brute(rows), key=str)
-    for block in (4096, 2):
-        got = op6.dedup(df, block_lines=block)
+    for size in (1024, 2):
+        got = op6.dedup(df, unit_lines=size, block_bytes=20 * size << 10, range_bytes=100_000)
         assert got.columns == ["doc_id", "text", "line", "band", "_lines", "_removed"]
         assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == want
 
