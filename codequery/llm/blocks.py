@@ -27,7 +27,7 @@ MAX_RANGES = 1 << 17
 RANGE_BYTES = 16 << 20
 
 
-def _ipc(rows: pa.Table) -> bytes:
+def ipc(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_table(rows.combine_chunks())
@@ -47,7 +47,7 @@ def _packs(block_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         if seq >> SEQ_BITS:
             raise ValueError("a partition has too many blocks; read it in smaller splits")
         rows = pa.Table.from_batches(held)
-        out = pa.RecordBatch.from_arrays([pa.array([first + seq], pa.int64()), pa.array([size], pa.int64()), pa.array([_ipc(rows)], pa.binary())], ["block", "bytes", "pack"])
+        out = pa.RecordBatch.from_arrays([pa.array([first + seq], pa.int64()), pa.array([size], pa.int64()), pa.array([ipc(rows)], pa.binary())], ["block", "bytes", "pack"])
         seq, held, size = seq + 1, [], 0
         return out
 

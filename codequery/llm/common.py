@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,48 +79,6 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def text_bytes(docs: DataFrame, text: str = "text") -> int:
-    """Bytes of all texts: one narrow aggregate."""
-    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-
-
-def blocks_for(total_bytes: int, block_bytes: int) -> int:
-    return max(1, -(-total_bytes // block_bytes))
-
-
-def by_block(docs: DataFrame, n_blocks: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, doc_id, data) with whole texts as UTF-8 bytes (null: empty), dealt into blocks by id and text.
-
-    A block is the unit that one Python call holds in memory; its size is set by bytes of text, so the
-    number of blocks follows the corpus and no key can make one large.
-    """
-    block = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_blocks)).cast("int")
-    data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    return docs.select(block.alias("block"), F.col(doc_id).cast("long").alias("doc_id"), data.alias("data"))
-
-
-def _packing(batches):
-    for batch in batches:
-        whole = pa.Table.from_batches([batch])
-        for block in pc.unique(batch.column("block")).to_pylist():
-            own = whole.filter(pc.equal(whole["block"], block)).select(["doc_id", "data"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(own)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "pack"])
-
-
-def packed_by_block(docs: DataFrame, n_blocks: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """by_block(), with the rows that a batch has for a block compressed together: (block, pack)."""
-    return by_block(docs, n_blocks, doc_id, text).mapInArrow(_packing, "block int, pack binary")
-
-
-def unpacked(packs: pa.Table) -> pa.Table:
-    """(doc_id, data) of a block's packs, in an order of their own content."""
-    parts = [pa.ipc.open_stream(p).read_all() for p in packs["pack"].to_pylist()]
-    return pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
-
-
 def on_table(f, *first):
     """f(*first, table) -> table, hinted as applyInArrow wants it."""
 

@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding.
 
-Every distinct word (match of the pattern) is encoded once by Spark higher-order functions: its bytes are an
-array of one-byte pieces, and a fold merges the neighbouring pair of lowest rank, looked up in a literal rank
-map, until none is left. Decoding looks the ids' pieces up in a literal array and concatenates them.
-
-Words travel, texts hardly: documents lie in blocks of bounded bytes; a block sends its distinct words, by
-range of their hash, to be encoded with those of all blocks, and gets their ids back in its own order.
+Every distinct word (match of the pattern), however long, is encoded once by Spark higher-order functions: its bytes
+are an array of pieces (ids), and a fold merges, step by step, all places of the neighbouring pair of lowest rank,
+looked up in a literal rank map, until no pair has a rank. Decoding folds the ids' binary pieces, from a literal array,
+into one value.
+
+Words travel, texts hardly: documents lie in blocks of bounded bytes; a block sends its distinct words, by range of
+their hash; a range's words are told apart, encoded and decoded as rows of their own, and go back to the blocks that
+asked, in the blocks' own order. There a document's ids and decoded bytes are those of its words, put together.
 """
 
 from __future__ import annotations
@@ -14,24 +16,25 @@ import base64
 import hashlib
 import heapq
 import json
-import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_for, on_table, on_tables, packed_by_block, table, text_bytes, unpacked
+from .blocks import MAX_RANGES, bounds, ipc, opened
+from .common import on_table, on_tables, table
 
-BLOCK_BYTES = 24 << 20
-#: Words of more bytes are merged with a heap where their document is: a fold takes as many steps as bytes.
-LONG_WORD = 48
-SLOTS = 1 << 16
+BLOCK_BYTES = 16 << 20
 NEVER = 2**31 - 1
+#: Slots of displacements in the rank map (a prime).
+SLOTS = 65_521
 
 
 @lru_cache(maxsize=2)
@@ -46,9 +49,7 @@ def pattern() -> regex.Pattern:
 
 
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a word of any length, lowest rank first, leftmost on ties; O(n log n)."""
-    if word in ranks:
-        return [ranks[word]]
+    """The ids of a word by a heap of pairs, lowest rank first, leftmost on ties; to find the map's exceptions with."""
     n = len(word)
     piece = [word[i : i + 1] for i in range(n)]
     after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
@@ -70,17 +71,47 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p, on in zip(piece, alive, strict=True) if on]
 
 
-def _chars(piece: bytes) -> str:
-    """A piece as text of one character a byte: JSON, and so a literal, has no binary keys."""
-    return piece.decode("latin-1")
+def pairs_of(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """(left id, right id): the id of the two joined, for every way to cut a piece into two."""
+    cuts = ((t[:i], t[i:], r) for t, r in ranks.items() for i in range(1, len(t)))
+    return {(ranks[a], ranks[b]): r for a, b, r in cuts if a in ranks and b in ranks}
+
+
+def _prime(n: int) -> int:
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
 
+@lru_cache(maxsize=2)
+def rank_map(path: str) -> tuple[str, str, str, str, str]:
+    """JSON arrays of the literals: a displacement a slot, then keys and ids by place, ids of the bytes, and pieces.
 
-def _rank_map(ranks: dict[bytes, int]) -> Column:
-    """Literal map of ranks, in SLOTS small maps by the key's CRC: a lookup reads one slot."""
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+    The key of a pair is left * 65,536 + right; its place is (key XOR the displacement of slot key % SLOTS) % places,
+    with displacements found so that no two keys share a place.
+    """
+    ranks = ranks_of(path)
+    if odd := [t for t, r in ranks.items() if merged(t, ranks) != [r]]:
+        raise ValueError(f"{len(odd)} pieces are not what their bytes merge to")
+    pairs = pairs_of(ranks)
+    places = _prime(2 * len(pairs) + 1)
+    slots: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), r in pairs.items():
+        slots.setdefault(((a << 16) | b) % SLOTS, []).append(((a << 16) | b, r))
+    moved, keys, ids = [0] * SLOTS, [-1] * places, [0] * places
+    rng = np.random.default_rng(1)
+    for slot, members in sorted(slots.items(), key=lambda x: -len(x[1])):
+        while True:
+            at = [(key ^ moved[slot]) % places for key, _ in members]
+            if len(set(at)) == len(at) and all(keys[p] < 0 for p in at):
+                break
+            moved[slot] = int(rng.integers(0, 1 << 40))
+        for p, (key, r) in zip(at, members, strict=True):
+            keys[p], ids[p] = key, r
+    pieces = [b""] * (1 + max(ranks.values()))
     for piece, rank in ranks.items():
-        slots[zlib.crc32(_chars(piece).encode()) % SLOTS][_chars(piece)] = rank
-    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
+        pieces[rank] = piece
+    return (*map(json.dumps, (moved, keys, ids, [ranks[bytes([b])] for b in range(256)])), json.dumps([base64.b64encode(p).decode() for p in pieces]))
 
 
 def _let(value: Column, body) -> Column:
@@ -88,55 +119,67 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def encoded(word: Column, ranks: dict[bytes, int]) -> Column:
-    """array<int>: the ids of a word (string of at most LONG_WORD bytes or so)."""
-    slots, none = _rank_map(ranks), F.array().cast("array<int>")
+def _literal(text: str, kind: str) -> Column:
+    return F.from_json(F.lit(text), f"array<{kind}>")
+
+
+def encoded(word: Column, path: str) -> Column:
+    """array<int>: the ids of a word given as an array<int> of its bytes."""
+    moved, keys, ids, single, _ = rank_map(path)
+    places = keys.count(",") + 1
+
+    def fold(tables: Column) -> Column:
+        def rank(left: Column, right: Column) -> Column:
+            """The id of the joined pair; NEVER if there is none, or no right one."""
 
-    def rank(piece: Column) -> Column:
-        return F.try_element_at(F.get(slots, (F.crc32(piece.cast("binary")) % SLOTS).cast("int")), piece)
+            def look(key: Column) -> Column:
+                place = (key.bitwiseXOR(F.get(tables["moved"], (key % SLOTS).cast("int"))) % places).cast("int")
+                return _let(place, lambda at: F.when(F.get(tables["keys"], at) == key, F.get(tables["ids"], at)).otherwise(NEVER))
 
-    def rank_or(piece: Column) -> Column:
-        return F.coalesce(rank(piece), F.lit(NEVER))
+            return F.coalesce(_let(left.cast("long") * 65_536 + right, look), F.lit(NEVER))
 
-    def merge(acc: Column, i: Column) -> Column:
-        """acc with pieces i and i + 1 joined; only the ranks of the pairs beside them change."""
-        p, r = acc["p"], acc["r"]
+        def starts(r: Column, best: Column) -> Column:
+            """Whether a merge begins at each place; of marked places in a row every other one, as they overlap."""
 
-        def around(joined: Column) -> Column:
-            left = F.when(i > 0, F.array(rank_or(F.concat(F.get(p, i - 1), joined)))).otherwise(none)
-            right = F.when(i + 2 < F.size(p), F.array(rank_or(F.concat(joined, F.get(p, i + 2))))).otherwise(none)
-            pieces = F.concat(F.slice(p, 1, i), F.array(joined), F.slice(p, i + 3, F.size(p)))
-            pairs = F.concat(F.slice(r, 1, F.greatest(i - 1, F.lit(0))), left, right, F.slice(r, i + 3, F.size(r)))
-            return F.struct(pieces.alias("p"), pairs.alias("r"))
+            def every_other(on: Column) -> Column:
+                # the last unmarked place before each, by doubling the stretch that is looked at
+                last = F.transform(on, lambda x, i: F.when(x, F.lit(-1)).otherwise(i))
+                reach = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(on))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+                found = F.aggregate(reach, last, lambda m, d: F.transform(m, lambda x, i: F.greatest(x, F.coalesce(F.get(m, i - d), F.lit(-1)))))
+                return _let(found, lambda m: F.transform(on, lambda x, i: x & ((i - F.get(m, i)) % 2 == 1)))
 
-        return _let(F.concat(F.get(p, i), F.get(p, i + 1)), around)
+            def apart(on: Column) -> Column:
+                meets = F.exists(F.sequence(F.lit(1), F.size(on)), lambda i: F.coalesce(F.get(on, i - 1) & F.get(on, i), F.lit(False)))
+                return F.when(meets, every_other(on)).otherwise(on)
 
-    def step(acc: Column, _: Column) -> Column:
-        lowest = F.coalesce(F.array_min(acc["r"]), F.lit(NEVER))
-        return _let(lowest, lambda best: F.when(best == NEVER, acc).otherwise(_let((F.array_position(acc["r"], best) - 1).cast("int"), lambda i: merge(acc, i))))
+            return _let(F.transform(r, lambda x: x == best), apart)
 
-    def fold(chars: Column) -> Column:
-        def start(p: Column) -> Column:
-            pairs = F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, i: rank_or(F.concat(F.get(p, i), x)))
-            return F.struct(p.alias("p"), pairs.alias("r"))
+        def merge(p: Column, best: Column, begins: Column) -> Column:
+            kept = F.transform(p, lambda x, i: F.when(F.get(begins, i), best).when(F.coalesce(F.get(begins, i - 1), F.lit(False)), F.lit(-1)).otherwise(x))
+            return F.filter(kept, lambda x: x >= 0)
 
-        steps = F.sequence(F.lit(1), F.greatest(F.length(chars) - 1, F.lit(1)))
-        done = F.aggregate(steps, _let(F.split(chars, ""), start), step)
-        return F.transform(done["p"], rank)
+        def step(acc: Column, _: Column) -> Column:
+            def merge_lowest(r: Column) -> Column:
+                def apply(best: Column) -> Column:
+                    return F.when(best == NEVER, F.struct(acc["p"].alias("p"), F.lit(True).alias("done"))).otherwise(_let(starts(r, best), lambda begins: F.struct(merge(acc["p"], best, begins).alias("p"), F.lit(False).alias("done"))))
 
-    def whole(chars: Column) -> Column:
-        return _let(rank(chars), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(fold(chars)))
+                return _let(F.array_min(r), apply)
 
-    return _let(F.decode(word.cast("binary"), "ISO-8859-1"), whole)
+            ranked = F.transform(acc["p"], lambda x, i: rank(x, F.get(acc["p"], i + 1)))
+            return F.when(acc["done"], acc).otherwise(_let(ranked, merge_lowest))
 
+        first = F.transform(word, lambda b: F.get(tables["single"], b))
+        steps = F.slice(word, 2, F.size(word))
+        done = F.aggregate(steps, F.struct(first.alias("p"), F.lit(False).alias("done")), step)
+        return done["p"]
 
-def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
+    tables = F.struct(_literal(moved, "bigint").alias("moved"), _literal(keys, "bigint").alias("keys"), _literal(ids, "int").alias("ids"), _literal(single, "int").alias("single"))
+    return _let(tables, fold)
+
+
+def decoded(ids: Column, path: str) -> Column:
     """binary: the pieces of array<int> ids, concatenated."""
-    pieces = [b""] * (1 + max(ranks.values()))
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
-    literal = F.from_json(F.lit(json.dumps([base64.b64encode(p).decode() for p in pieces])), "array<binary>")
-    return F.aggregate(ids, F.lit(b""), lambda all_, i: F.concat(all_, F.get(literal, i)))
+    return _let(_literal(rank_map(path)[4], "binary"), lambda pieces: F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(pieces, i))))
 
 
 def _splits(chunk: str) -> bool:
@@ -144,23 +187,35 @@ def _splits(chunk: str) -> bool:
     return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
 
 
+def _text(data: bytes | None) -> str:
+    return (data or b"").decode("utf-8", "surrogateescape")
+
+
+def _bytes(word: str) -> bytes:
+    return word.encode("utf-8", "surrogateescape")
+
+
 class Words:
     """A block's texts as chunks between spaces; a text with other white space beside a space is one chunk."""
 
-    def __init__(self, rows: pa.Table) -> None:
+    def __init__(self, packs: pa.Table) -> None:
+        rows = pa.concat_tables([opened(p.as_py()) for p in packs["pack"]])
         self.doc_id, self.data = rows["doc_id"].to_pylist(), rows["data"]
-        plain, self.whole = set(), set()
+        plain: set[str] = set()
         for x in self.data:
-            text = x.as_py().decode()
-            plain.update(text.split(" ")[1:])
+            plain.update(_text(x.as_py()).split(" ")[1:])
         self.odd = {c for c in plain if not _splits(c)}
-        self.chunks = {" " + c for c in plain - self.odd}
+        chunks = {" " + c for c in plain - self.odd}
         del plain
         for x in self.data:
-            self.chunks.update(self.split(x.as_py().decode())[:1])
-        found = {w for c in self.chunks for w in pattern().findall(c)}
+            chunks.update(self.split(_text(x.as_py()))[:1])
+        #: the words of each chunk
+        self.chunks = {c: pattern().findall(c) for c in chunks}
+        found = sorted({w for ws in self.chunks.values() for w in ws})
+        key = np.fromiter((xxhash.xxh3_64_intdigest(_bytes(w)) for w in found), np.uint64, len(found))
+        order = np.argsort(key, kind="stable")
         # in an order of their hashes, which is the order of the ranges that they are sent to
-        self.words = sorted((w for w in found if not _long(w)), key=lambda w: (xxhash.xxh64_intdigest(w), w))
+        self.keys, self.words = key[order], [found[i] for i in order.tolist()]
 
     def split(self, text: str) -> list[str]:
         """The first chunk bare, the rest without the space before them; [text] if it has to stay whole."""
@@ -170,39 +225,76 @@ class Words:
         return chunks
 
 
-def _long(word: str) -> bool:
-    return len(word) > LONG_WORD or len(word.encode()) > LONG_WORD
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        whole = pa.Table.from_batches([batch])
+        for block in pc.unique(batch.column("block")).to_pylist():
+            own = whole.filter(pc.equal(whole["block"], block)).select(["doc_id", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ipc(own)], pa.binary())], ["block", "pack"])
+
+
+def _sent(ranges: int, packs: pa.Table) -> pa.Table:
+    """The block's words, a row for each range."""
+    block = Words(packs)
+    cut = bounds(block.keys, ranges)
+    parts = np.flatnonzero(cut[1:] > cut[:-1])
+    words = [ipc(pa.table({"word": pa.array([_bytes(w) for w in block.words[cut[k] : cut[k + 1]]], pa.binary())})) for k in parts]
+    return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array([packs["block"][0].as_py()] * len(parts), pa.int32()), "words": pa.array(words, pa.binary())})
 
 
-def _sent(n: int, rows: pa.Table) -> pa.Table:
-    words = Words(unpacked(rows)).words
-    keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    at = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
-    parts = [k for k in range(n) if at[k + 1] > at[k]]
-    return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array([rows["block"][0].as_py()] * len(parts), pa.int32()), "words": pa.array([words[at[k] : at[k + 1]] for k in parts], pa.list_(pa.string()))})
+def _known(rows: pa.Table) -> tuple[list[pa.ChunkedArray], pa.Array]:
+    """The words of each row, and the distinct ones in order."""
+    each = [opened(x.as_py())["word"] for x in rows["words"]]
+    every = pc.unique(pa.chunked_array([c for x in each for c in x.chunks], pa.binary()))
+    return each, every.take(pc.sort_indices(every))
+
+
+def _distinct(rows: pa.Table) -> pa.Table:
+    """A row for each distinct word of the range: its place among them and its bytes."""
+    words = _known(rows)[1]
+    offsets = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False))])
+    plain = np.frombuffer(b"".join(words.to_pylist()), np.uint8).astype(np.int32)
+    return pa.table({"part": pa.array(np.full(len(words), rows["part"][0].as_py()), pa.int32()), "k": pa.array(np.arange(len(words)), pa.int32()), "word": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(plain))})
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Coded words, compressed together by range."""
+    for batch in batches:
+        whole = pa.Table.from_batches([batch])
+        for part in pc.unique(batch.column("part")).to_pylist():
+            own = whole.filter(pc.equal(whole["part"], part)).select(["k", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([ipc(own)], pa.binary())], ["part", "coded"])
+
+
+def _replied(rows: pa.Table, coded: pa.Table) -> pa.Table:
+    """For each block that asked, its words' ids and decoded bytes in its own order."""
+    each, words = _known(rows)
+    known = pa.concat_tables([opened(x.as_py()) for x in coded["coded"]]).sort_by("k").select(["ids", "decoded"]).combine_chunks()
+    replies = [ipc(known.take(pc.index_in(x, value_set=words).combine_chunks())) for x in each]
+    return pa.table({"part": rows["part"].combine_chunks(), "block": rows["block"].combine_chunks(), "reply": pa.array(replies, pa.binary())})
 
 
 CODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _assembled(path: str, digest: bool, packs: pa.Table, known: pa.Table) -> pa.Table:
+def _assembled(digest: bool, packs: pa.Table, replies: pa.Table) -> pa.Table:
     """Each document's ids and bytes from those of its chunks' words."""
-    block = Words(unpacked(packs))
-    piece = {str(v): k for k, v in ranks_of(path).items()}
-    ids = dict(zip(block.words, [x for row in known.sort_by("part")["ids"].to_pylist() for x in row.split(";")], strict=True))
-    spelled: dict[str, str] = {}
-    for chunk in block.chunks:
-        spelled[chunk] = " ".join([ids[w] if not _long(w) else " ".join(map(str, merged(w.encode(), ranks_of(path)))) for w in pattern().findall(chunk)])
-    back = {c: b"".join([piece[i] for i in x.split()]) for c, x in spelled.items()}
+    block = Words(packs)
+    coded = [opened(x.as_py()) for x in replies.sort_by("part")["reply"]]
+    ids = dict(zip(block.words, (" ".join(map(str, x)) for t in coded for x in t["ids"].to_pylist()), strict=True))
+    back = dict(zip(block.words, (x for t in coded for x in t["decoded"].to_pylist()), strict=True))
+    del coded
+    spelled = {c: " ".join([ids[w] for w in ws]) for c, ws in block.chunks.items()}
+    plain = {c: b"".join([back[w] for w in ws]) for c, ws in block.chunks.items()}
     out: list[tuple] = []
     for doc_id, data in zip(block.doc_id, block.data, strict=True):
-        first, *rest = block.split(data.as_py().decode())
+        first, *rest = block.split(_text(data.as_py()))
         rest = [" " + c for c in rest]
         text = " ".join([spelled[first], *map(spelled.__getitem__, rest)]).encode()
-        plain = b"".join([back[first], *map(back.__getitem__, rest)])
+        whole = b"".join([plain[first], *map(plain.__getitem__, rest)])
         n = text.count(b" ") + 1 if text else 0
-        out.append((doc_id, n, *((hashlib.sha256(x).hexdigest() for x in (text, plain)) if digest else (text, plain))))
+        out.append((doc_id, n, *((hashlib.sha256(x).hexdigest() for x in (text, whole)) if digest else (text, whole))))
     kinds = (pa.int64(), pa.int64(), *((pa.string(),) * 2 if digest else (pa.binary(),) * 2))
     return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in (DIGEST if digest else CODED).split(", ")])
 
@@ -214,19 +306,20 @@ def code(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     whole; no rows give no rows. Other columns are not read.
     """
     path = str(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    ranks = ranks_of(path)
-    n = blocks_for(text_bytes(docs, text), block_bytes)
-    dealt = packed_by_block(docs, n, doc_id, text)
-    sent = dealt.groupBy("block").applyInArrow(on_table(_sent, n), "part int, block int, words array<string>")
-    one = sent.repartition("part").select("part", "block", F.posexplode("words").alias("at", "word"))
-    # distinct words of a range; each goes back to the blocks and places that asked for it
-    asked = one.groupBy("part", "word").agg(F.collect_list(F.struct("block", "at")).alias("who"))
-    ids = F.array_join(encoded(F.col("word"), ranks).cast("array<string>"), " ")
-    answered = asked.select("part", "who", ids.alias("ids")).select("part", "ids", F.inline("who"))
-    lists = answered.groupBy("part", "block").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("x"))
-    back = lists.select("block", "part", F.array_join("x.ids", ";").alias("ids"))
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(on_tables(_assembled, path, digest), DIGEST if digest else CODED)
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    ranges = min(MAX_RANGES, blocks)
+    block = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(blocks)).cast("int")
+    rows = docs.select(block.alias("block"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data"))
+    dealt = rows.mapInArrow(_packs, "block int, pack binary")
+    sent = dealt.groupBy("block").applyInArrow(on_table(_sent, ranges), "part int, block int, words binary")
+    words = sent.groupBy("part").applyInArrow(on_table(_distinct), "part int, k int, word array<int>")
+    ids = words.select("part", "k", encoded(F.col("word"), path).alias("ids"))
+    coded = ids.select("part", "k", "ids", decoded(F.col("ids"), path).alias("decoded")).mapInArrow(_gathered, "part int, coded binary")
+    replied = sent.groupBy("part").cogroup(coded.groupBy("part")).applyInArrow(on_tables(_replied), "part int, block int, reply binary")
+    return dealt.groupBy("block").cogroup(replied.groupBy("block")).applyInArrow(on_tables(_assembled, digest), DIGEST if digest else CODED)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code() over all documents, as digests; see there for nulls, repeats and empty tables."""
     return code(table(spark, sf_dir, "documents"), digest=True)

@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -8,30 +9,46 @@ from codequery.llm import op3_byte_bpe as op3
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 EDGES = ["", " ", "  \n\n x", "'s 'll don't", "naïve 日本語 \U0001f600\U0001f600", "a" * 5000, "ab" * 40, "\u2028x\u00a0y \x1c\x1d z", "é" * 30, "!" * 100, "\x00\x01", "x  ", "𝔘𝔫𝔦", "\t\t\tif x:\r\n"]
+LONG = ["日本語の長い文は空白なしで続く" * 40, "\n" * 999, "aaaaaaab" * 300, "z" * 20_001, "donaudampfschifffahrtsgesellschaft" * 30]
 
 
+@pytest.fixture(scope="module")
 def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=op3.ranks_of(PATH), special_tokens={})
 
 
-def test_words_equal_library(spark):
-    own, ranks = library(), op3.ranks_of(PATH)
-    words = sorted({w for t in [*EDGES, *(r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20).collect())] for w in op3.pattern().findall(t)})
-    assert all(op3.merged(w.encode(), ranks) == own.encode_ordinary(w) for w in words)
-    short = [w for w in words if len(w.encode()) <= op3.LONG_WORD]
-    df = spark.createDataFrame([(w,) for w in short], "w string").withColumn("ids", op3.encoded(F.col("w"), ranks))
-    for r in df.withColumn("back", op3.decoded(F.col("ids"), ranks)).collect():
-        assert r.ids == own.encode_ordinary(r.w) and bytes(r.back) == r.w.encode()
+def test_words_of_any_length_equal_library(spark, library):
+    texts = [*EDGES, *LONG, *(r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20).collect())]
+    words = sorted({w for t in texts for w in op3.pattern().findall(t)})
+    df = spark.createDataFrame([(w, list(w.encode())) for w in words], "w string, b array<int>").repartition(4).withColumn("ids", op3.encoded(F.col("b"), PATH))
+    for r in df.withColumn("back", op3.decoded(F.col("ids"), PATH)).collect():
+        assert r.ids == library.encode_ordinary(r.w) and bytes(r.back) == r.w.encode()
 
 
-def test_documents_equal_library(spark):
-    own = library()
+def test_no_two_pairs_share_a_place():
+    import json
+
+    moved, keys, ids, single, pieces = map(json.loads, op3.rank_map(PATH))
+    pairs = op3.pairs_of(op3.ranks_of(PATH))
+    for (a, b), r in pairs.items():
+        key = (a << 16) | b
+        at = (key ^ moved[key % op3.SLOTS]) % len(keys)
+        assert keys[at] == key and ids[at] == r
+    assert sum(k >= 0 for k in keys) == len(pairs) and len(single) == 256 and len(pieces) == 50_256
+
+
+def test_documents_equal_library(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    rows = [tuple(r) for r in docs.collect()] + [(5000 + i, t) for i, t in enumerate(EDGES)] + [(None, None), (None, "again again"), (6000, "z z " * 50_000)]
+    rows = [tuple(r) for r in docs.collect()] + [(5000 + i, t) for i, t in enumerate([*EDGES, *LONG])] + [(None, None), (None, "again again"), (6000, "z z " * 50_000)]
     rows.append(rows[0])
     df = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, block int, word string")
-    want = sorted((d or -1, len(x := own.encode_ordinary(t or "")), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows)
+    want = sorted((d or -1, len(x := library.encode_ordinary(t or "")), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows)
     for size in (op3.BLOCK_BYTES, 100_000):
         got = sorted((r[0] or -1, *r[1:]) for r in op3.code(df, digest=True, block_bytes=size).collect())
         assert got == want
     assert op3.code(df.limit(0)).collect() == []
+
+
+def test_decoding_by_the_fold_is_in_the_plan(spark):
+    plan = op3.op3_byte_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().treeString()
+    assert "decoded" in plan and "aggregate(" in plan
