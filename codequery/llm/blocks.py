@@ -38,7 +38,7 @@ def opened(pack: bytes) -> pa.Table:
     return pa.ipc.open_stream(pack).read_all()
 
 
-def _packs(block_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packs(block_bytes: int, make, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first, held, size = TaskContext.get().partitionId() << SEQ_BITS, [], 0
     seq = 0
 
@@ -47,7 +47,7 @@ def _packs(block_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         if seq >> SEQ_BITS:
             raise ValueError("a partition has too many blocks; read it in smaller splits")
         rows = pa.Table.from_batches(held)
-        out = pa.RecordBatch.from_arrays([pa.array([first + seq], pa.int64()), pa.array([size], pa.int64()), pa.array([ipc(rows)], pa.binary())], ["block", "bytes", "pack"])
+        out = pa.RecordBatch.from_arrays([pa.array([first + seq], pa.int64()), pa.array([size], pa.int64()), pa.array([make(rows)], pa.binary())], ["block", "bytes", "pack"])
         seq, held, size = seq + 1, [], 0
         return out
 
@@ -67,9 +67,17 @@ def _packs(block_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         yield pack()
 
 
-def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, bytes, pack): the rows in blocks of about so many bytes, written in the shared folder; no rows, no blocks."""
-    return stored(docs.mapInArrow(partial(_packs, block_bytes), "block long, bytes long, pack binary"))
+def blocks(docs: DataFrame, block_bytes: int, make=ipc) -> DataFrame:
+    """(block, bytes, pack): the rows in blocks of about so many bytes; no rows, no blocks.
+
+    make turns the rows of a block into the bytes that later passes read.
+    """
+    return docs.mapInArrow(partial(_packs, block_bytes, make), "block long, bytes long, pack binary")
+
+
+def packed(docs: DataFrame, block_bytes: int, make=ipc) -> DataFrame:
+    """blocks(), written in the shared folder."""
+    return stored(blocks(docs, block_bytes, make))
 
 
 def ranges_for(packs: DataFrame, range_bytes: int = RANGE_BYTES) -> int:

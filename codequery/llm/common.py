@@ -74,6 +74,24 @@ def dropped(*frames: DataFrame) -> None:
         place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, with underscores behind it until no column of the frame has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def sampled(rows: DataFrame, size: int, *by: str) -> DataFrame:
+    """At most size rows: of those that differ in the columns named, the ones with the least hash of these.
+
+    A cut-off by hash comes first, so that what partitions send on is bounded by size and not by their number.
+    """
+    share = min(1.0, (1.2 * size + 200) / max(1, rows.count()))
+    h = unused("_h", rows)
+    few = rows.withColumn(h, F.xxhash64(*by)).where(F.col(h) <= F.lit(min(2**63 - 1, -(2**63) + int(share * 2**64))))
+    return few.groupBy(h).agg(*[F.first(c).alias(c) for c in rows.columns]).orderBy(h).limit(size).drop(h)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import dropped, stored
 
 
 class Forest:
@@ -59,18 +59,31 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
 
     Roots themselves and isolated vertices have no row. Edges may repeat, run either way or be loops; edges
     with a null end are ignored. A partition's edges shrink to a forest before any shuffle, so a hot vertex
-    costs a row per partition; each round is checkpointed; the minimum is the only thing gathered per vertex.
+    costs a row per partition; each round is written; the minimum is the only thing gathered per vertex.
     """
     clean = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    now = checkpoint(clean.mapInArrow(_local, "v long, r long"))
+    now = stored(clean.mapInArrow(_local, "v long, r long"))
     for _ in range(max_rounds):
         if _stars(now):
             return now.select("v", F.col("r").alias("root"))
         both = now.union(now.select("r", "v"))
-        low = both.groupBy("v").agg(F.least(F.min("r"), F.first("v")).alias("m"))
-        large = both.where("r > v").join(low, "v").select(F.col("r").alias("v"), F.col("m").alias("r"))
-        low = large.groupBy("v").agg(F.min("r").alias("m"))
-        near = large.join(low, "v")
+        # what is joined is written first: joins of plain tables are the ones whose hot keys Spark splits
+        low = stored(both.groupBy("v").agg(F.least(F.min("r"), F.first("v")).alias("m")))
+        large = stored(both.where("r > v").join(low, "v").select(F.col("r").alias("v"), F.col("m").alias("r")))
+        least = stored(large.groupBy("v").agg(F.min("r").alias("m")))
+        near = large.join(least, "v")
         small = near.select("v", F.col("m").alias("r")).union(near.where("r <> m").select(F.col("r").alias("v"), "m"))
-        now = checkpoint(small.distinct())
+        then = stored(small.distinct())
+        dropped(now, low, large, least)
+        now = then
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+
+
+def classes(members: DataFrame, found: DataFrame, key: str, least: str) -> DataFrame:
+    """members with root and class: their component's root by the components found over key, and its least value of a column.
+
+    members: a row a vertex. Written, as are the minima, so that later joins can split a hot root or vertex.
+    """
+    rooted = stored(members.join(found.withColumnRenamed("v", key), key, "left").withColumn("root", F.coalesce("root", key)))
+    first = stored(rooted.groupBy("root").agg(F.min(least).alias("class")))
+    return stored(rooted.join(first, "root"))

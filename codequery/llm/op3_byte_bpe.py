@@ -17,7 +17,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import public_tokenizers
@@ -28,11 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import MAX_RANGES, bounds, ipc, opened
+from .blocks import MAX_RANGES, blocks, get_numbers, ipc, opened, put_numbers
 from .common import on_table, on_tables, table
 
 BLOCK_BYTES = 16 << 20
-NEVER = 2**31 - 1
+NEVER = 1 << 17
 #: Slots of displacements in the rank map (a prime).
 SLOTS = 65_521
 
@@ -124,56 +124,59 @@ def _literal(text: str, kind: str) -> Column:
 
 
 def encoded(word: Column, path: str) -> Column:
-    """array<int>: the ids of a word given as an array<int> of its bytes."""
+    """array<int>: the ids of a word given as an array<int> of its bytes.
+
+    The fold's state is one number a piece: the id that it and the next piece would merge to (NEVER if none), shifted,
+    and its own id. So the least number tells the lowest rank, and only pairs beside a merge are looked up again.
+    """
     moved, keys, ids, single, _ = rank_map(path)
     places = keys.count(",") + 1
 
     def fold(tables: Column) -> Column:
-        def rank(left: Column, right: Column) -> Column:
-            """The id of the joined pair; NEVER if there is none, or no right one."""
-
-            def look(key: Column) -> Column:
-                place = (key.bitwiseXOR(F.get(tables["moved"], (key % SLOTS).cast("int"))) % places).cast("int")
-                return _let(place, lambda at: F.when(F.get(tables["keys"], at) == key, F.get(tables["ids"], at)).otherwise(NEVER))
+        def state(left: Column, right: Column) -> Column:
+            key = left * 65_536 + right
+            place = (key.bitwiseXOR(F.get(tables["moved"], (key % SLOTS).cast("int"))) % places).cast("int")
+            rank = _let(place, lambda at: F.when(F.get(tables["keys"], at) == key, F.get(tables["ids"], at)))
+            return F.coalesce(rank, F.lit(NEVER)) * 65_536 + left
 
-            return F.coalesce(_let(left.cast("long") * 65_536 + right, look), F.lit(NEVER))
+        def own(q: Column) -> Column:
+            return q.bitwiseAND(F.lit(65_535))
 
-        def starts(r: Column, best: Column) -> Column:
-            """Whether a merge begins at each place; of marked places in a row every other one, as they overlap."""
+        def every_other(on: Column) -> Column:
+            """Of marked places in a row, which overlap, the first, third and so on."""
+            # the last unmarked place before each, by doubling the stretch that is looked at
+            last = F.transform(on, lambda x, i: F.when(x, F.lit(-1)).otherwise(i))
+            reach = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(on))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+            found = F.aggregate(reach, last, lambda m, d: F.transform(m, lambda x, i: F.greatest(x, F.coalesce(F.get(m, i - d), F.lit(-1)))))
+            return _let(found, lambda m: F.transform(on, lambda x, i: x & ((i - F.get(m, i)) % 2 == 1)))
 
-            def every_other(on: Column) -> Column:
-                # the last unmarked place before each, by doubling the stretch that is looked at
-                last = F.transform(on, lambda x, i: F.when(x, F.lit(-1)).otherwise(i))
-                reach = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(on))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
-                found = F.aggregate(reach, last, lambda m, d: F.transform(m, lambda x, i: F.greatest(x, F.coalesce(F.get(m, i - d), F.lit(-1)))))
-                return _let(found, lambda m: F.transform(on, lambda x, i: x & ((i - F.get(m, i)) % 2 == 1)))
+        def merge(q: Column, best: Column) -> Column:
+            def at(begins: Column) -> Column:
+                def beside(i: Column) -> Column:
+                    """The id that stands at place i when all merges are done; null past the end."""
+                    return F.when(F.get(begins, i), best).otherwise(own(F.get(q, i)))
 
-            def apart(on: Column) -> Column:
-                meets = F.exists(F.sequence(F.lit(1), F.size(on)), lambda i: F.coalesce(F.get(on, i - 1) & F.get(on, i), F.lit(False)))
-                return F.when(meets, every_other(on)).otherwise(on)
+                def renewed(x: Column, i: Column) -> Column:
+                    merged_with_last = F.when(F.coalesce(F.get(begins, i - 1), F.lit(False)), F.lit(-1).cast("bigint"))
+                    return F.when(F.get(begins, i), state(best, beside(i + 2))).otherwise(F.coalesce(merged_with_last, F.when(F.get(begins, i + 1), state(own(x), best)).otherwise(x)))
 
-            return _let(F.transform(r, lambda x: x == best), apart)
+                return F.filter(F.transform(q, renewed), lambda x: x >= 0)
 
-        def merge(p: Column, best: Column, begins: Column) -> Column:
-            kept = F.transform(p, lambda x, i: F.when(F.get(begins, i), best).when(F.coalesce(F.get(begins, i - 1), F.lit(False)), F.lit(-1)).otherwise(x))
-            return F.filter(kept, lambda x: x >= 0)
+            marked = F.transform(q, lambda x: F.shiftright(x, 16) == best)
+            apart = lambda on: F.when(F.size(F.filter(on, lambda x: x)) <= 1, on).otherwise(every_other(on))
+            return _let(_let(marked, apart), at)
 
-        def step(acc: Column, _: Column) -> Column:
-            def merge_lowest(r: Column) -> Column:
-                def apply(best: Column) -> Column:
-                    return F.when(best == NEVER, F.struct(acc["p"].alias("p"), F.lit(True).alias("done"))).otherwise(_let(starts(r, best), lambda begins: F.struct(merge(acc["p"], best, begins).alias("p"), F.lit(False).alias("done"))))
+        def step(q: Column, _: Column) -> Column:
+            return _let(F.shiftright(F.array_min(q), 16), lambda best: F.when(best == NEVER, q).otherwise(merge(q, best)))
 
-                return _let(F.array_min(r), apply)
-
-            ranked = F.transform(acc["p"], lambda x, i: rank(x, F.get(acc["p"], i + 1)))
-            return F.when(acc["done"], acc).otherwise(_let(ranked, merge_lowest))
+        def start(first: Column) -> Column:
+            return F.transform(first, lambda x, i: state(x, F.get(first, i + 1)))
 
         first = F.transform(word, lambda b: F.get(tables["single"], b))
-        steps = F.slice(word, 2, F.size(word))
-        done = F.aggregate(steps, F.struct(first.alias("p"), F.lit(False).alias("done")), step)
-        return done["p"]
+        done = F.aggregate(F.slice(word, 2, F.size(word)), _let(first, start), step)
+        return F.transform(done, lambda q: own(q).cast("int"))
 
-    tables = F.struct(_literal(moved, "bigint").alias("moved"), _literal(keys, "bigint").alias("keys"), _literal(ids, "int").alias("ids"), _literal(single, "int").alias("single"))
+    tables = F.struct(_literal(moved, "bigint").alias("moved"), _literal(keys, "bigint").alias("keys"), _literal(ids, "bigint").alias("ids"), _literal(single, "bigint").alias("single"))
     return _let(tables, fold)
 
 
@@ -182,64 +185,110 @@ def decoded(ids: Column, path: str) -> Column:
     return _let(_literal(rank_map(path)[4], "binary"), lambda pieces: F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(pieces, i))))
 
 
-def _splits(chunk: str) -> bool:
-    """Whether a text between single spaces is matched on its own: the pattern joins spaces only to what follows."""
-    return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
-
+def _text(data: bytes) -> str:
+    return data.decode("utf-8", "surrogateescape")
 
-def _text(data: bytes | None) -> str:
-    return (data or b"").decode("utf-8", "surrogateescape")
 
+def _matches(text: str) -> list[bytes]:
+    return [w.encode("utf-8", "surrogateescape") for w in pattern().findall(text)]
 
-def _bytes(word: str) -> bytes:
-    return word.encode("utf-8", "surrogateescape")
 
+def _spaced(data: bytes) -> list[bytes] | None:
+    """The matches in a space and a chunk; None where the chunk isn't matched on its own.
 
-class Words:
-    """A block's texts as chunks between spaces; a text with other white space beside a space is one chunk."""
+    The pattern joins a space to what follows and splits nothing else by it, but for white space beside it. Letters,
+    and letters before one mark, need no search.
+    """
+    chunk = _text(data)
+    if chunk.isalpha():
+        return [b" " + data]
+    if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+        return None
+    if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+        return [b" " + data[:-1], data[-1:]]
+    return _matches(" " + chunk)
 
-    def __init__(self, packs: pa.Table) -> None:
-        rows = pa.concat_tables([opened(p.as_py()) for p in packs["pack"]])
-        self.doc_id, self.data = rows["doc_id"].to_pylist(), rows["data"]
-        plain: set[str] = set()
-        for x in self.data:
-            plain.update(_text(x.as_py()).split(" ")[1:])
-        self.odd = {c for c in plain if not _splits(c)}
-        chunks = {" " + c for c in plain - self.odd}
-        del plain
-        for x in self.data:
-            chunks.update(self.split(_text(x.as_py()))[:1])
-        #: the words of each chunk
-        self.chunks = {c: pattern().findall(c) for c in chunks}
-        found = sorted({w for ws in self.chunks.values() for w in ws})
-        key = np.fromiter((xxhash.xxh3_64_intdigest(_bytes(w)) for w in found), np.uint64, len(found))
-        order = np.argsort(key, kind="stable")
-        # in an order of their hashes, which is the order of the ranges that they are sent to
-        self.keys, self.words = key[order], [found[i] for i in order.tolist()]
 
-    def split(self, text: str) -> list[str]:
-        """The first chunk bare, the rest without the space before them; [text] if it has to stay whole."""
-        chunks = text.split(" ")
-        if len(chunks) > 1 and (not _splits(chunks[0]) or (self.odd and not self.odd.isdisjoint(chunks[1:]))):
-            return [text]
-        return chunks
+def _part_of(words: pa.Array, ranges: int) -> np.ndarray:
+    key = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+    return (((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
-def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        whole = pa.Table.from_batches([batch])
-        for block in pc.unique(batch.column("block")).to_pylist():
-            own = whole.filter(pc.equal(whole["block"], block)).select(["doc_id", "data"])
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ipc(own)], pa.binary())], ["block", "pack"])
+def _tokenized(ranges: int, rows: pa.Table) -> bytes:
+    """A block of (doc_id, data) as its distinct words, by range and in order there, and numbers.
 
-
-def _sent(ranges: int, packs: pa.Table) -> pa.Table:
+    A text is a run of pieces: what stands before its first space, and each chunk after one with that space; a text
+    with other white space beside a space is one piece. A piece is a run of words.
+    """
+    data = rows["data"].combine_chunks().fill_null(b"")
+    parts = pc.split_pattern(data, b" ")
+    starts, count = parts.offsets.to_numpy()[:-1].astype(np.int64), pc.list_value_length(parts).to_numpy().astype(np.int64)
+    coded = parts.flatten().dictionary_encode()
+    run = coded.indices.to_numpy().astype(np.int64) if len(coded) else np.zeros(0, np.int64)
+    pieces = [_spaced(c) for c in coded.dictionary.to_pylist()]
+    odd = np.array([p is None for p in pieces], bool)
+    whole = (count > 1) & (np.add.reduceat(odd[run], starts) > 0) if len(run) else np.zeros(len(count), bool)
+    # first pieces and whole texts have numbers behind those of the chunks
+    bare: dict[bytes, int] = {}
+    texts, heads = data.to_pylist(), coded.dictionary.take(pa.array(run[starts])).to_pylist() if len(run) else []
+    first = [bare.setdefault(t if w else h, len(bare)) for t, h, w in zip(texts, heads, whole.tolist(), strict=True)]
+    run[starts] = np.array(first, np.int64) + len(pieces)
+    keep = ~np.repeat(whole, count)
+    keep[starts] = True
+    pieces = [p or [] for p in pieces] + [_matches(_text(t)) for t in bare]
+    words = pa.array([w for p in pieces for w in p], pa.binary()).dictionary_encode()
+    distinct = words.dictionary
+    order = pc.sort_indices(distinct).to_numpy()
+    part = _part_of(distinct, ranges)
+    order = order[np.argsort(part[order], kind="stable")]  # by range, in order there: neighbours are alike and pack well
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    row = {
+        "doc_id": rows["doc_id"].combine_chunks(),
+        "lengths": pa.array(np.where(whole, 1, count)),
+    }
+    numbers = {
+        "run": run[keep],
+        "sizes": np.array([len(p) for p in pieces], np.int64),
+        "words_of": place[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64),
+        "cut": np.searchsorted(part[order], np.arange(ranges + 1)),
+    }
+    return b"".join(_framed(x) for x in (ipc(pa.table(row)), ipc(pa.table({"word": distinct.take(pa.array(order))})), *(ipc(pa.table({"x": [put_numbers(x)]}, schema=pa.schema([("x", pa.binary())]))) for x in numbers.values())))
+
+
+def _framed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + data
+
+
+class Block:
+    """What _tokenized() packed."""
+
+    def __init__(self, pack: bytes) -> None:
+        parts, at = [], 0
+        while at < len(pack):
+            size = int.from_bytes(pack[at : at + 8], "little")
+            parts.append(opened(pack[at + 8 : at + 8 + size]))
+            at += 8 + size
+        self.doc_id, self.lengths, self.word = parts[0]["doc_id"], parts[0]["lengths"].to_numpy(), parts[1]["word"].combine_chunks()
+        self.run, self.sizes, self.words_of, self.cut = (get_numbers(p["x"][0].as_py()) for p in parts[2:])
+
+
+def _joined(values: pa.Array, at: np.ndarray, sizes: np.ndarray, between: bytes) -> pa.Array:
+    """Runs of values, by place and so many each, joined: binary with 64-bit offsets."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
+    return pc.binary_join(pa.LargeListArray.from_arrays(offsets, values.take(pa.array(at))), between)
+
+
+def _sent(packs: pa.Table) -> pa.Table:
     """The block's words, a row for each range."""
-    block = Words(packs)
-    cut = bounds(block.keys, ranges)
-    parts = np.flatnonzero(cut[1:] > cut[:-1])
-    words = [ipc(pa.table({"word": pa.array([_bytes(w) for w in block.words[cut[k] : cut[k + 1]]], pa.binary())})) for k in parts]
-    return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array([packs["block"][0].as_py()] * len(parts), pa.int32()), "words": pa.array(words, pa.binary())})
+    parts, blocks, words = [], [], []
+    for number, pack in zip(packs["block"].to_pylist(), packs["pack"], strict=True):
+        block = Block(pack.as_py())
+        for k in np.flatnonzero(block.cut[1:] > block.cut[:-1]).tolist():
+            parts.append(k)
+            blocks.append(number)
+            words.append(ipc(pa.table({"word": block.word.slice(block.cut[k], block.cut[k + 1] - block.cut[k])})))
+    return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array(blocks, pa.int64()), "words": pa.array(words, pa.binary())})
 
 
 def _known(rows: pa.Table) -> tuple[list[pa.ChunkedArray], pa.Array]:
@@ -279,45 +328,48 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _assembled(digest: bool, packs: pa.Table, replies: pa.Table) -> pa.Table:
-    """Each document's ids and bytes from those of its chunks' words."""
-    block = Words(packs)
-    coded = [opened(x.as_py()) for x in replies.sort_by("part")["reply"]]
-    ids = dict(zip(block.words, (" ".join(map(str, x)) for t in coded for x in t["ids"].to_pylist()), strict=True))
-    back = dict(zip(block.words, (x for t in coded for x in t["decoded"].to_pylist()), strict=True))
-    del coded
-    spelled = {c: " ".join([ids[w] for w in ws]) for c, ws in block.chunks.items()}
-    plain = {c: b"".join([back[w] for w in ws]) for c, ws in block.chunks.items()}
-    out: list[tuple] = []
-    for doc_id, data in zip(block.doc_id, block.data, strict=True):
-        first, *rest = block.split(_text(data.as_py()))
-        rest = [" " + c for c in rest]
-        text = " ".join([spelled[first], *map(spelled.__getitem__, rest)]).encode()
-        whole = b"".join([plain[first], *map(plain.__getitem__, rest)])
-        n = text.count(b" ") + 1 if text else 0
-        out.append((doc_id, n, *((hashlib.sha256(x).hexdigest() for x in (text, whole)) if digest else (text, whole))))
+    """Each document's ids and bytes: those of its pieces, which are those of their words."""
+    names = [f.split()[0] for f in (DIGEST if digest else CODED).split(", ")]
     kinds = (pa.int64(), pa.int64(), *((pa.string(),) * 2 if digest else (pa.binary(),) * 2))
-    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in (DIGEST if digest else CODED).split(", ")])
+    out = [pa.table([pa.array([], t) for t in kinds], names=names)]
+    replies = replies.sort_by("part")
+    for pack in packs["pack"]:  # one
+        block = Block(pack.as_py())
+        coded = pa.concat_tables([opened(x.as_py()) for x in replies["reply"]] or [pa.table({"ids": pa.array([], pa.list_(pa.int32())), "decoded": pa.array([], pa.binary())})]).combine_chunks()
+        ids = coded["ids"].combine_chunks()
+        size = pc.list_value_length(ids).to_numpy().astype(np.int64)
+        numbers = ids.flatten().cast(pa.string()).cast(pa.large_binary())
+        spelled = _joined(numbers, np.arange(len(numbers)), size, b" ")
+        back = coded["decoded"].combine_chunks().cast(pa.large_binary())
+        tokens = np.concatenate([[0], np.cumsum(size[block.words_of])])
+        per_piece = np.concatenate([[0], np.cumsum(block.sizes)])
+        tokens = (tokens[per_piece[1:]] - tokens[per_piece[:-1]])[block.run]
+        n = np.add.reduceat(tokens, np.cumsum(block.lengths) - block.lengths)
+        texts, whole = ((_joined(_joined(x, block.words_of, block.sizes, gap), block.run, block.lengths, gap)) for x, gap in ((spelled, b" "), (back, b"")))
+        both = ([hashlib.sha256(x).hexdigest() for x in y.to_pylist()] for y in (texts, whole)) if digest else (texts.cast(pa.binary()), whole.cast(pa.binary()))
+        out.append(pa.table([block.doc_id.cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, t) if digest else x for x, t in zip(both, kinds[2:], strict=True))], names=names))
+    return pa.concat_tables(out)
 
 
 def code(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, digest: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: CODED (ids as decimal text with single spaces, and the decoded bytes) or DIGEST.
 
     Null texts are empty and have no ids; ids may be null or repeat; a text or word of any length is encoded
-    whole; no rows give no rows. Other columns are not read.
+    whole; no rows give no rows. Other columns are not read. docs must give a partition's rows in one order however
+    often it is computed, as a table does; write others first.
     """
     path = str(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    ranges = min(MAX_RANGES, blocks)
-    block = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(blocks)).cast("int")
-    rows = docs.select(block.alias("block"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data"))
-    dealt = rows.mapInArrow(_packs, "block int, pack binary")
-    sent = dealt.groupBy("block").applyInArrow(on_table(_sent, ranges), "part int, block int, words binary")
+    ranges = int(min(MAX_RANGES, max(1, -(-total // block_bytes))))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data"))
+    # formed in passing, so that one exchange of the blocks serves both passes
+    packs = blocks(rows, block_bytes, partial(_tokenized, ranges)).select("block", "pack")
+    sent = packs.groupBy("block").applyInArrow(on_table(_sent), "part int, block long, words binary")
     words = sent.groupBy("part").applyInArrow(on_table(_distinct), "part int, k int, word array<int>")
     ids = words.select("part", "k", encoded(F.col("word"), path).alias("ids"))
     coded = ids.select("part", "k", "ids", decoded(F.col("ids"), path).alias("decoded")).mapInArrow(_gathered, "part int, coded binary")
-    replied = sent.groupBy("part").cogroup(coded.groupBy("part")).applyInArrow(on_tables(_replied), "part int, block int, reply binary")
-    return dealt.groupBy("block").cogroup(replied.groupBy("block")).applyInArrow(on_tables(_assembled, digest), DIGEST if digest else CODED)
+    replied = sent.groupBy("part").cogroup(coded.groupBy("part")).applyInArrow(on_tables(_replied), "part int, block long, reply binary")
+    return packs.groupBy("block").cogroup(replied.groupBy("block")).applyInArrow(on_tables(_assembled, digest), DIGEST if digest else CODED)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

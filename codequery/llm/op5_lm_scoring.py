@@ -10,9 +10,9 @@ and a failure arc, which weighs log10 of the share left to the prior and leads t
 walked from left to right, many at a time, each with its state and its sum; a long text is walked in stretches, each
 of which first reads two words without weight, and so stands in the state in which the stretch before it ends.
 
-Counts are exact over all training documents and belong to no one machine: each block of documents sends the counts of
-its n-grams, packed by key range; the range's group returns totals in the block's own order; so each block gets just
-the part of the automaton that its texts can reach. Words are told apart by 128 bits of hash, longer n-grams by 64:
+Counts are exact over all training documents and belong to no one machine: documents are cut into words once, and kept
+as blocks of word numbers; each block sends the counts of its n-grams, packed by key range; the range's group returns
+totals in the block's own order; so each block gets just the part of the automaton that its texts can reach. Words are told apart by 128 bits of hash, longer n-grams by 64:
 two of those with equal hashes would share a count in the score (not in the other columns).
 """
 
@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import bounds, get_keys, get_numbers, opened, packed, put_keys, put_numbers, ranges_for
+from .blocks import bounds, get_keys, get_numbers, ipc, opened, packed, put_keys, put_numbers, ranges_for
 from .common import on_table, on_tables, stored, table
 
 FOLDS, HELD = 10, 0
 ADD = 0.1
 MU = (200.0, 4.0)
-BLOCK_BYTES = 8 << 20
-RANGE_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
+RANGE_BYTES = 6 << 20
 STRETCH = 256
 END, START = b" ", b"  "
 
@@ -59,54 +59,45 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """States, arcs and failure arcs over the words 0 .. len(words) - 1.
+    """States, arcs and failure arcs over words 0 .. len(low) - 1 and pairs 0 .. len(pairs) - 1.
 
-    words, history: total of each word as a token and as a history; pairs: (first, second, total), sorted;
-    triples: (index of the pair, word, index of the pair that the last two words are, total), sorted. States: 0 is
-    the empty history, 1 + w a word, 1 + len(words) + p a pair.
+    States: 0 is the empty history, 1 + w a word, 1 + len(low) + p a pair. An arc's key is that of the n-gram which
+    state and word make. low: keys of words; words, history: totals of each as a token and as a history; pairs: sorted
+    keys with the words of each and its total; triples: sorted keys with the pairs that begin and end each and its total.
     """
 
-    def __init__(self, n: int, v: int, words, history, pairs, triples, mu=MU) -> None:
-        self.size = len(words)
-        first, second, seen = pairs
+    def __init__(self, n: int, v: int, low, words, history, pairs, triples, mu=MU) -> None:
+        key, first, second, seen = pairs
+        triple, begin, end, thrice = triples
+        self.size, self.low = len(low), low
+        self.state_key = np.concatenate([np.zeros(1, np.uint64), low, key])
         p1 = (words + ADD) / (n + ADD * (v + 1))
         p2 = (seen + mu[0] * p1[second]) / (history[first] + mu[0])
-        pair, word, end, thrice = triples
-        own, more = np.flatnonzero(seen > 0), np.flatnonzero(thrice > 0)
+        p3 = (thrice + mu[1] * p2[end]) / (seen[begin] + mu[1])
+        of_pair = 1 + self.size + np.arange(len(key))
         self.empty = np.log10(p1)
-        state_of_pair = 1 + self.size + np.arange(len(seen))
-        # arcs of word states, then of pair states: sorted by state and word
-        self.key = np.concatenate([self.code(1 + first[own], second[own]), self.code(state_of_pair[pair[more]], word[more])])
-        self.weight = np.log10(np.concatenate([p2[own], (thrice[more] + mu[1] * p2[end[more]]) / (seen[pair[more]] + mu[1])]))
-        self.next = np.concatenate([state_of_pair[own], state_of_pair[end[more]]])
+        # arcs of word states and of pair states: keys, weights, states that they lead to
+        self.arcs = [(k[on], np.log10(p[on]), to[on]) for k, p, to, on in ((key, p2, of_pair, seen > 0), (triple, p3, of_pair[end], thrice > 0))]
         self.fail_weight = np.log10(np.concatenate([[1.0], mu[0] / (history + mu[0]), mu[1] / (seen + mu[1])]))
-        self.fail_to = np.concatenate([np.zeros(1 + self.size, np.int64), 1 + second])
-
-    def code(self, state, word):
-        return state.astype(np.int64) * self.size + word
+        self.fail_to = np.concatenate([np.zeros(1 + self.size, np.int64), 1 + second.astype(np.int64)])
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(states, weights) after each state reads its word, by failure arcs down to a state that has an arc for it."""
-        state, weight = state.copy(), np.zeros(len(state))
-        todo = np.arange(len(state))
-        while len(todo):
-            bottom = state[todo] == 0
-            if bottom.any():
-                at = todo[bottom]
-                weight[at] += self.empty[word[at]]
-                state[at] = 1 + word[at]
-                todo = todo[~bottom]
-            if not len(todo):
-                break
-            key = self.code(state[todo], word[todo])
-            arc = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
-            hit = self.key[arc] == key if len(self.key) else np.zeros(len(todo), bool)
-            at = todo[hit]
-            weight[at] += self.weight[arc[hit]]
-            state[at] = self.next[arc[hit]]
-            todo = todo[~hit]
-            weight[todo] += self.fail_weight[state[todo]]
-            state[todo] = self.fail_to[state[todo]]
+        state, weight, todo = state.copy(), np.zeros(len(state)), np.ones(len(state), bool)
+        for (keys, weights, to), above in ((self.arcs[1], self.size), (self.arcs[0], 0)):  # pairs, then words
+            at = np.flatnonzero(todo & (state > above))
+            wanted = _mixed(self.state_key[state[at]], self.low[word[at]])
+            arc = np.searchsorted(keys, wanted)
+            arc[arc == len(keys)] = 0
+            hit = keys[arc] == wanted if len(keys) else np.zeros(len(at), bool)
+            done, arc, failed = at[hit], arc[hit], at[~hit]
+            weight[done] += weights[arc]
+            state[done] = to[arc]
+            todo[done] = False
+            weight[failed] += self.fail_weight[state[failed]]
+            state[failed] = self.fail_to[state[failed]]
+        weight[todo] += self.empty[word[todo]]
+        state[todo] = 1 + word[todo]
         return state, weight
 
     def walk(self, run: np.ndarray, first: np.ndarray, length: np.ndarray, start: int, stretch: int = STRETCH) -> np.ndarray:
@@ -129,131 +120,155 @@ class Automaton:
         return np.bincount(text, total, len(first))
 
 
+def _tokenized(rows: pa.Table) -> bytes:
+    """A block of (doc_id, data) as its distinct words, in the order of their hashes, and runs of their numbers."""
+    words: defaultdict = defaultdict()
+    words.default_factory = words.__len__
+    runs = [np.fromiter(map(words.__getitem__, (START, *tokens(x.as_py() or b""))), np.int64) for x in rows["data"]]
+    digest = _digests(words)
+    order = np.lexsort((digest[:, 1], digest[:, 0]))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    named = pa.array(list(words), pa.binary()).take(pa.array(order))
+    row = {"doc_id": [rows["doc_id"].to_pylist()], "lengths": [[len(r) for r in runs]], "run": [put_numbers(place[np.concatenate(runs)])], "words": pa.ListArray.from_arrays([0, len(named)], named)}
+    return ipc(pa.table(row, schema=pa.schema([("doc_id", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("run", pa.binary()), ("words", pa.list_(pa.binary()))])))
+
+
+def _digests(words) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that sorts the keys, where each distinct key begins in it, distinct keys)."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), ranked[1:] != ranked[:-1]]))
+    return order, begins, ranked[begins]
+
+
 class Block:
-    """A block's texts as runs of indexes into its own words, pairs and triples, each kind sorted by key."""
-
-    def __init__(self, rows: pa.Table) -> None:
-        self.doc_id = rows["doc_id"].to_pylist()
-        words: defaultdict = defaultdict()
-        words.default_factory = words.__len__
-        runs = [np.fromiter(map(words.__getitem__, (START, *tokens(x.as_py() or b""))), np.int32) for x in rows["data"]]
-        lengths = np.array([len(r) for r in runs], np.int64)
+    """A block's texts as runs of numbers of its own words; each text begins with START, which is no token."""
+
+    def __init__(self, pack: bytes) -> None:
+        row = opened(pack)
+        self.doc_id = row["doc_id"][0].as_py()
+        lengths = np.array(row["lengths"][0].as_py(), np.int64)
+        digest = _digests(row["words"][0].as_py())
+        self.low, self.high = np.ascontiguousarray(digest[:, 0]), np.ascontiguousarray(digest[:, 1])
+        ends = _digests((START, END))
+        self.start, self.end = (int(np.flatnonzero((digest == e).all(1))[0]) for e in ends)
+        self.run = get_numbers(row["run"][0].as_py()).astype(np.int32)
         self.tokens = lengths - 1
-        run = np.concatenate(runs)
-        del runs
         self.first = np.cumsum(lengths) - lengths + 1  # after the start of each text
-        digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
-        rank = np.lexsort((digest[:, 1], digest[:, 0]))
-        place = np.empty(len(rank), np.int32)
-        place[rank] = np.arange(len(rank), dtype=np.int32)
-        self.low, self.high = np.ascontiguousarray(digest[rank, 0]), np.ascontiguousarray(digest[rank, 1])
-        self.start, self.end = int(place[words[START]]), int(place[words[END]])
-        del words
-        self.run = place[run]
-        at = np.ones(len(run), bool)
+        at = np.ones(len(self.run), bool)
         at[self.first - 1] = False
-        self.at = np.flatnonzero(at)  # places of tokens in the run; the token before each is its history
-        self.pairs, first, self.pair = np.unique(_mixed(self.low[self.run[self.at - 1]], self.low[self.run[self.at]]), return_index=True, return_inverse=True)
-        self.pair = self.pair.astype(np.int32)
-        self.pair_words = self.run[self.at[first] - 1], self.run[self.at[first]]
-        third = np.ones(len(run), bool)
-        third[self.first - 1] = False
-        third[self.first] = False
-        third = third[self.at]  # tokens with two before them (a text's start is one)
-        here = np.flatnonzero(third)
-        key = _mixed(self.pairs[self.pair[here - 1]], self.low[self.run[self.at[here]]])
-        self.triples, first, self.triple = np.unique(key, return_index=True, return_inverse=True)
-        self.here = here
-        self.triple_parts = self.pair[here[first] - 1], self.run[self.at[here[first]]], self.pair[here[first]]
+        self.at = np.flatnonzero(at)  # places of tokens in the run; what stands before one is its history
         left = [remainder(d) for d in self.doc_id]
         self.held = np.array([r == HELD for r in left])
         self.train = np.array([r is not None and r != HELD for r in left])
+        self.on = np.repeat(self.train, self.tokens)  # whether each token trains
+
+    def pair_keys(self) -> np.ndarray:
+        """The key of each token with what stands before it."""
+        return _mixed(self.low[self.run[self.at - 1]], self.low[self.run[self.at]])
 
-    def counts(self) -> list[np.ndarray]:
-        """Occurrences in training documents, of each word, pair and triple."""
-        on = np.repeat(self.train, self.tokens)
-        return [
-            np.bincount(self.run[self.at[on]], minlength=len(self.low)),
-            np.bincount(self.pair[on], minlength=len(self.pairs)),
-            np.bincount(self.triple[on[self.here]], minlength=len(self.triples)),
-        ]
+    def triple_keys(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens with two before them, START counted; the key of each with these)."""
+        third = np.ones(len(self.at), bool)
+        third[self.first - 1 - np.arange(len(self.first))] = False  # the first token of each text
+        here = np.flatnonzero(third)
+        return here, _mixed(pair[here - 1], self.low[self.run[self.at[here]]])
 
     def automaton(self, n: int, v: int, totals: list[np.ndarray], mu) -> Automaton:
         words, pairs, triples = totals
         history = words.copy()
         history[self.start] = words[self.end]  # each document starts once and ends once
-        # the automaton wants arcs sorted by state and word, not by key
-        a, b = (x.astype(np.int64) for x in self.pair_words)
-        order = np.lexsort((b, a))
-        new = np.empty(len(order), np.int64)
-        new[order] = np.arange(len(order))
-        p, w, end = (x.astype(np.int64) for x in self.triple_parts)
-        p, end = new[p], new[end]
-        sort = np.lexsort((w, p))
-        return Automaton(n, v, words, history, (a[order], b[order], pairs[order]), (p[sort], w[sort], end[sort], triples[sort]), mu)
+        pair = self.pair_keys()
+        order, begins, keys = _grouped(pair)
+        number = np.empty(len(order), np.int32)
+        number[order] = np.repeat(np.arange(len(keys), dtype=np.int32), np.diff(np.append(begins, len(order))))
+        one = self.at[order[begins]]
+        here, triple = self.triple_keys(pair)
+        del pair
+        order, begins, triple = _grouped(triple)
+        of = here[order[begins]]
+        return Automaton(n, v, self.low, words, history, (keys, self.run[one - 1], self.run[one], pairs), (triple, number[of - 1], number[of], triples), mu)
 
 
 KINDS = ("words", "pairs", "triples")
-SENT = "part int, block long, words binary, high binary, word_counts binary, pairs binary, pair_counts binary, triples binary, triple_counts binary"
+SENT = "part int, block long, " + ", ".join(f"{k} binary, {k}_counts binary" for k in KINDS) + ", high binary"
 
 
-def _counted(ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(ranges: int, kinds: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted keys and counts in training documents, a row for each range; kinds that are not asked for are null."""
     for batch in batches:
         for number, pack in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            block = Block(opened(pack.as_py()))
-            keys, counts = (block.low, block.pairs, block.triples), block.counts()
-            cuts = [bounds(k, ranges) for k in keys]
-            some = np.flatnonzero(np.logical_or.reduce([c[1:] > c[:-1] for c in cuts]))
+            block = Block(pack.as_py())
+            found: dict[str, tuple] = {}
+            if "words" in kinds:
+                found["words"] = block.low, np.bincount(block.run[block.at[block.on]], minlength=len(block.low))
+            pair = block.pair_keys()
+            for kind, keys, on in (("pairs", pair, block.on), ("triples", None, None)):
+                if kind in kinds:
+                    if keys is None:
+                        here, keys = block.triple_keys(pair)
+                        on = block.on[here]
+                    order, begins, keys = _grouped(keys)
+                    found[kind] = keys, np.add.reduceat(on[order], begins, dtype=np.int64) if len(order) else np.zeros(0, np.int64)
+            cuts = {k: bounds(keys, ranges) for k, (keys, _) in found.items()}
+            some = np.flatnonzero(np.logical_or.reduce([c[1:] > c[:-1] for c in cuts.values()]))
             columns = {"part": pa.array(some, pa.int32()), "block": pa.array(np.full(len(some), number), pa.int64())}
-            for name, key, count, cut in zip(KINDS, keys, counts, cuts, strict=True):
-                columns[name] = pa.array([put_keys(key[cut[k] : cut[k + 1]]) for k in some], pa.binary())
-                if name == "words":
-                    columns["high"] = pa.array([block.high[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())
-                columns[f"{name[:-1]}_counts"] = pa.array([put_numbers(count[cut[k] : cut[k + 1]]) for k in some], pa.binary())
-            yield pa.RecordBatch.from_pydict(columns)
+            for kind in KINDS:
+                if kind in found:
+                    (keys, counts), cut = found[kind], cuts[kind]
+                    columns[kind] = pa.array([put_keys(keys[cut[k] : cut[k + 1]]) for k in some], pa.binary())
+                    columns[f"{kind}_counts"] = pa.array([put_numbers(counts[cut[k] : cut[k + 1]]) for k in some], pa.binary())
+                else:
+                    columns[kind] = columns[f"{kind}_counts"] = pa.nulls(len(some), pa.binary())
+            high = [block.high[cuts["words"][k] : cuts["words"][k + 1]].tobytes() for k in some] if "words" in found else [None] * len(some)
+            yield pa.RecordBatch.from_pydict({**columns, "high": pa.array(high, pa.binary())})
 
 
 TOTALS = "part int, block long, words binary, pairs binary, triples binary, n long, v long"
 
 
-def _summed(rows: pa.Table) -> pa.Table:
+def _summed(kinds: tuple[str, ...], rows: pa.Table) -> pa.Table:
     """For each block, its totals in its own order; on the first row also what the range adds to N and V."""
-    back, n, v = [], 0, 0
-    for name in KINDS:
-        each = [get_keys(x.as_py()) for x in rows[name]]
-        key, count = np.concatenate(each), np.concatenate([get_numbers(x.as_py()) for x in rows[f"{name[:-1]}_counts"]])
-        if name == "words":
-            high = np.frombuffer(b"".join(rows["high"].to_pylist()), "<u8")
-            order = np.lexsort((high, key))
-            apart = (np.diff(key[order]) > 0) | (np.diff(high[order]) != 0)
-        else:
-            order = np.argsort(key, kind="stable")
-            apart = np.diff(key[order]) > 0
-        group = np.concatenate([[0], np.cumsum(apart)]) if len(key) else np.zeros(0, np.int64)
-        total = np.add.reduceat(count[order], np.concatenate([[0], np.flatnonzero(apart) + 1])) if len(key) else count
-        if name == "words":
+    back, n, v = {}, 0, 0
+    for kind in kinds:
+        each = [get_keys(x.as_py()) for x in rows[kind]]
+        key, count = np.concatenate(each), np.concatenate([get_numbers(x.as_py()) for x in rows[f"{kind}_counts"]])
+        high = np.frombuffer(b"".join(rows["high"].to_pylist()), "<u8") if kind == "words" else None
+        order = np.argsort(key) if high is None else np.lexsort((high, key))
+        ranked = key[order]
+        apart = ranked[1:] != ranked[:-1]
+        if high is not None:
+            apart |= high[order][1:] != high[order][:-1]
+        begins = np.concatenate([np.zeros(min(1, len(key)), np.int64), np.flatnonzero(apart) + 1])
+        total = np.add.reduceat(count[order], begins) if len(key) else count
+        if kind == "words":
             n, v = int(total.sum()), int((total > 0).sum())
         own = np.empty(len(key), np.int64)
-        own[order] = total[group]
-        ends = np.cumsum([len(e) for e in each])
-        back.append([put_numbers(x) for x in np.split(own, ends[:-1])])
+        own[order] = np.repeat(total, np.diff(np.append(begins, len(key))))
+        back[kind] = [put_numbers(x) for x in np.split(own, np.cumsum([len(e) for e in each])[:-1])]
     first = [1] + [0] * (rows.num_rows - 1)
-    return pa.table([rows["part"].combine_chunks(), rows["block"].combine_chunks(), *(pa.array(x, pa.binary()) for x in back), pa.array([n * f for f in first], pa.int64()), pa.array([v * f for f in first], pa.int64())], names=[f.split()[0] for f in TOTALS.split(", ")])
+    answers = [pa.array(back[k], pa.binary()) if k in back else pa.nulls(rows.num_rows, pa.binary()) for k in KINDS]
+    return pa.table([rows["part"].combine_chunks(), rows["block"].combine_chunks(), *answers, pa.array([n * f for f in first], pa.int64()), pa.array([v * f for f in first], pa.int64())], names=[f.split()[0] for f in TOTALS.split(", ")])
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _scored(n: int, v: int, mu: tuple[float, float], packs: pa.Table, model: pa.Table) -> pa.Table:
-    out = []
     model = model.sort_by("part")
+    out = []
     for pack in packs["pack"]:  # one
-        block = Block(opened(pack.as_py()))
-        totals = [np.concatenate([get_numbers(x.as_py()) for x in model[c]]) for c in KINDS]
+        block = Block(pack.as_py())
+        totals = [np.concatenate([get_numbers(x) for x in model[c].to_pylist() if x is not None] or [np.zeros(0, np.int64)]) for c in KINDS]
         automaton = block.automaton(n, v, totals, mu)
         word = block.run[block.at]
         offsets = block.first - 1 - np.arange(len(block.first))
-        known, base = (np.add.reduceat(x, offsets) for x in ((totals[0][word] > 0).astype(np.int64), automaton.empty[word]))
+        known, base = (np.add.reduceat(x, offsets) for x in ((totals[0] > 0).astype(np.int64)[word], automaton.empty[word]))
         walked = automaton.walk(block.run, block.first, block.tokens, block.start)
         out.append(pa.table([pa.array(block.doc_id, pa.int64()), pa.array(block.held), pa.array(block.tokens, pa.int64()), pa.array(known), pa.array(np.full(len(known), n), pa.int64()), pa.array(base), pa.array(walked)], names=[f.split()[0] for f in SCORED.split(", ")]))
     return pa.concat_tables(out) if out else pa.table({f.split()[0]: pa.array([], {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[f.split()[1]]) for f in SCORED.split(", ")})
@@ -266,12 +281,18 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mu: tuple
     held out; repeated rows count as often as they occur; no rows give no rows, and with no training rows
     every probability is that of an unknown word. Other columns are not read.
     """
-    packs = packed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data")), block_bytes)
-    sent = packs.select("block", "pack").mapInArrow(partial(_counted, ranges_for(packs, range_bytes)), SENT)
-    totals = stored(sent.groupBy("part").applyInArrow(on_table(_summed), TOTALS))
+    packs = packed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data")), block_bytes, _tokenized)
+    ranges = ranges_for(packs, range_bytes)
+
+    def totals_of(*kinds: str) -> DataFrame:
+        sent = packs.select("block", "pack").mapInArrow(partial(_counted, ranges, kinds), SENT)
+        return stored(sent.groupBy("part").applyInArrow(on_table(_summed, kinds), TOTALS))
+
+    # one exchange after the other, so that only one lies on disk
+    totals = totals_of("words", "pairs").union(totals_of("triples"))
     n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    model = totals.select("block", "part", "words", "pairs", "triples").groupBy("block")
-    return packs.groupBy("block").cogroup(model).applyInArrow(on_tables(_scored, n, v, tuple(mu)), SCORED)
+    model = totals.select("block", "part", *KINDS).groupBy("block")
+    return packs.select("block", "pack").groupBy("block").cogroup(model).applyInArrow(on_tables(_scored, n, v, tuple(mu)), SCORED)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,20 +4,22 @@ Lines (trimmed, lower-cased; blank ones are left alone) are sets of shingles of
 one shingle. In blocks of documents:
 
 1. equal lines meet by 128 bits of hash in a range of the key space, which answers who holds a line first;
-2. first holders sign their lines; band keys meet in ranges; lines that share a band are a unit (units of equal
-   members are one), and the blocks learn the units of their lines;
+2. first holders sign their lines; band keys meet in ranges; the lines of a band join the unit of its least line, the
+   leader, and the blocks learn the units of their lines;
 3. the lines of units are fetched and verified by exact Jaccard similarity: each against the unit's leader, and what
    that leaves apart against all of the unit. A unit beyond UNIT_LINES is dealt into parts, each with the leader,
    and lines that stay apart from it visit the other parts;
 4. the verified links go through distributed union-find, and of each component the first line (by document, then
    place) stays.
 
-Bands are sharp (six rows), so that lines that share only common words hardly meet: their number grows with the square
-of the corpus.
+Bands are sharp (six minima), so that lines that share only common words hardly meet: their number grows with the
+square of the corpus. Each minimum is in two bands; a pair at a similarity of 0.8 meets in one with probability 0.997,
+at 0.85 with 0.9999.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -30,12 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .blocks import bounds, get_keys, get_numbers, opened, packed, put_keys, put_numbers, ranges_for
-from .common import dropped, on_table, on_tables, stored, table
+from .common import dropped, on_table, on_tables, stored, table, unused
 from .components import Forest, components
 
 SIMILARITY = 0.8
 SHINGLE = 5
 BANDS, ROWS = 24, 6
+MINIMA = 72
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 UNIT_LINES = 1024
@@ -43,15 +46,17 @@ UNIT_LINES = 1024
 LINE_BITS = 26
 BLANK = " \t\r\x0b\f"
 _rng = np.random.default_rng(20)
-_A = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_A = _rng.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
+_IN_BAND = np.concatenate([_rng.permutation(MINIMA) for _ in range(BANDS * ROWS // MINIMA)]).reshape(BANDS, ROWS)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 PLACE = np.dtype([("has", "u1"), ("doc", "<i8"), ("row", "<u8"), ("pos", "<u4")])
 
 
-def normal(line: str) -> str:
-    return line.strip(BLANK).lower()
+def normal_lines(text: str) -> list[str]:
+    """The lines of a text, each trimmed and lower-cased."""
+    return [x.strip(BLANK) for x in text.lower().split("\n")]
 
 
 def _padded(line: bytes) -> str:
@@ -73,7 +78,30 @@ def _windows(text: str) -> np.ndarray:
 
 def shingles(line: bytes) -> np.ndarray:
     """The sorted set of a line's shingles."""
-    return np.unique(_windows(_padded(line)))
+    return shingle_sets([line])[0]
+
+
+def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """The same of many lines."""
+    padded = [_padded(x) for x in lines]
+    w = _windows("".join(padded) + "\0" * SHINGLE)
+    ends = np.cumsum([len(x) for x in padded])
+    out = []
+    for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+        own = w[a : b - SHINGLE + 1]
+        own.sort()
+        keep = np.empty(len(own), bool)
+        keep[0] = True
+        np.not_equal(own[1:], own[:-1], out=keep[1:])
+        out.append(own[keep])
+    return out
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    at = a.searchsorted(b)
+    at[at == len(a)] = 0
+    return int(np.count_nonzero(a[at] == b))
 
 
 def bands(lines: list[bytes], stretch: int = 1 << 16) -> np.ndarray:
@@ -90,22 +118,30 @@ def bands(lines: list[bytes], stretch: int = 1 << 16) -> np.ndarray:
 
 def _bands(lines: list[str]) -> np.ndarray:
     lengths = np.array([len(x) for x in lines])
-    start = np.cumsum(lengths) - lengths
-    edges = np.stack([start, start + lengths - SHINGLE + 1], 1).ravel()
-    w = _windows("".join(lines) + "\0" * SHINGLE)
-    x = ((w * _MIX) >> np.uint64(32)).astype(np.uint32)
-    key = np.arange(BANDS, dtype=np.uint64)[None, :] + np.zeros((len(lines), 1), np.uint64)
+    inside = np.ones(lengths.sum(), bool)
+    ends = np.cumsum(lengths)
+    for k in range(1, SHINGLE):
+        inside[ends - k] = False  # windows that reach into the next line
+    x = ((_windows("".join(lines) + "\0" * SHINGLE)[: len(inside)][inside] * _MIX) >> np.uint64(32)).astype(np.uint32)
+    count = lengths - SHINGLE + 1
+    begins = np.cumsum(count) - count
+    low = np.empty((MINIMA, len(lines)), np.uint64)
+    mixed = np.empty_like(x)
+    for k in range(MINIMA):
+        np.multiply(x, _A[k], out=mixed)
+        mixed += _B[k]
+        low[k] = np.minimum.reduceat(mixed, begins)
+    key = np.arange(BANDS, dtype=np.uint64)[:, None] + np.zeros((1, len(lines)), np.uint64)
     for r in range(ROWS):
-        low = np.stack([np.minimum.reduceat(x * _A[k] + _B[k], edges)[::2] for k in range(r, BANDS * ROWS, ROWS)], 1)
-        key = (key ^ low) * _MIX
+        key = (key ^ low[_IN_BAND[:, r]]) * _MIX
         key ^= key >> np.uint64(31)
-    return key
+    return key.T
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, limit: float) -> bool:
     if min(len(a), len(b)) < limit * max(len(a), len(b)):
         return False
-    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    both = common(a, b)
     return both >= limit * (len(a) + len(b) - both)
 
 
@@ -115,30 +151,23 @@ class Lines:
     def __init__(self, number: int, rows: pa.Table, text_at: int) -> None:
         """rows: columns of the documents, the last one the id; text_at: which one holds the text."""
         self.number, self.rows, self.text_at = number, rows, text_at
-        ids, texts = rows.column(rows.num_columns - 1).to_pylist(), rows.column(text_at)
+        ids, texts = rows.column(rows.num_columns - 1).to_pylist(), rows.column(text_at).to_pylist()
         self.has = np.array([d is not None for d in ids], np.uint8)
         self.doc = np.array([d or 0 for d in ids], np.int64)
-        self.hash = np.zeros(len(ids), np.uint64)
-        self.norm: list[str] = []
-        row, pos, line = [], [], []
-        known: dict[bytes, int] = {}
-        for i, t in enumerate(texts):
-            text = t.as_py()
-            if not text:
-                continue
-            self.hash[i] = xxhash.xxh3_64_intdigest(text)
-            for k, x in enumerate(map(normal, text.split("\n"))):
-                if x:
-                    key = xxhash.xxh3_128_digest(x)
-                    at = known.get(key)
-                    if at is None:
-                        at = known[key] = len(known)
-                        self.norm.append(x)
-                    row.append(i)
-                    pos.append(k)
-                    line.append(at)
-        self.row, self.pos, line = (np.array(x, np.int64) for x in (row, pos, line))
-        digest = np.frombuffer(b"".join(known), "<u8").reshape(-1, 2)
+        self.hash = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], np.uint64)
+        known: defaultdict = defaultdict()
+        known.default_factory = known.__len__
+        known[""]  # blank lines are number 0
+        each = [np.fromiter(map(known.__getitem__, normal_lines(t or "")), np.int64) for t in texts]
+        count = np.array([len(x) for x in each], np.int64)
+        line = np.concatenate([*each, np.zeros(0, np.int64)])
+        row = np.repeat(np.arange(len(each)), count)
+        pos = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+        some = line > 0
+        self.row, self.pos, line = row[some], pos[some], line[some] - 1
+        self.norm = list(known)[1:]
+        del each, known, texts
+        digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in self.norm]), "<u8").reshape(-1, 2)
         if len(digest) >> LINE_BITS:
             raise ValueError("a block has too many lines")
         order = np.lexsort((digest[:, 1], digest[:, 0]))
@@ -222,7 +251,7 @@ def _signed(ranges: int, text_at: int, packs: pa.Table, marks: pa.Table) -> pa.T
 
 
 def _united(rows: pa.Table) -> pa.Table:
-    """For each block, the units that its lines are in: unit, its size and whether the line leads it."""
+    """For each block, the units that its lines are in, a unit being the id of its leader."""
     each = [get_keys(x.as_py()) for x in rows["keys"]]
     key = np.concatenate(each)
     block = np.repeat(rows["block"].to_numpy(), [len(x) for x in each])
@@ -231,120 +260,134 @@ def _united(rows: pa.Table) -> pa.Table:
     key, line = key[order], line[order]
     begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([begins, [len(key)]]))
-    mixed = (line.astype(np.uint64) + _ODD) * _MIX
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * _ODD
-    unit = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), begins)
-    lead = np.repeat(line[begins], size) == line
-    unit, size = np.repeat(unit, size), np.repeat(size, size)
-    some = size > 1
-    line, unit, size, lead = line[some], unit[some], size[some], lead[some]
-    order = np.argsort(line >> LINE_BITS, kind="stable")
-    line, unit, size, lead = line[order], unit[order], size[order], lead[order]
+    some = np.repeat(size > 1, size)
+    line, unit = line[some], np.repeat(line[begins], size)[some]
+    order = np.lexsort((unit, line))
+    line, unit = line[order], unit[order]
+    once = np.ones(len(line), bool)
+    once[1:] = (line[1:] != line[:-1]) | (unit[1:] != unit[:-1])
+    line, unit = line[once], unit[once]
     number, at = np.unique(line >> LINE_BITS, return_index=True)
     cuts = np.concatenate([at, [len(line)]])
     packed_by = lambda put, x: pa.array([put(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-    return pa.table({"block": pa.array(number, pa.int64()), "units": packed_by(bytes, unit), "lines": packed_by(put_numbers, line & ((1 << LINE_BITS) - 1)), "sizes": packed_by(put_numbers, size), "leads": packed_by(put_numbers, lead.astype(np.int64))})
+    return pa.table({"block": pa.array(number, pa.int64()), "units": packed_by(np.ndarray.tobytes, unit), "lines": packed_by(put_numbers, line & ((1 << LINE_BITS) - 1))})
 
 
 # 3. Fetching and verifying.
 
-FETCHED = "unit long, size long, lead boolean, line long, has boolean, doc long, row long, pos long, norm binary"
+FETCHED = "unit long, line long, has boolean, doc long, row long, pos long, norm binary"
+_KINDS = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
 
 def _fetched(text_at: int, packs: pa.Table, wanted: pa.Table) -> pa.Table:
-    """The lines of units; a unit that several ranges found comes once."""
-    empty = pa.table({"unit": pa.array([], pa.int64()), "size": pa.array([], pa.int64()), "lead": pa.array([], pa.bool_()), "line": pa.array([], pa.int64()), "has": pa.array([], pa.bool_()), "doc": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "pos": pa.array([], pa.int64()), "norm": pa.array([], pa.binary())})
-    if not wanted.num_rows:
-        return empty
-    out = [empty]
-    unit = np.frombuffer(b"".join(wanted["units"].to_pylist()), "<i8")
-    line, size, lead = (np.concatenate([get_numbers(x.as_py()) for x in wanted[c]]) for c in ("lines", "sizes", "leads"))
-    one = np.unique(np.stack([unit, line], 1), axis=0, return_index=True)[1]
-    for lines in _each(packs, text_at):
-        place = lines.places()[line[one]]
-        texts = [lines.norm[i].encode("utf-8", "surrogatepass") for i in line[one].tolist()]
-        out.append(pa.table([pa.array(unit[one]), pa.array(size[one]), pa.array(lead[one] > 0), pa.array((lines.number << LINE_BITS) | line[one]), pa.array(place["has"] > 0), pa.array(place["doc"]), pa.array(np.ascontiguousarray(place["row"]).view(np.int64)), pa.array(place["pos"].astype(np.int64)), pa.array(texts, pa.binary())], names=empty.column_names))
+    """The lines of units; one that several ranges found in a unit comes once."""
+    names = [f.split()[0] for f in FETCHED.split(", ")]
+    out = [pa.table([pa.array([], t) for t in _KINDS], names=names)]
+    if wanted.num_rows:
+        unit = np.frombuffer(b"".join(wanted["units"].to_pylist()), "<i8")
+        line = np.concatenate([get_numbers(x.as_py()) for x in wanted["lines"]])
+        unit, line = np.unique(np.stack([unit, line], 1), axis=0).T
+        for lines in _each(packs, text_at):
+            place = lines.places()[line]
+            texts = [lines.norm[i].encode("utf-8", "surrogatepass") for i in line.tolist()]
+            columns = (unit, (lines.number << LINE_BITS) | line, place["has"] > 0, place["doc"], np.ascontiguousarray(place["row"]).view(np.int64), place["pos"].astype(np.int64), texts)
+            out.append(pa.table([pa.array(x, t) for x, t in zip(columns, _KINDS, strict=True)], names=names))
     return pa.concat_tables(out)
 
 
 class _Unit:
-    """Lines of a unit's part, the leader first, and the forest of their verified links."""
+    """Lines of a unit's part, the leader first; links go into a forest that units of one task share."""
 
-    def __init__(self, texts: list[bytes], limit: float) -> None:
-        sets = [shingles(t) for t in texts]
-        self.size = np.array([len(s) for s in sets])
-        self.start = np.cumsum(self.size) - self.size
-        self.every, self.owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
-        self.limit, self.forest = limit, Forest()
+    def __init__(self, line: list[int], sets: list[np.ndarray], limit: float, forest: Forest) -> None:
+        self.line, self.sets, self.limit, self.forest = line, sets, limit, forest
+        self.every = None
 
     def visit(self, k: int) -> None:
         """Link line k with every line that is similar to it."""
-        own = self.every[self.start[k] : self.start[k] + self.size[k]]
-        same = own[np.minimum(np.searchsorted(own, self.every), len(own) - 1)] == self.every
-        both = np.bincount(self.owner[same], minlength=len(self.size))
-        for j in np.flatnonzero(both >= self.limit * (self.size + self.size[k] - both)).tolist():
-            self.forest.union(k, j)
+        if len(self.line) <= 4:
+            for j in range(len(self.line)):
+                if j != k and jaccard_at_least(self.sets[k], self.sets[j], self.limit):
+                    self.forest.union(self.line[k], self.line[j])
+            return
+        if self.every is None:
+            self.size = np.array([len(s) for s in self.sets])
+            self.start = np.cumsum(self.size) - self.size
+            self.every = np.concatenate(self.sets)
+        own = self.sets[k]
+        at = own.searchsorted(self.every)
+        at[at == len(own)] = 0
+        both = np.add.reduceat(own[at] == self.every, self.start, dtype=np.int64)
+        for j in np.flatnonzero(both >= self.limit * (self.size + len(own) - both)).tolist():
+            self.forest.union(self.line[k], self.line[j])
+
+    def joined(self, k: int) -> bool:
+        return self.forest.find(self.line[k]) == self.forest.find(self.line[0])
 
     def apart(self) -> list[int]:
         """Visits the leader, then each line that is not connected with it at its turn; gives those that end apart."""
-        self.visit(0)
-        for k in range(1, len(self.size)):
-            if self.forest.find(k) != self.forest.find(0):
+        if all(map(self.joined, range(1, len(self.line)))):
+            return []
+        for k in range(len(self.line) - (len(self.line) == 2)):
+            if k == 0 or not self.joined(k):
                 self.visit(k)
-        return [k for k in range(1, len(self.size)) if self.forest.find(k) != self.forest.find(0)]
+        return [x for k, x in enumerate(self.line) if not self.joined(k)]
 
 
 LINKS = "a long, b long, apart boolean, unit long"
 
 
 def _verified(limit: float, visiting: bool, rows: pa.Table) -> pa.Table:
-    """Links (a, b) of each (unit, part) in the group; of units of many parts also the lines that stay apart (a, null).
+    """Links (a, b) within each (unit, part) of the group; of units of many parts also the lines that stay apart (a, null).
 
     visiting: rows marked lead are visitors, compared with all lines of the part, and nothing else is.
     """
     parts: dict[tuple, list[int]] = {}
-    lead = rows["lead"].to_numpy()
+    line, lead = rows["line"].to_pylist(), rows["lead"].to_pylist()
     for i, key in enumerate(zip(rows["unit"].to_pylist(), rows["o"].to_pylist(), strict=True)):
         parts.setdefault(key, []).append(i)
-    line, texts, several = rows["line"].to_numpy(), rows["norm"], rows["parts"].to_numpy() > 1
-    out: list[tuple] = []
+    texts, several = rows["norm"], rows["parts"].to_numpy() > 1
+    once = {x: i for i, x in enumerate(line)}
+    sets = dict(zip(once, shingle_sets(texts.take(pa.array(once.values(), pa.int64())).to_pylist()), strict=True))
+    forest, left = Forest(), []
     for (unit, _), at in parts.items():
-        at = np.array(sorted(at, key=lambda i: (not lead[i], line[i])))
-        found = _Unit(texts.take(pa.array(at)).to_pylist(), limit)
+        at.sort(key=lambda i: (not lead[i], line[i]))
+        found = _Unit([line[i] for i in at], [sets[line[i]] for i in at], limit, forest)
         if visiting:
-            for k in range(int(lead[at].sum())):
+            for k in range(sum(lead[i] for i in at)):
                 found.visit(k)
         else:
-            left = found.apart()
+            apart = found.apart()
             if several[at[0]]:
-                out += [(int(line[at[k]]), None, True, unit) for k in left]
-        out += [(int(line[at[a]]), int(line[at[b]]), False, unit) for a, b in found.forest.stars()]
+                left += [(x, None, True, unit) for x in apart]
+    out = left + [(a, b, False, None) for a, b in forest.stars()]
     kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
     return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in LINKS.split(", ")])
 
 
 def _links(fetched: DataFrame, similarity: float, unit_lines: int) -> DataFrame:
     """(a, b) of verified lines of all units."""
-    rows = fetched.select("unit", "lead", "line", "norm", F.ceil(F.col("size") / unit_lines).alias("parts"))
+    large = stored(fetched.groupBy("unit").agg(F.ceil(F.count("*") / unit_lines).alias("parts")).where("parts > 1"))
+    rows = fetched.select("unit", "line", "norm", (F.col("unit") == F.col("line")).alias("lead"))
+    rows = rows.withColumn("parts", F.lit(1).cast("long")) if large.isEmpty() else rows.join(large, "unit", "left").na.fill(1, ["parts"])
     own = F.pmod(F.xxhash64("line"), F.col("parts"))
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    n = rows.count()
+    n = fetched.count()
 
     def verify(dealt: DataFrame, visiting: bool) -> DataFrame:
-        groups = max(1, -(-n // (4 * unit_lines)))
+        groups = max(1, -(-n // (2 * unit_lines)))
         keyed = dealt.withColumn("g", F.pmod(F.xxhash64("unit", "o"), F.lit(groups)))
         return stored(keyed.groupBy("g").applyInArrow(on_table(_verified, similarity, visiting), LINKS))
 
     # the leader goes to every part
     first = verify(rows.withColumn("o", F.explode(F.when(F.col("lead"), every).otherwise(F.array(own)))), False)
-    links = first.where("not apart")
+    links = first.where("not apart").select("a", "b")
     left = first.where("apart").select("unit", F.col("a").alias("line"), F.lit(True).alias("_left"))
     if left.isEmpty():
-        return links.select("a", "b")
+        return links
     many = rows.where("parts > 1").join(left, ["unit", "line"], "left").drop("lead")
     visitors = many.where("_left").withColumn("o", F.explode(every)).where(F.col("o") != own).withColumn("lead", F.lit(True))
     hosts = many.join(left.select("unit").distinct(), "unit", "left_semi").withColumn("o", own).withColumn("lead", F.lit(False))
-    return links.select("a", "b").union(verify(visitors.unionByName(hosts), True).where("not apart").select("a", "b"))
+    return links.union(verify(visitors.unionByName(hosts), True).where("not apart").select("a", "b"))
 
 
 # 4. What stays.
@@ -388,9 +431,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarit
     one document, and keep the same lines; a null id sorts first; lines of any length are compared whole; no
     rows give no rows. All columns of docs are kept; none may be called _lines or _removed.
     """
-    key = "_id"
-    while key in docs.columns:
-        key += "_"
+    key = unused("_id", docs)
     text_at = docs.columns.index(text)
     packs = packed(docs.select("*", F.col(doc_id).cast("long").alias(key)), block_bytes)
     ranges = ranges_for(packs, range_bytes)
@@ -400,7 +441,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarit
     marks = stored(sent.groupBy("part").applyInArrow(on_table(_owned), "block long, part int, marks binary"))
 
     signed = whole.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(on_tables(_signed, ranges, text_at), "part int, block long, keys binary, lines binary")
-    units = stored(signed.groupBy("part").applyInArrow(on_table(_united), "block long, units binary, lines binary, sizes binary, leads binary"))
+    units = stored(signed.groupBy("part").applyInArrow(on_table(_united), "block long, units binary, lines binary"))
     fetched = stored(whole.groupBy("block").cogroup(units.groupBy("block")).applyInArrow(on_tables(_fetched, text_at), FETCHED))
     dropped(units)
 

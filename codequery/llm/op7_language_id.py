@@ -2,23 +2,23 @@
 
 Subwords are the byte 2-, 3- and 4-grams of the whole text, A-Z lower-cased, each hashed into a bucket with an
 embedding. A text is the mean of its embeddings; a softmax layer reads it. Training is stochastic gradient
-descent in numpy on a bounded sample (SAMPLE_DOCS documents); part of it calibrates the temperature of the
+descent in numpy on a bounded sample (SAMPLE_DOCS labelled documents); part of it calibrates the temperature of the
 scores and the score below which a prediction is rejected. For prediction the two linear layers are one table.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, sampled, table
 
 FOLDS, HELD = 4, 2
 SAMPLE_DOCS = 3000
@@ -26,7 +26,7 @@ BITS = 14
 DIM = 16
 UNKNOWN = "und"
 REJECTED_SHARE = 0.001
-_letter = re.compile(r"[^\W\d_]")
+_letter = regex.compile(r"\p{L}")
 _MIX = {2: 0x9E3779B1, 3: 0x85EBCA77, 4: 0xC2B2AE3D}
 
 
@@ -57,6 +57,9 @@ class Model:
     def logits(self, counts: np.ndarray) -> np.ndarray:
         return counts @ self.table / max(1, counts.sum()) + self.bias
 
+    def rejects(self, lang: str, score: float) -> bool:
+        return lang == UNKNOWN or score < self.threshold
+
     def predict(self, data: bytes | None) -> tuple[str, float]:
         if data is None or not self.langs or not _letter.search(data.decode("utf-8", "replace")):
             return UNKNOWN, 0.0
@@ -101,8 +104,13 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int
             p /= p.sum(1, keepdims=True)
             scores[t] = (-np.log(np.maximum(p[np.arange(len(p)), y[calibrating]], 1e-12)).mean(), p.max(1))
         model.temperature = float(min(scores, key=lambda t: scores[t][0]))
-        # a rejection limit under what all but a small share of known texts reach, and never over an even call
-        model.threshold = float(min(0.5, np.quantile(scores[model.temperature][1], REJECTED_SHARE)))
+        # between what known texts reach and what bags of no language do (buckets drawn at random): over most of the
+        # latter, but never over what more than a small share of known texts falls short of
+        known = scores[model.temperature][1]
+        odd = np.array([model.logits(np.bincount(rng.permutation(1 << BITS)[: len(bags[i][0])], bags[i][1], 1 << BITS)) for i in calibrating]) / model.temperature
+        odd = np.exp(odd - odd.max(1, keepdims=True))
+        odd = (odd / odd.sum(1, keepdims=True)).max(1)
+        model.threshold = float(min(np.quantile(odd, 0.9), np.quantile(known, REJECTED_SHARE)))
     return model
 
 
@@ -114,40 +122,39 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learns from at most sample_docs rows of the training folds, the first by the id's hash."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    usable = (fold(F.col("doc_id"), FOLDS) != HELD) & F.col("lang").isNotNull()
-    ids = [r[0] for r in rows.where(usable).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()]
-    if not ids:
-        return train([], [])
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], "doc_id long")
-    sample = rows.where(usable).join(F.broadcast(chosen), "doc_id", "left_semi").where(F.col("text").isNotNull())
-    got = sample.select("lang", F.col("text").cast("binary")).mapInArrow(_bags, "lang string, at binary, counts binary").collect()
-    got = sorted((r.lang, bytes(r.at), bytes(r.counts)) for r in got)[: 2 * sample_docs]
+    """Learns from at most sample_docs rows of the training folds that have a text, the first by the hash of id and language.
+
+    Rows that repeat an id and its language count once; rows without an id, text or language are not learned from.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data"), F.col(lang).cast("string").alias("lang"))
+    usable = (fold(F.col("doc_id"), FOLDS) != HELD) & F.col("lang").isNotNull() & F.col("data").isNotNull()
+    got = sampled(rows.where(usable), sample_docs, "doc_id", "lang").select("lang", "data").mapInArrow(_bags, "lang string, at binary, counts binary").collect()
+    got = sorted((r.lang, bytes(r.at), bytes(r.counts)) for r in got)
     return train([(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(np.float64)) for _, a, c in got], [x for x, _, _ in got])
 
 
 def _predicted(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [model.predict(x) for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        gone = [model.rejects(x, s) for x, s in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array(gone, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): one row per input row; und and 0 for texts that are null or have no letter.
+    """(doc_id, held_out, lang_pred, score, rejected): one row per input row; und and 0 for texts that are null or have no letter.
 
-    With nothing to learn from every row is und. Rows without an id are predicted and count as not held out;
+    rejected: und, or a score under the calibrated limit; the prediction is given all the same. With nothing to learn from every row is und. Rows without an id are predicted and count as not held out;
     repeated rows repeat; other columns are not read.
     """
     key = F.col(doc_id).cast("long")
     held = F.coalesce(fold(key, FOLDS) == HELD, F.lit(False))
-    return docs.select(key.alias("doc_id"), held.alias("held_out"), F.col(text).cast("binary").alias("data")).mapInArrow(partial(_predicted, model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(key.alias("doc_id"), held.alias("held_out"), F.col(text).cast("binary").alias("data")).mapInArrow(partial(_predicted, model), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def _accepted(model: Model, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [model.predict(None if x is None else x.encode()) for x in batch.column(at).to_pylist()]
-        yield batch.filter(pa.array([x != UNKNOWN and s >= model.threshold for x, s in found], pa.bool_()))
+        yield batch.filter(pa.array([not model.rejects(x, s) for x, s in found], pa.bool_()))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -156,5 +163,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predict() over all documents by a model of the training folds; see there for nulls, repeats and empty tables."""
     docs = table(spark, sf_dir, "documents")
     return predict(docs, learn(docs))

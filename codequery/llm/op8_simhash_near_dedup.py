@@ -4,26 +4,28 @@ Fingerprints lie in a sorted run as 64 bit planes (plane b holds bit b of every
 XOR of a plane with itself shifted by d gives that bit's difference for every pair at distance d in the run;
 carry-save counters add the planes up for 64 pairs a word at once, and words of which every pair has passed
 the radius are abandoned. Runs are buckets by equal parts of the fingerprint: two fingerprints at most
-`radius` bits apart agree on at least `parts - radius` of `parts` parts, so every link is found.
+`radius` bits apart agree on at least one of `radius + 1` parts, so every link is found. A bucket of more than
+BUCKET fingerprints is dealt into smaller ones by the parts of its other bits, for which the same holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpoint, table
-from .components import components
+from .common import stored, table, unused
+from .components import classes, components
 
 RADIUS = 3
 SHINGLE_WORDS = 3
+BUCKET = 1 << 14
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -129,7 +131,7 @@ def _spanning(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.nda
 
 
 def _runs(radius: int, batch_rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (part, key, fp) rows: whole buckets are handed on together, small ones many at a time."""
+    """Sorted (used, key, fp) rows: whole buckets are handed on together, small ones many at a time."""
     keep: list[np.ndarray] = []
     held = 0
 
@@ -154,43 +156,81 @@ def _runs(radius: int, batch_rows: int, batches: Iterator[pa.RecordBatch]) -> It
         yield done(np.concatenate(keep))
 
 
-def parts_for(n: int) -> int:
-    """Parts that keep buckets of n random fingerprints small: 4 give 16 bits of key, 5 give 25, 6 give 32."""
-    return 4 if n < 1 << 24 else 5 if n < 1 << 33 else 6
+def _split(used: int, radius: int) -> list[int]:
+    """Masks of the used bits and one more part of the others, which are cut into radius + 1 parts."""
+    rest = [b for b in range(64) if not used >> b & 1]
+    edges = [round(len(rest) * i / (radius + 1)) for i in range(radius + 2)]
+    return [used | sum(1 << b for b in rest[edges[i] : edges[i + 1]]) for i in range(radius + 1)]
 
 
-def link_forest(prints: DataFrame, radius: int = RADIUS, parts: int | None = None) -> DataFrame:
-    """(a, b): a spanning forest, bucket by bucket, of all links between distinct fingerprints."""
-    parts = parts or parts_for(prints.count())
-    edges = [round(64 * i / parts) for i in range(parts + 1)]
-    masks = [sum(((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in some) for some in combinations(range(parts), parts - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("part", "key")
-    rows = prints.select(keys, "fp").repartition("part", "key").sortWithinPartitions("part", "key", "fp")
-    return rows.mapInArrow(partial(_runs, radius, 1 << 16), "a long, b long")
+def _long(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def link_forest(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): a spanning forest, bucket by bucket, of all links between distinct fingerprints."""
+    masks, found = _split(0, radius), None
+    rows = prints.select(F.explode(F.array(*[F.lit(_long(m)) for m in masks])).alias("used"), "fp")
+    key = F.col("fp").bitwiseAND(F.col("used")).alias("key")
+    while True:
+        rows = rows.select("used", key, "fp")
+        masks = [m for m in masks if bin(m).count("1") + radius < 64]
+        hot = stored(rows.groupBy("used", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).where(F.col("used").isin([_long(m) for m in masks])).drop("n"))
+        seen = {r.used for r in hot.select("used").distinct().collect()}  # as many as masks at most
+        masks, last = [m for m in masks if _long(m) in seen], not seen
+        cold = rows if last else rows.join(hot, ["used", "key"], "left_anti")
+        found = cold if found is None else found.unionByName(cold)
+        if last:
+            break
+        next_of = F.create_map(*[x for m in masks for x in (F.lit(_long(m)), F.array(*[F.lit(_long(k)) for k in _split(m, radius)]))])
+        rows = stored(rows.join(hot, ["used", "key"], "left_semi").select(F.explode(next_of[F.col("used")]).alias("used"), "fp").distinct())
+        masks = sorted({k for m in masks for k in _split(m, radius)})  # two ways can lead to the same bits
+    runs = found.repartition("used", "key").sortWithinPartitions("used", "key", "fp")
+    return runs.mapInArrow(partial(_runs, radius, 1 << 16), "a long, b long")
+
+
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per input row.
 
     Exact copies share a fingerprint and are collapsed before any comparison. Null or wordless texts have
     fingerprint zero and link like any other; a row without an id gets the smallest id of its group, null if
     it has none; repeated rows repeat in the result; no rows give no rows. Other columns are not read.
     """
-    prints = checkpoint(fingerprints(docs, doc_id, text))
-    reps = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(link_forest(reps.select("fp"), radius), "a", "b")
-    rooted = reps.join(found.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints, grouped = _grouped(fingerprints(docs, doc_id, text), radius, bucket)
+    return prints.join(grouped, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("class").alias("component_id"))
+
+
+def _grouped(prints: DataFrame, radius: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints, written, and (fp, root, class) of the distinct ones; class: the least id of the group."""
+    prints = stored(prints)
+    reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    found = components(link_forest(reps.select("fp"), radius, bucket), "a", "b")
+    return prints, classes(reps, found, "fp", "rep").select("fp", "root", "class")
+
+
+def _with_prints(at: int, name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.fromiter((fingerprint((x or "").encode("utf-8", "surrogatepass")) for x in batch.column(at).to_pylist()), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, name])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest id of each group stays (rows that repeat an id stay together)."""
-    kept = near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """Pipeline stage: of each group one row stays, the one with the smallest id (null ids last).
+
+    Rows that repeat an id are rows like others: of equal ids the one with the least number stays, where numbers follow
+    partitions and places in them, so that one row of a group stays and no other.
+    """
+    fp, row = unused("_fp", docs), unused("_row", docs)
+    schema = StructType([*docs.schema.fields, StructField(fp, LongType())])
+    rows = stored(docs.mapInArrow(partial(_with_prints, docs.columns.index("text"), fp), schema).withColumn(row, F.monotonically_increasing_id()))
+    prints = rows.select(F.col(fp).alias("fp"), F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("rep")
+    reps = stored(prints.groupBy("fp").agg(first))
+    found = components(link_forest(reps.select("fp")), "a", "b")
+    kept = classes(reps, found, "fp", "rep").where(F.col("rep") == F.col("class")).select(F.col("rep.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_dedup() over all documents; see there for nulls, repeats and empty tables."""
     return near_dedup(table(spark, sf_dir, "documents"))

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codequery.llm import op5_lm_scoring as op5
@@ -56,13 +57,13 @@ def test_scores_equal_the_formula(spark):
         agree(op5.score(df, mu=mu, block_bytes=size, range_bytes=size).collect(), want(rows, mu))
 
 
-def test_one_walk_in_stretches_equals_one_without(spark):
+def test_one_walk_in_stretches_equals_one_without():
     rng = np.random.default_rng(2)
     texts = [[b"%d" % x for x in rng.integers(0, 9, n)] + [op5.END] for n in (0, 1, 2, 3, 7, 50, 500)]
-    import pyarrow as pa
-
-    block = op5.Block(pa.table({"doc_id": list(range(1, 8)), "data": pa.array([b" ".join(t[:-1]) for t in texts], pa.binary())}))
-    counts = block.counts()
+    rows = pa.table({"doc_id": list(range(1, 8)), "data": pa.array([b" ".join(t[:-1]) for t in texts], pa.binary())})
+    block = op5.Block(op5._tokenized(rows))
+    pair = block.pair_keys()
+    counts = [np.bincount(block.run[block.at], minlength=len(block.low)), *(np.unique(k, return_counts=True)[1] for k in (pair, block.triple_keys(pair)[1]))]
     auto = block.automaton(int(counts[0].sum()), int((counts[0] > 0).sum()), counts, (2.0, 1.0))
     whole = auto.walk(block.run, block.first, block.tokens, block.start, 1 << 20)
     for stretch in (2, 3, 16):
@@ -86,10 +87,8 @@ def test_without_rows_or_training(spark):
 
 
 def test_totals_pass_32_bits():
-    import pyarrow as pa
-
-    row = {"part": [0, 0], "block": [0, 1], "high": [b"\0" * 8] * 2}
     key = op5.put_keys(np.array([7], np.uint64))
-    row |= {k: [key] * 2 for k in op5.KINDS} | {f"{k[:-1]}_counts": [op5.put_numbers(np.array([3 << 31]))] * 2 for k in op5.KINDS}
-    out = op5._summed(pa.table(row))
+    row = {"part": [0, 0], "block": [0, 1], "high": [b"\0" * 8] * 2}
+    row |= {k: [key] * 2 for k in op5.KINDS} | {f"{k}_counts": [op5.put_numbers(np.array([3 << 31]))] * 2 for k in op5.KINDS}
+    out = op5._summed(op5.KINDS, pa.table(row))
     assert out["n"].to_pylist() == [3 << 32, 0] and op5.get_numbers(out["triples"][1].as_py()).tolist() == [3 << 32]

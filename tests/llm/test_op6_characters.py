@@ -3,6 +3,7 @@ import random
 import pyarrow as pa
 
 from codequery.llm import op6_line_dedup as op6
+from codequery.llm.components import Forest
 
 WORDS = {
     "en": "river stone bright morning carry window letter garden silver market winter engine",
@@ -56,7 +57,7 @@ def test_a_unit_in_parts_links_what_one_part_links():
     rng = random.Random(9)
     base = [" ".join(rng.choice(WORDS["en"].split()) for _ in range(12)) for _ in range(3)]
     texts = sorted({b[:i] + c + b[i + 1 :] for b in base for i in range(0, len(b), 7) for c in "#+"})
-    unit = op6._Unit([t.encode() for t in texts], 0.8)
+    unit = op6._Unit(list(range(len(texts))), [op6.shingles(t.encode()) for t in texts], 0.8, Forest())
     unit.apart()
     sets = [own_shingles(t) for t in texts]
     root = list(range(len(texts)))
