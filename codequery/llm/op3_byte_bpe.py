@@ -276,7 +276,7 @@ class Block:
 def _joined(values: pa.Array, at: np.ndarray, sizes: np.ndarray, between: bytes) -> pa.Array:
     """Runs of values, by place and so many each, joined: binary with 64-bit offsets."""
     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
-    return pc.binary_join(pa.LargeListArray.from_arrays(offsets, values.take(pa.array(at))), between)
+    return pc.binary_join(pa.LargeListArray.from_arrays(offsets, values.take(pa.array(at))), pa.scalar(between, values.type))
 
 
 def _sent(packs: pa.Table) -> pa.Table:

@@ -150,9 +150,10 @@ def newton(total, prior: float, steps: int = 16, decay: float = DECAY, back: flo
             last, height = w, risk
             # with the logistic loss the positives' curvature cancels: only the unlabelled rows bend the risk
             step = np.linalg.solve(u["curve"].reshape(SIZE, SIZE) / n_u + np.diag(shrink + 1e-9), prior * p["up"] / n_p + below + shrink * w)
-            if np.abs(step).max() < 1e-3:
+            reach = np.sqrt(max(1e-12, step @ u["curve"].reshape(SIZE, SIZE) @ step / n_u))  # at most half of what logits move by
+            if reach < 1e-3:
                 break
-            w = w - step * min(1.0, 2.0 / np.abs(step).max())
+            w = w - step * min(1.0, 0.5 / reach)
     return best if steps > 1 else w
 
 
@@ -171,13 +172,11 @@ def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def shift(scores: np.ndarray, prior: float) -> float:
-    """What to add to every logit so that the mean score of the unlabelled rows, of which this is the histogram, is the prior."""
-    middle = (np.arange(len(scores)) + 0.5) / len(scores)
-    z, low, high = np.log(middle / (1 - middle)), -30.0, 30.0
-    for _ in range(60):
-        at = (low + high) / 2
-        low, high = (low, at) if (scores / (1 + np.exp(-z - at))).sum() > prior * scores.sum() else (at, high)
-    return (low + high) / 2
+    """What to add to every logit so that the share of unlabelled rows scored 0.5 or more is the prior; scores: their histogram."""
+    above = np.cumsum(scores[::-1])[::-1] / max(1, scores.sum())
+    k = int(np.flatnonzero(above >= prior)[-1]) if (above >= prior).any() else 0
+    edge = min(max(k / len(scores), 1e-6), 1 - 1e-6)
+    return float(np.log((1 - edge) / edge))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -254,13 +253,13 @@ def learn(described: DataFrame, labels: DataFrame) -> Model:
 
     # what one half of the rows teaches is tried on the other
     first, other = rows.where("half = 0"), rows.where("half = 1")
-    if first.where("positive").isEmpty() or other.where("positive").isEmpty():
-        prior = 0.5
-    else:
-        unlabelled, positive = histograms(other, newton(partial(total, first), 0.5, steps=6))
-        prior = prior_of(positive, unlabelled)
+    prior = 0.5
+    if not first.where("positive").isEmpty() and not other.where("positive").isEmpty():
+        for _ in range(2):  # the second model tells more, as it knows more of the prior
+            unlabelled, positive = histograms(other, newton(partial(total, first), prior, steps=6))
+            prior = prior_of(positive, unlabelled)
     w = newton(partial(total, rows), prior)
-    w[-1] += shift(histograms(rows, w)[0], prior)
+    w[-1] += shift(histograms(rows, w, 10_000)[0], prior)
     dropped(rows)
     return Model(edges, w[:-1].reshape(FEATURES, BINS), float(w[-1]))
 

@@ -118,3 +118,9 @@ def test_language_learns_from_every_language_however_often_ids_repeat(spark):
     rows = [(1, "alpha beta gamma", "aa")] * 50 + [(i, "zeta omega psi", "zz") for i in range(100, 130)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert set(op7.learn(docs, sample_docs=20).langs) >= {"zz"}
+
+
+def test_quality_shift_puts_the_prior_above_half():
+    scores = np.random.default_rng(8).beta(2, 3, 50_000)
+    b = op4.shift(np.histogram(scores, 10_000, (0, 1))[0], 0.6)
+    assert abs(np.mean(np.log(scores / (1 - scores)) + b >= 0) - 0.6) < 0.01
