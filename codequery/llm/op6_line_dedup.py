@@ -47,7 +47,6 @@ LINE_BITS = 26
 BLANK = " \t\r\x0b\f"
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
 _IN_BAND = np.concatenate([_rng.permutation(MINIMA) for _ in range(BANDS * ROWS // MINIMA)]).reshape(BANDS, ROWS)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -99,9 +98,9 @@ def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """How many numbers two sorted sets share."""
-    at = a.searchsorted(b)
-    at[at == len(a)] = 0
-    return int(np.count_nonzero(a[at] == b))
+    both = np.concatenate((a, b))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def bands(lines: list[bytes], stretch: int = 1 << 16) -> np.ndarray:
@@ -128,8 +127,7 @@ def _bands(lines: list[str]) -> np.ndarray:
     low = np.empty((MINIMA, len(lines)), np.uint64)
     mixed = np.empty_like(x)
     for k in range(MINIMA):
-        np.multiply(x, _A[k], out=mixed)
-        mixed += _B[k]
+        np.multiply(x, _A[k], out=mixed)  # an odd factor permutes the hashes
         low[k] = np.minimum.reduceat(mixed, begins)
     key = np.arange(BANDS, dtype=np.uint64)[:, None] + np.zeros((1, len(lines)), np.uint64)
     for r in range(ROWS):
