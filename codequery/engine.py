@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text as T
-from .operators import code_graph, graph, modes, risk, search
+from .operators import code_graph, describe, graph, knowledge, modes, results, risk, search
 from .sources import files as source_files
 from .sources.units import SCHEMA as UNIT
 
@@ -25,6 +25,9 @@ TABLES = {
     "lengths": "unit_id string, dl long",
     "vectors": "unit_id string, bucket int, weight double",
     "findings": "path string, line int, rule_id string, severity string",
+    "commits": "sha string, author string, message string, files array<string>",
+    "kg_nodes": "id string, kind string, name string",
+    "kg_edges": "source string, target string, kind string",
     "versions": "indexed_at timestamp",
 }
 COMMIT = re.compile(r"[\w.-]{1,80}")
@@ -37,10 +40,9 @@ def repository_id(place: str) -> str:
     return hashlib.sha1(key.encode()).hexdigest()[:12]
 
 
-def secret_lines(found: DataFrame) -> DataFrame:
-    """Findings of the rules in each file unit's lines."""
-    lines = found.where("unit_type = 'file' AND source IS NOT NULL").select(*KEYS, "path", F.posexplode(T.lines(F.col("source"))).alias("line", "text"))
-    return risk.scan(lines.withColumn("line", F.col("line") + 1), "text").drop("text")
+def texts_of(units: DataFrame) -> DataFrame:
+    """(path, text) of file units, for code that comes as units alone; long files are clipped there."""
+    return units.where("unit_type = 'file' AND source IS NOT NULL").select("path", F.col("source").alias("text"))
 
 
 class Engine:
@@ -57,22 +59,29 @@ class Engine:
     def _write(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(f"{self.root}/{name}")
 
-    def ingest(self, folder: str, commit: str = "worktree") -> str:
-        """Parse a folder as one version; gives its repository's id."""
-        repo = repository_id(folder)
-        self.load(source_files.read(self.spark, folder), repo, commit)
+    def ingest(self, folder: str, commit: str = "worktree", commits: DataFrame | None = None) -> str:
+        """Parse a folder as one version, with its history if given; gives its repository's id."""
+        repo = repository_id(describe.source_of(folder))
+        files = source_files.scan(self.spark, folder)
+        self.load(source_files.parse(files, repo, commit), repo, commit, source_files.scannable(files), commits)
         return repo
 
-    def load(self, units: DataFrame, repo: str, commit: str) -> None:
-        """Write one version's units and what follows from them. Units are written first, so they are parsed once."""
+    def load(self, units: DataFrame, repo: str, commit: str, texts: DataFrame | None = None, commits: DataFrame | None = None) -> None:
+        """Write one version's units and what follows from them. Units are written first, so they are parsed once.
+
+        texts: (path, text) of all files to scan, whole. commits: the history that risks count, in TABLES' columns.
+        """
         if not COMMIT.fullmatch(commit):
             raise ValueError("a commit is up to 80 letters, digits, dots, dashes and underscores")
         self._write("units", units.withColumn("repository_id", F.lit(repo)).withColumn("commit_sha", F.lit(commit)))
         own = self.version("units", repo, commit)
         edges, missing, outside = code_graph.build(own)
         postings, lengths, vectors = modes.index_tables(own, KEYS)
+        keyed = lambda rows: rows.withColumn("repository_id", F.lit(repo)).withColumn("commit_sha", F.lit(commit))
+        findings = keyed(risk.scan_files(texts if texts is not None else texts_of(own)))
+        past = keyed(commits if commits is not None else self.spark.createDataFrame([], TABLES["commits"]))
         stamp = self.spark.range(1).select(F.lit(repo).alias("repository_id"), F.lit(commit).alias("commit_sha"), F.current_timestamp().alias("indexed_at"))
-        for name, rows in (("edges", edges), ("unresolved", missing), ("external", outside), ("postings", postings), ("lengths", lengths), ("vectors", vectors), ("findings", secret_lines(own)), ("versions", stamp)):
+        for name, rows in (("edges", edges), ("unresolved", missing), ("external", outside), ("postings", postings), ("lengths", lengths), ("vectors", vectors), ("findings", findings), ("commits", past), ("kg_nodes", knowledge.nodes(own)), ("kg_edges", knowledge.edges(own, edges)), ("versions", stamp)):
             self._write(name, rows)
 
     def version(self, name: str, repo: str, commit: str) -> DataFrame:
@@ -104,23 +113,58 @@ class Engine:
         return modes.Index(*(self.version(n, repo, commit) for n in ("units", "postings", "lengths", "vectors", "edges")), language)
 
     def search(self, query: str, repo: str, mode: str = "hybrid", top_k: int = 10, commit: str | None = None, language: str | None = None, folder: str | None = None, budget: modes.Budget | None = None) -> DataFrame:
-        """The top_k units by rank. With a folder, only units that its files still hold count towards top_k."""
+        """The top_k units by rank, with excerpt, evidence, relationships and warnings.
+
+        With a folder, only units that its files still hold count towards top_k; stale ones stay, with a warning.
+        """
         if not query.strip() or mode not in modes.MODES or not 1 <= top_k <= 100:
             raise ValueError("a query, one of the modes and 1 to 100 results are needed")
+        commit = commit or self.latest(repo)
         found, limit = self.index(repo, commit, language), max(search.FIRST_STAGE, top_k)
+        links = self.spark.createDataFrame([], "unit_id string, links array<string>")
         if mode == "adaptive":
-            rows = modes.adaptive(self.spark, found, query, top_k, budget).ranked
-            ranked = self.spark.createDataFrame([(u, float(s), i) for i, (u, s) in enumerate(rows, 1)], "unit_id string, score double, rank int")
-        elif mode == "hybrid_rerank":
-            ranked = modes.reranked(self.spark, found, query, max(search.POOL, top_k), limit)
+            told = modes.adaptive(self.spark, found, query, top_k, budget)
+            rows = [(u, float(s), i, {n: r[u] for n, r in told.ranks.items() if u in r}) for i, (u, s) in enumerate(told.ranked, 1)]
+            ranked = self.spark.createDataFrame(rows, "unit_id string, score double, _rank int, _ranks map<string,int>")
+            links = self.spark.createDataFrame([(u, [json.dumps(x, default=str) for x in xs]) for u, xs in told.links.items()], links.schema)
         else:
-            ranked = getattr(modes, mode)(self.spark, found, query, limit)
-        hits = found.units.join(F.broadcast(ranked.select("unit_id", "score", F.col("rank").alias("_rank"))), "unit_id")
+            if mode == "hybrid_rerank":
+                ranked = modes.reranked(self.spark, found, query, max(search.POOL, top_k), limit)
+            else:
+                ranked = getattr(modes, mode)(self.spark, found, query, limit)
+            ranks = results.ranks_of(ranked) if mode.startswith("hybrid") else F.create_map(F.lit(mode), F.col("rank"))
+            ranked = ranked.select("unit_id", "score", F.col("rank").alias("_rank"), ranks.alias("_ranks"))
+        hits = found.units.join(F.broadcast(ranked), "unit_id")
         if folder:
             now = source_files.scan(self.spark, folder).select("path", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\uFEFF", "").alias("text"))
             hits = modes.checked(hits, now).where("status = 'verified'")
-        top = hits.orderBy("_rank").limit(top_k)
-        return top.withColumn("rank", F.row_number().over(search.Window.orderBy("_rank"))).drop("_rank")
+        notes = results.unresolved_note(self.version("unresolved", repo, commit)).select("unit_id", F.to_json("note").alias("_note"))
+        top = hits.orderBy("_rank").limit(top_k).join(links, "unit_id", "left").join(notes, "unit_id", "left")
+        # a unit's unresolved calls are told where its relationships are
+        every = F.when(F.col("links").isNull(), F.array().cast("array<string>")).otherwise(F.concat("links", F.array_compact(F.array("_note"))))
+        out = results.shaped(top, F.col("_ranks"), every)
+        return out.withColumn("rank", F.row_number().over(search.Window.orderBy("_rank"))).drop("_rank", "_ranks", "links", "_note")
+
+    def warnings(self, repo: str, commit: str | None = None) -> DataFrame:
+        """What of the version was not parsed."""
+        return results.coverage_warnings(self.coverage(repo, commit))
+
+    def summary(self, repo: str, commit: str | None = None) -> DataFrame:
+        """One row: architecture, dependencies, risk, counts."""
+        commit = commit or self.latest(repo)
+        units = self.version("units", repo, commit)
+        needs = describe.dependencies(units).agg(F.sort_array(F.collect_list("root")).alias("dependencies"))  # at most a hundred
+        return describe.architecture(units).crossJoin(needs).crossJoin(self.risk(repo, commit)).crossJoin(self.coverage(repo, commit))
+
+    def export(self, repo: str, limit: int = 250, commit: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """The first nodes of the knowledge graph and the edges among them."""
+        commit = commit or self.latest(repo)
+        return knowledge.exported(self.version("kg_nodes", repo, commit), self.version("kg_edges", repo, commit), limit)
+
+    def ask_graph(self, repo: str, question: str, hops: int = 4, commit: str | None = None) -> DataFrame:
+        """(id, hop) of what the nodes that a question names reach in the knowledge graph."""
+        commit = commit or self.latest(repo)
+        return knowledge.asked(self.version("kg_nodes", repo, commit), self.version("kg_edges", repo, commit), question, hops)
 
     def unit(self, repo: str, unit_id: str, commit: str | None = None) -> DataFrame:
         return self.version("units", repo, commit or self.latest(repo)).where(F.col("unit_id") == unit_id)
@@ -143,12 +187,18 @@ class Engine:
         return graph.reach(edges, named.select(F.col("unit_id").alias("id")), hops)
 
     def risks(self, repo: str, commit: str | None = None) -> DataFrame:
-        """Risk of each function and method; history isn't known here, so changes and authors count as none."""
+        """Risk of each function and method, by its complexity, calls, findings and its file's history."""
         commit = commit or self.latest(repo)
         fns = self.version("units", repo, commit).where("unit_type IN ('function', 'method')").select("unit_id", "path", "qualified_name", "line_start", "line_end", "complexity", F.size("calls").alias("n_calls"))
         hit = risk.within(self.findings(repo, commit).select("path", "line"), fns, ["path"], "line", "line_start", "line_end").groupBy("s.unit_id").agg(F.count("*").alias("n_findings"))
-        score, reasons = risk.function_risk(F.col("complexity"), F.col("n_calls"), F.lit(0), F.lit(0), F.coalesce("n_findings", F.lit(0)))
-        return fns.join(hit, "unit_id", "left").select("unit_id", "qualified_name", score.alias("risk"), reasons.alias("reasons"))
+        past = risk.history(self.version("commits", repo, commit))
+        known = fns.join(hit, "unit_id", "left").join(past, "path", "left").na.fill(0, ["n_findings", "changes", "authors"])
+        score, reasons = risk.function_risk(F.col("complexity"), F.col("n_calls"), F.col("changes"), F.col("authors"), F.col("n_findings"))
+        return known.select("unit_id", "qualified_name", score.alias("risk"), reasons.alias("reasons"))
+
+    def risk(self, repo: str, commit: str | None = None) -> DataFrame:
+        """One row: the version's risk."""
+        return risk.repository_risk(self.risks(repo, commit), self.findings(repo, commit))
 
     def coverage(self, repo: str, commit: str | None = None) -> DataFrame:
         return source_files.coverage(self.version("units", repo, commit or self.latest(repo)))

@@ -7,9 +7,52 @@ from pyspark.sql import functions as F
 
 # Words that carry no meaning in code search, and suffixes in the order in which they are tried.
 STOP_WORDS = (
-    "the a an and or of to in for on with is are be by it this that which what where how does do code function functions "
-    "method file files from return returns const let var new if else async await export import def self"
-).split()
+    "the",
+    "a",
+    "an",
+    "and",
+    "or",
+    "of",
+    "to",
+    "in",
+    "for",
+    "on",
+    "with",
+    "is",
+    "are",
+    "be",
+    "by",
+    "it",
+    "this",
+    "that",
+    "which",
+    "what",
+    "where",
+    "how",
+    "does",
+    "do",
+    "code",
+    "function",
+    "functions",
+    "method",
+    "file",
+    "files",
+    "from",
+    "return",
+    "returns",
+    "const",
+    "let",
+    "var",
+    "new",
+    "if",
+    "else",
+    "async",
+    "await",
+    "export",
+    "import",
+    "def",
+    "self",
+)
 SUFFIXES = ("ations", "ation", "ings", "ing", "ies", "ied", "ers", "er", "ed", "es", "s")
 TO_Y = ("ies", "ied")
 WORD = r"[A-Za-z0-9_$]+"
@@ -32,7 +75,7 @@ def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     parts = words.withColumn("_p", F.regexp_extract_all("_w", F.lit(PART), F.lit(0)))
     both = F.when(F.size("_p") > 1, F.concat(F.array(F.btrim("_w", F.lit("_$"))), "_p")).otherwise(F.col("_p"))
     low = parts.select(key, F.explode(both).alias("_t")).select(key, F.lower("_t").alias("_t"))
-    return low.where((F.length("_t") > 1) & ~F.col("_t").isin(STOP_WORDS)).select(key, stem(F.col("_t")).alias("term"))
+    return low.where((F.length("_t") > 1) & ~F.col("_t").isin(*STOP_WORDS)).select(key, stem(F.col("_t")).alias("term"))
 
 
 def hashed(docs: DataFrame, key: str, text: str) -> DataFrame:

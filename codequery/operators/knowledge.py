@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .code_graph import KEYS
+from .graph import reach
 
 FUNCTIONS = ("function", "method")
 
@@ -46,6 +47,31 @@ def nodes(units: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return reduce(DataFrame.unionByName, each, roots).dropDuplicates([*keys, "id"])
 
 
+def searched(found: DataFrame, term: str, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes whose name holds the term in any case, of the kinds if any are named."""
+    hit = F.lower("name").contains(term.lower())
+    return found.where(hit & F.col("kind").isin(*kinds) if kinds else hit)
+
+
+def exported(found: DataFrame, links: DataFrame, limit: int, order: tuple[str, ...] = ("id",)) -> tuple[DataFrame, DataFrame]:
+    """The first nodes by order, and the edges with both ends among them."""
+    some = found.orderBy(*order).limit(limit)
+    ends = [some.select(F.col("id").alias(c)) for c in ("source", "target")]
+    return some, links.join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi").select(*links.columns)
+
+
+def asked(found: DataFrame, links: DataFrame, question: str, hops: int = 4, starts: int = 4) -> DataFrame:
+    """(id, hop): what the nodes named by a question's words reach; the first few distinct nodes, by word and id, begin.
+
+    The question's words are few; nodes meet them by one join.
+    """
+    spark = found.sparkSession
+    words = spark.createDataFrame([(i, w.lower()) for i, w in enumerate(question.split())], "at int, word string")
+    named = found.where(F.col("kind").isin("FUNCTION", "CLASS", "FILE", "API_ENDPOINT"))
+    hit = named.join(F.broadcast(words), F.lower("name").contains(F.col("word"))).groupBy("id").agg(F.min("at").alias("at"))
+    return reach(links, hit.orderBy("at", "id").limit(starts).select("id"), hops)
+
+
 def edges(units: DataFrame, code_edges: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(source, target, kind), distinct. A call counts where both ends are functions; a base links to the first function of its name."""
     part = _parts(units)

@@ -11,9 +11,33 @@ from . import python_units, script_units, units
 
 # Folders that are never searched, files that are built from others, and languages by extension.
 EXCLUDED = (
-    ".git .hg .svn .venv venv env node_modules bower_components dist build out coverage __pycache__ .tox .mypy_cache "
-    ".pytest_cache .next .nuxt .cache vendor target .turbo .parcel-cache"
-).split()
+    ".git",
+    ".hg",
+    ".svn",
+    ".venv",
+    "venv",
+    "env",
+    "node_modules",
+    "bower_components",
+    "dist",
+    "build",
+    "out",
+    "coverage",
+    "__pycache__",
+    ".tox",
+    ".mypy_cache",
+    ".pytest_cache",
+    ".next",
+    ".nuxt",
+    ".cache",
+    "vendor",
+    "target",
+    ".turbo",
+    ".parcel-cache",
+)
+# What the scan for secrets and dangerous code reads, and the folders that it leaves out.
+SCANNED = (".py", ".js", ".ts", ".tsx", ".json", ".yaml", ".yml", ".env", ".toml", ".ini")
+UNSCANNED = (".git", ".venv", "venv", "node_modules", "dist", "build", "__pycache__")
 BUNDLES = (".min.js", ".bundle.js", ".chunk.")
 LANGUAGES = {"Python": (".py",), "JavaScript": (".js", ".jsx", ".mjs", ".cjs"), "TypeScript": (".ts", ".tsx", ".mts", ".cts")}
 MAX_BYTES = 512_000
@@ -49,10 +73,28 @@ def _parse(path: str, lang: str, reason: str | None, data: bytes | None) -> list
     return python_units.analyze(path, data) if lang == "Python" else script_units.analyze(path, data, lang)
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """Units of (path, length, content); a fault is kept to its file. Skipped files' bytes never reach Python."""
+def parse(files: DataFrame, repository: str = "", commit: str = "") -> DataFrame:
+    """Units of (path, length, content); a fault is kept to its file. Skipped files' bytes never reach Python.
+
+    Ids hold the repository and the commit, so that no two versions share one.
+    """
     found = candidates(files).withColumn("content", F.when(F.col("reason").isNull(), F.col("content")))
-    return units.parsed(found, _parse, "path", "language", "reason", "content")
+    return units.parsed(found, lambda *row: units.numbered(_parse(*row), repository, commit), "path", "language", "reason", "content")
+
+
+def scannable(files: DataFrame) -> DataFrame:
+    """(path, text) of the files that the scan for secrets reads, whole; bytes that are no UTF-8 are left out."""
+    folders = F.split("path", "/")
+    suffix = F.regexp_extract(F.element_at(folders, -1), r"(?s)^.+(\.[^.]*)$", 1)
+    inside = ~F.arrays_overlap(folders, F.array(*[F.lit(e) for e in UNSCANNED]))
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
+    return files.where(inside & suffix.isin(*SCANNED) & F.col("content").isNotNull()).select("path", text.alias("text"))
+
+
+def documentation(files: DataFrame) -> DataFrame:
+    """(path, text) of README files at the root, as documents beside the units."""
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
+    return files.where(F.col("path").isin("README.md", "README.rst")).select("path", text.alias("text"))
 
 
 def relative(files: DataFrame, root: str) -> DataFrame:
@@ -67,8 +109,8 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return relative(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), root).select("path", "length", "content")
 
 
-def read(spark: SparkSession, root: str) -> DataFrame:
-    return parse(scan(spark, root))
+def read(spark: SparkSession, root: str, repository: str = "", commit: str = "") -> DataFrame:
+    return parse(scan(spark, root), repository, commit)
 
 
 def coverage(found: DataFrame) -> DataFrame:

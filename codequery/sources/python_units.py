@@ -11,7 +11,8 @@ from .units import SCHEMA, Unit, clipped, dynamic_note, numbered, parsed, sites,
 __all__ = ["SCHEMA", "analyze", "parse", "read", "unit_id", "units"]
 
 MAX_BYTES = 512_000
-BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.With, ast.AsyncWith, ast.comprehension)
+# Nodes that add one to the complexity.
+BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.IfExp, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.comprehension)
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 ROUTES = {"get", "post", "put", "patch", "delete", "route", "api_route"}
 
@@ -59,7 +60,7 @@ def routes(node: ast.AST) -> list[str]:
     """VERB path of each decorator that routes requests to a function."""
     found = []
     for d in node.decorator_list:
-        verb = (dotted(d.func) or "").split(".")[-1] if isinstance(d, ast.Call) else ""
+        verb = (dotted(d.func) or "").split(".")[-1].lower() if isinstance(d, ast.Call) else ""
         if verb in ROUTES:
             first = d.args[0] if d.args else None
             found.append(f"{verb.upper()} {first.value if isinstance(first, ast.Constant) and isinstance(first.value, str) else ''}".strip())
@@ -98,7 +99,7 @@ def _found(path: str, text: str, tree: ast.Module, base: dict) -> list[Unit]:
     needs = imports(tree)
     body, note = clipped(text)
     known = {"path": path, "ord": 0, "unit_id": "", "imports": needs, **base}
-    out = [Unit(unit_type="file", qualified_name=path, name=path.rsplit("/", 1)[-1], line_end=max(1, len(lines) - (lines[-1] == "")), docstring=ast.get_docstring(tree), source=body, exports=exports(tree), uncertainty=note, **known)]
+    out = [Unit(unit_type="file", qualified_name=path, name=path.rsplit("/", 1)[-1].removesuffix(".py"), line_end=max(1, len(lines) - (lines[-1] == "")), docstring=ast.get_docstring(tree), source=body, exports=exports(tree), uncertainty=note, **known)]
 
     public = set(exports(tree))
 
@@ -107,7 +108,7 @@ def _found(path: str, text: str, tree: ast.Module, base: dict) -> list[Unit]:
         methods = [m for m in node.body if isinstance(m, FUNCTIONS)] if kind == "class" else []
         calls = [c for m in methods for c in called(m)] if kind == "class" else called(node)
         kin = {"exports": [node.name] if parent is None and node.name in public else []}
-        kin |= {"bases": [b for b in map(dotted, node.bases) if b]} if isinstance(node, ast.ClassDef) else {"routes": routes(node)}
+        kin |= {"bases": list(map(ast.unparse, node.bases))} if isinstance(node, ast.ClassDef) else {"routes": routes(node)}
         out.append(Unit(unit_type=kind, qualified_name=name, name=node.name, parent=parent, line_start=first, line_end=node.end_lineno, docstring=ast.get_docstring(node), signature=heading(node), source="\n".join(lines[first - 1 : node.end_lineno]), calls=sorted({n for n, _ in calls if n}), call_sites=[] if kind == "class" else sites(calls), uncertainty=[] if kind == "class" else dynamic_note(sum(n is None for n, _ in calls)), complexity=score, **kin, **known))
 
     for node in tree.body:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FILE_CHARS = 20_000  # of a whole file's text, as a unit's source
+SNIPPET_LINES, SNIPPET_CHARS = 60, 6_000  # of a unit's source, in a search result
 BODY_CHARS = 2_400  # of a unit's source, in the text that search indexes
 SITES = pa.list_(pa.struct([("name", pa.string()), ("line", pa.int32()), ("order", pa.int32())]))
 NAMES = pa.list_(pa.string())
@@ -57,12 +58,12 @@ def unit_id(*key: str) -> str:
     return "cu_" + hashlib.sha1("\0".join(key).encode("utf-8", "surrogatepass")).hexdigest()[:24]
 
 
-def numbered(found: list[Unit]) -> list[Unit]:
-    """Units in their order of lines with ids that tell repeated symbols of a file apart."""
+def numbered(found: list[Unit], repository: str = "", commit: str = "") -> list[Unit]:
+    """Units in their order of lines with ids that tell versions, and repeated symbols of a file, apart."""
     seen: dict[tuple, int] = {}
     for at, u in enumerate(found):
         key = (u.unit_type, u.qualified_name)
-        u.ord, u.unit_id = at, unit_id(u.path, *key, str(seen.setdefault(key, 0)))
+        u.ord, u.unit_id = at, unit_id(repository, commit, u.path, *key, str(seen.setdefault(key, 0)))
         seen[key] += 1
     return found
 
@@ -112,8 +113,17 @@ def document_text() -> Column:
     return F.concat_ws("\n", head, F.concat(F.lit("file: "), F.col("path")), F.nullif(F.col("signature"), F.lit("")), F.nullif(F.col("docstring"), F.lit("")), body)
 
 
+def snippet(text: Column, first: Column) -> Column:
+    """excerpt, excerpt_line_end and excerpt_truncated: at most SNIPPET_LINES lines and SNIPPET_CHARS characters, whole lines if it can."""
+    every = F.split(text, "\n")
+    shown = F.array_join(F.slice(every, 1, SNIPPET_LINES), "\n")
+    out = F.when(F.length(shown) > SNIPPET_CHARS, F.regexp_replace(F.substring(shown, 1, SNIPPET_CHARS), r"\n[^\n]*\z", "")).otherwise(shown)
+    cut = (F.size(every) > SNIPPET_LINES) | (F.length(shown) > SNIPPET_CHARS)
+    return F.struct(out.alias("excerpt"), (first + F.size(F.split(out, "\n")) - 1).alias("excerpt_line_end"), cut.alias("excerpt_truncated"))
+
+
 def weighted_text() -> Column:
-    """The text that lexical search indexes: the name thrice; signature, docstring and path twice; all else once."""
+    """The text that lexical search indexes: both names thrice; signature, docstring and path twice; all else once."""
     joined = lambda c: F.array_join(c, " ")
     twice = [F.col(c) for c in ("signature", "docstring", "path")]
-    return F.concat_ws("\n", *[F.col("qualified_name")] * 3, *twice, *twice, F.col("source"), joined("imports"), joined("calls"))
+    return F.concat_ws("\n", *[F.col("name"), F.col("qualified_name")] * 3, *twice, *twice, F.col("source"), joined("imports"), joined("calls"))
