@@ -23,7 +23,7 @@ def _some(condition: Column) -> Column:
 def architecture(units: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, architecture): the first rule that holds, of flags that aggregate without gathering any import."""
     files = units.where("unit_type = 'file' AND status <> 'skipped'")
-    python = F.transform("imports", lambda m: F.get(F.split(m, r"\\."), F.lit(0)))
+    python = F.transform("imports", lambda m: F.get(F.split(m, r"\."), F.lit(0)))
     script = F.transform("imports", lambda m: F.get(F.split(F.regexp_replace(m, "^node:", ""), "/"), F.lit(0)))
     meets = lambda roots, known: F.arrays_overlap(roots, F.array(*[F.lit(k) for k in known]))
     is_script = F.col("language").isin(*SCRIPTS)
@@ -45,14 +45,14 @@ def architecture(units: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def dependencies(units: DataFrame, limit: int = 100) -> DataFrame:
     """(root): the first distinct roots of imports, by name."""
-    roots = units.where("unit_type = 'file'").select(F.explode("imports").alias("m")).select(F.get(F.split("m", r"\\."), F.lit(0)).alias("root"))
+    roots = units.where("unit_type = 'file'").select(F.explode("imports").alias("m")).select(F.get(F.split("m", r"\."), F.lit(0)).alias("root"))
     return roots.distinct().orderBy("root").limit(limit)
 
 
 def display_name(source: Column) -> Column:
     """The last part of a path or an address, without .git."""
     last = F.regexp_extract(F.regexp_replace(source, "/+$", ""), "([^/:]*)$", 1)
-    name = F.regexp_replace(last, r"\\.git$", "")
+    name = F.regexp_replace(last, r"\.git$", "")
     return F.when(name == "", source).otherwise(name)
 
 

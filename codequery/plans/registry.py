@@ -26,11 +26,3 @@ def oracle_sql() -> dict:
 
 def frame(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def both(name: str, sql: str) -> None:
-    """A query that both engines can take as it stands; tables are written {name}."""
-    import re
-
-    tables = sorted(set(re.findall(r"\{(\w+)\}", sql)))
-    query(name, re.sub(r"\{(\w+)\}", r"\1", sql))(lambda spark, sf_dir: spark.sql(sql, **{t: frame(spark, sf_dir, t) for t in tables}))

@@ -6,15 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import risk
-from .registry import both, frame, query
+from .registry import frame, query
 
-both("document_text", "SELECT conv_id, turn, concat_ws(chr(10), role || ' turn ' || CAST(turn AS STRING), 'file: conv/' || CAST(conv_id AS STRING), nullif(CASE WHEN role = 'system' THEN text ELSE '' END, ''), substr(text, 1, 2400)) AS doc FROM {conversations}")
-both("retrieval_units", "SELECT doc_id, 'label' AS unit_type FROM {labels} WHERE quality IS NOT NULL UNION ALL SELECT d.doc_id, 'file' FROM {documents} d WHERE trim(d.text) <> '' AND NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)")
-both("unit_ids", "SELECT conv_id, turn, 'cu_' || substr(sha1(concat_ws('|', CAST(conv_id AS STRING), role, CAST(turn AS STRING))), 1, 24) AS unit_id FROM {conversations}")
-both("dup_ordinals", "SELECT conv_id, role, turn, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) - 1 AS INT) AS ordinal FROM {conversations}")
-both("latest_version", "SELECT user_id, max(ts) AS latest, max(event_id) AS last_event FROM (SELECT user_id, ts, event_id, rank() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM {events}) x WHERE r = 1 GROUP BY user_id")
-both("file_commits", "SELECT l_partkey, count(DISTINCT l_orderkey) AS changes, count(DISTINCT o_custkey) AS contributors FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY l_partkey")
-both("version_scope", "SELECT source, count(*) AS units FROM {documents} WHERE source = 'src1' AND lower(lang) = 'en' GROUP BY source")
 
 
 @query("line_split", r"SELECT doc_id, CAST(len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS INT) AS n_lines, CAST(length(l[1]) AS INT) AS first_length FROM (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS l FROM documents)")
@@ -29,18 +22,6 @@ def snippet_bound(spark, d):
     return frame(spark, d, "documents").select("doc_id", F.md5(T.excerpt(F.col("text"), F.lit(2), F.lit(3))).alias("excerpt_md5"))
 
 
-_STATUS = "CASE WHEN length(html) > 6000 THEN 'skipped' WHEN contains(url, '#') THEN 'failed' WHEN contains(url, '?') THEN 'partial' ELSE 'parsed' END"
-
-
-@query("coverage", f"WITH s AS (SELECT {_STATUS} AS s FROM pages), c AS (SELECT count(*) AS seen, count_if(s = 'parsed') AS parsed, count_if(s = 'partial') AS partial, count_if(s = 'failed') AS failed, count_if(s = 'skipped') AS skipped FROM s) SELECT CAST(seen AS BIGINT) AS seen, CAST(parsed AS BIGINT) AS parsed, CAST(partial AS BIGINT) AS partial, CAST(failed AS BIGINT) AS failed, CAST(skipped AS BIGINT) AS skipped, CASE WHEN seen = skipped THEN 0 ELSE round((parsed + partial) / (seen - skipped), 4) END AS ratio FROM c")
-def coverage(spark, d):
-    """Counts by parse status; the ratio is of what was attempted, zero where nothing was."""
-    s = F.when(F.length("html") > 6000, "skipped").when(F.col("url").contains("#"), "failed").when(F.col("url").contains("?"), "partial").otherwise("parsed")
-    c = frame(spark, d, "pages").select(s.alias("s")).agg(F.count("*").alias("seen"), *[F.count_if(F.col("s") == x).alias(x) for x in ("parsed", "partial", "failed", "skipped")])
-    tried = F.col("seen") - F.col("skipped")
-    return c.withColumn("ratio", F.when(tried == 0, 0.0).otherwise(F.round((F.col("parsed") + F.col("partial")) / tried, 4)))
-
-
 _RULES = " UNION ALL ".join(f"SELECT '{r}' AS rule_id, '{s}' AS severity, '{p.replace(chr(39), chr(39) * 2)}' AS pattern" for r, s, p in risk.RULES)
 _LINES = r"lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS no FROM (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS l FROM documents))"
 
@@ -105,32 +86,27 @@ def latency_stats(spark, d):
     return frame(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(nearest, 6).alias("p95"), F.count("*").alias("n"))
 
 
-@query("verify_source", """WITH v AS (SELECT d.doc_id, n_chars, CASE WHEN d.n_chars < 10 THEN 'invalid' WHEN l.doc_id IS NULL THEN 'missing' WHEN l.quality = 0 THEN 'stale' ELSE 'verified' END AS status FROM documents d LEFT JOIN labels l USING (doc_id))
- SELECT doc_id, n_chars FROM v WHERE status = 'verified' ORDER BY n_chars DESC, doc_id LIMIT 20""")
-def verify_source(spark, d):
-    """Top-k with backfill: the status is known before the limit."""
-    docs, labels = frame(spark, d, "documents"), frame(spark, d, "labels")
-    status = F.when(F.col("n_chars") < 10, "invalid").when(F.col("quality").isNull(), "missing").when(F.col("quality") == 0, "stale").otherwise("verified")
-    return docs.join(labels, "doc_id", "left").where(status == "verified").orderBy(F.col("n_chars").desc(), "doc_id").limit(20).select("doc_id", "n_chars")
-
-
 @query("split_sets", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS i, count(*) OVER () AS n FROM labels) SELECT doc_id, CASE WHEN i < floor(n * 0.8) THEN 'train' WHEN i < floor(n * 0.9) THEN 'dev' ELSE 'test' END AS part FROM r")
 def split_sets(spark, d):
-    """80/10/10 in a seeded order. Ranks come from a range-partitioned sort and offsets of its partitions, not from one task."""
+    """80/10/10 in a seeded order; the two cuts are found by counting prefixes of the hash, never by one sort."""
     labels = frame(spark, d, "labels").select("doc_id", F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string"))).alias("h"))
     n = labels.count()
-    cut = [r.h for r in labels.select("h").orderBy("h", "doc_id").offset(int(n * 0.8) - 1).limit(1).collect()] + [r.h for r in labels.select("h").orderBy("h", "doc_id").offset(int(n * 0.9) - 1).limit(1).collect()]
-    return labels.select("doc_id", F.when(F.col("h") <= cut[0], "train").when(F.col("h") <= cut[1], "dev").otherwise("test").alias("part"))
-
-
-@query("arch_label", "SELECT CASE WHEN p_type LIKE '%STEEL%' THEN 'steel' WHEN p_type LIKE '%BRASS%' THEN 'brass' ELSE 'other' END AS label, count(*) AS n FROM part GROUP BY 1")
-def arch_label(spark, d):
-    words = F.split("p_type", " ")
-    label = F.when(F.exists(words, lambda w: w.contains("STEEL")), "steel").when(F.exists(words, lambda w: w.contains("BRASS")), "brass").otherwise("other")
-    return frame(spark, d, "part").groupBy(label.alias("label")).agg(F.count("*").alias("n"))
-
-
-@query("deps", r"SELECT root, row_number() OVER (ORDER BY root) AS n FROM (SELECT DISTINCT regexp_extract(url, '://([^./]+)', 1) AS root FROM pages) ORDER BY root LIMIT 100")
-def deps(spark, d):
-    roots = frame(spark, d, "pages").select(F.regexp_extract("url", "://([^./]+)", 1).alias("root")).agg(F.sort_array(F.collect_set("root")).alias("r"))
-    return roots.select(F.posexplode(F.slice("r", 1, 100)).alias("n", "root")).select("root", (F.col("n") + 1).cast("long").alias("n"))
+    train, dev = (_at(labels, int(n * share)) for share in (0.8, 0.9))
+    return labels.select("doc_id", F.when(F.col("h") < train, "train").when(F.col("h") < dev, "dev").otherwise("test").alias("part"))
+
+
+def _at(rows, place: int, few: int = 10_000) -> str:
+    """The hash at a place, from 0, of all hashes in order; empty where there is none. Three more hex digits tell the next bucket."""
+    prefix = ""
+    while True:
+        rows = rows.where(F.col("h").startswith(prefix))
+        counts = sorted(rows.groupBy(F.substring("h", 1, len(prefix) + 3).alias("p")).count().collect())
+        for p, n in counts:
+            if place < n:
+                break
+            place -= n
+        else:
+            return ""
+        if n <= few:
+            return sorted(r.h for r in rows.where(F.col("h").startswith(p)).select("h").collect())[place]
+        prefix = p
