@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from codequery.llm import op4_quality_classifier as op4
@@ -11,7 +9,7 @@ from codequery.llm import op6_line_dedup as op6
 from codequery.llm import op7_language_id as op7
 from codequery.llm import op8_simhash_near_dedup as op8
 from codequery.llm import op10_best_fit_packing as op10
-from codequery.llm.common import shared_dir, table
+from codequery.llm.common import stored, table
 
 STAGES = [
     ("quality classifier", op4.stage),
@@ -26,10 +24,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet in the shared folder and read again by the next."""
+    """The stages over documents, each written as Parquet in the shared folder and read again by the next.
+
+    The folders go when the driver ends. An empty table, null texts and ties pass as each stage's docstring says.
+    """
     docs = table(spark, sf_dir, "documents")
-    place = f"{shared_dir(spark).rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
-        docs = spark.read.parquet(f"{place}/{k}")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
     return docs
