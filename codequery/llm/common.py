@@ -1,4 +1,4 @@
-"""What the corpus operators share: table access, checkpoints in shared storage, folds, blocks of documents."""
+"""What the corpus operators share: table access, tables written in shared storage, samples, folds."""
 
 from __future__ import annotations
 
@@ -38,16 +38,8 @@ def _own_dir(spark: SparkSession) -> str:
     return made
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage, so that a lost executor costs no more than this step."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """The rows, written once as Parquet in the shared folder: cuts the lineage, as checkpoint() does, but keeps columns apart.
+    """The rows, written once as Parquet in the shared folder: this cuts the lineage.
 
     The folder goes when the driver ends, or earlier by dropped(); the shuffles that made the rows go at once.
     """

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import stored, table
 
 #: (action, host and path prefix). Fixed values of the contract.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -92,11 +92,11 @@ def templates(urls: DataFrame, depth: int = DEPTH, few: int = FEW_URLS, many: in
     """
     counts = [F.count("*").alias("n"), F.count_if(F.col("action") == "block").alias("blocked"), F.count("action").alias("labelled")]
     paths = urls.groupBy("host", "segs").agg(*counts).withColumn("raw", F.array_join("segs", "/"))
-    paths = checkpoint(paths)
+    paths = stored(paths)
     deepest = paths.agg(F.coalesce(F.max(F.size("segs")), F.lit(0))).first()[0]
     for level in range(min(depth, deepest)):
         # a level reads the one above three times; without its own table the plan would grow as 3 ** depth
-        paths = checkpoint(_generalised(paths, level, few, many, z))
+        paths = stored(_generalised(paths, level, few, many, z))
     # the purity of each prefix of each template, from the site's root down
     paths = paths.withColumn("template", F.array_join("segs", "/"))
     nodes = paths.groupBy("host", "template", "segs").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
@@ -119,10 +119,12 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RU
     rows = pages.select(key, F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), F.coalesce(path_of(F.col(url)), F.lit("")).alias("path"))
     rows = rows.withColumn("m", matched(F.col("host"), F.col("path"), rules)).withColumn("segs", segments(F.col("path")))
     tree = templates(rows.select("host", "segs", F.col("m.action").alias("action")))
-    out = rows.withColumn("raw", F.array_join("segs", "/")).join(tree, ["host", "raw"])
+    # written, so that the join can split a hot host's path
+    out = rows.withColumn("raw", F.array_join("segs", "/")).join(stored(tree), ["host", "raw"])
     verdict = F.coalesce("m.action", F.when(F.col("purity") > REJECT_AT, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("m.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() of all pages; see there for nulls, repeats and empty tables."""
     return judge(table(spark, sf_dir, "pages"))

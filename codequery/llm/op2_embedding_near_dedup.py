@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, on_table, table
-from .components import Forest, components
+from .common import on_table, stored, table
+from .components import Forest, classes, components
 
 COSINE = 0.98
 PROJECTIONS = 24
@@ -119,7 +119,7 @@ def near_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     distinct = rows.where("v is not null").groupBy("v", "label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("rep"))
     slab = "v long, label {}, embedding {}, n long, rep long, slab long".format(*(rows.schema[c].dataType.simpleString() for c in ("label", "embedding")))
     width = SLAB_SIGMAS * math.sqrt(2 - 2 * cosine)
-    placed = checkpoint(distinct.select("v", "label", "embedding", "n", "rep").mapInArrow(partial(_slabs, width), slab).withColumn("dim", F.size("embedding")))
+    placed = stored(distinct.select("v", "label", "embedding", "n", "rep").mapInArrow(partial(_slabs, width), slab).withColumn("dim", F.size("embedding")))
 
     sizes = placed.groupBy("label", "dim", "slab").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("own"))
     by = Window.partitionBy("label", "dim").orderBy("slab").rangeBetween(-1, -1), Window.partitionBy("label", "dim").orderBy("slab").rangeBetween(1, 1)
@@ -137,15 +137,15 @@ def near_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     sent = dealt.select("v", "label", "dim", "embedding", "n", "slab", "block", F.explode(every).alias("t")).select("v", "label", "dim", "embedding", "n", "slab", "block", "t.*")
     groups = max(1, -(-3 * placed.count() // (2 * block_rows)))
     sent = sent.withColumn("g", F.pmod(F.xxhash64("label", "dim", "s1", "b1", "s2", "b2"), F.lit(groups)))
-    found = checkpoint(sent.groupBy("g").applyInArrow(on_table(_compare, cosine, m, recall), "v long, links long, root long"))
+    found = stored(sent.groupBy("g").applyInArrow(on_table(_compare, cosine, m, recall), "v long, links long, root long"))
 
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
-    classes = placed.select("v", "rep", "n").join(components(found, "v", "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-    least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = classes.join(least, "root").join(links, "v", "left").select("v", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = rows.select("vec_id", "v").join(classes, "v", "left")
+    grouped = classes(placed.select("v", "rep", "n"), components(found, "v", "root"), "v", "rep")
+    told = stored(grouped.join(links, "v", "left").select("v", F.col("class").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    out = rows.select("vec_id", "v").join(told, "v", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"))
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_dedup() of all embeddings; see there for nulls, repeats and empty tables."""
     return near_dedup(table(spark, sf_dir, "embeddings"))

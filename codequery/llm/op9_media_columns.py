@@ -7,6 +7,7 @@ quantised coefficients of a progressive file (the format's lossless unit), and t
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ from .common import table
 
 UNIT = 64
 GROUP_BYTES = 2 << 20
+#: Files that declare more are not decoded: a few bytes can claim 65,535 squared.
+MAX_PIXELS = 1 << 26
 
 
 def padded(data: bytes) -> bytes:
@@ -53,16 +56,19 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(a, b):
                 try:
                     picture = jpeg.parse(files[i] or b"")
+                    if picture.height * picture.width > MAX_PIXELS or len(picture.components) not in (1, 3):
+                        raise ValueError("too large, or no grey or YCbCr picture")
                     tensor = jpeg.rgb(picture, jpeg.coefficients([picture])[0])
                     rows.append((*tensor.shape[:2], tensor.tobytes()))
-                except (ValueError, LookupError, OverflowError):
+                except (ValueError, LookupError, OverflowError, TypeError, struct.error):  # whatever a broken file makes the reader do
                     rows.append((None, None, None))
         kinds = (pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["id", "height", "width", "rgb"])
 
 
 def decode(files: DataFrame, key: str, data: str) -> DataFrame:
-    """(id, height, width, rgb binary of height x width x 3): null tensors for null, broken or other files."""
+    """(id, height, width, rgb binary of height x width x 3): null tensors for null and broken files, for those
+    that declare more than MAX_PIXELS, and for pictures of other than one or three components."""
     return files.select(F.col(key).cast("long").alias("id"), F.col(data).alias("data")).mapInArrow(_decoded, "id long, height int, width int, rgb binary")
 
 
@@ -107,4 +113,5 @@ def digest(archived: DataFrame) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digest() of all documents' archives; see there for nulls, repeats and empty tables."""
     return digest(archive(table(spark, sf_dir, "documents")))

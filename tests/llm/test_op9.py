@@ -98,3 +98,22 @@ def test_broken_data_is_an_error():
     at = file.rindex(b"\xff\xda")
     with pytest.raises(ValueError):
         jpeg.coefficients([jpeg.parse(file[: at + 10] + b"\xff\xd9")])
+
+
+def test_broken_files_give_null_tensors(spark):
+    whole = jpeg.encode([op9.padded(b"some text")])[0]
+    at = whole.index(b"\xff\xc2")
+    four = bytearray(whole)
+    four[at + 9] = 4  # number of components
+    large = bytearray(whole)
+    large[at + 5 : at + 9] = b"\xff" * 4  # height and width
+    rows = [(1, whole), (2, whole[: at + 4] + whole[at + 40 :]), (3, b"\xff\xd8\xff\xc2\x00\x03\x08"), (4, b"\xff\xd8\xff\xdd\x00\x02"), (5, bytes(four)), (6, bytes(large)), (7, None), (8, b""), (None, whole)]
+    got = op9.decode(spark.createDataFrame(rows, "k long, f binary"), "k", "f").collect()
+    assert [(r.id, r.rgb is not None) for r in got] == [(1, True), *((k, False) for k in range(2, 9)), (None, True)]
+
+
+def test_no_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", 2, "b"), (1, "a", 2, "b"), (None, None, 3, "c")], "doc_id long, text string, media long, n_bytes string")
+    rows = op9.digest(op9.archive(df)).collect()
+    assert [(r.doc_id, r.n_bytes) for r in rows] == [(1, 1), (1, 1), (None, 0)] and rows[0].media_sha256 == rows[1].media_sha256
+    assert op9.digest(op9.archive(df.limit(0))).collect() == []
