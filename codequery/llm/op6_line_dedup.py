@@ -42,6 +42,8 @@ MINIMA = 72
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 UNIT_LINES = 1024
+#: Lines times distinct shingles of a unit that are compared at once.
+MATRIX = 1 << 22
 #: A line's id is its block's number and its place among the block's distinct lines.
 LINE_BITS = 26
 BLANK = " \t\r\x0b\f"
@@ -321,10 +323,30 @@ class _Unit:
     def joined(self, k: int) -> bool:
         return self.forest.find(self.line[k]) == self.forest.find(self.line[0])
 
+    def every_pair(self) -> bool:
+        """Link all similar lines by one product of their incidence matrix; False where that would be too large."""
+        size = np.array([len(s) for s in self.sets])
+        every = np.concatenate(self.sets)
+        order = np.argsort(every)
+        ranked = every[order]
+        number = np.empty(len(every), np.int64)
+        number[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))
+        width = int(number[order[-1]]) + 1
+        if width * len(size) > MATRIX:
+            return False
+        held = np.zeros((len(size), width), np.float32)
+        held[np.repeat(np.arange(len(size)), size), number] = 1
+        both = held @ held.T  # whole numbers, far below what a float holds exactly
+        for k, j in zip(*np.nonzero(np.triu(both >= self.limit * (size[:, None] + size[None, :] - both), 1)), strict=True):
+            self.forest.union(self.line[k], self.line[j])
+        return True
+
     def apart(self) -> list[int]:
         """Visits the leader, then each line that is not connected with it at its turn; gives those that end apart."""
         if all(map(self.joined, range(1, len(self.line)))):
             return []
+        if len(self.line) > 2 and self.every_pair():
+            return [x for k, x in enumerate(self.line) if not self.joined(k)]
         for k in range(len(self.line) - (len(self.line) == 2)):
             if k == 0 or not self.joined(k):
                 self.visit(k)
