@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import MAX_RANGES, blocks, get_numbers, ipc, opened, put_numbers
+from .blocks import MAX_RANGES, blocks, ipc, opened, put_numbers
 from .common import on_table, on_tables, table
 
 BLOCK_BYTES = 8 << 20
@@ -236,6 +236,7 @@ def _tokenized(ranges: int, rows: pa.Table) -> bytes:
     keep = ~np.repeat(whole, count)
     keep[starts] = True
     pieces = [p or [] for p in pieces] + [_matches(_text(t)) for t in bare]
+    run = run[keep]
     words = pa.array([w for p in pieces for w in p], pa.binary()).dictionary_encode()
     distinct = words.dictionary
     order = pc.sort_indices(distinct).to_numpy()
@@ -243,34 +244,72 @@ def _tokenized(ranges: int, rows: pa.Table) -> bytes:
     order = order[np.argsort(part[order], kind="stable")]  # by range, in order there: neighbours are alike and pack well
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
+    # frequent pieces get small numbers, whose upper bytes pack away; equally frequent ones follow their words
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    words_of = place[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+    begins = np.cumsum(sizes) - sizes
+    leads = np.where(sizes > 0, words_of[np.minimum(begins, max(0, len(words_of) - 1))], -1) if len(words_of) else np.full(len(sizes), -1)
+    often = np.lexsort((leads, -np.bincount(run, minlength=len(pieces))))
+    rank = np.empty(len(often), np.int64)
+    rank[often] = np.arange(len(often))
+    inside = np.arange(len(words_of)) - np.repeat(begins, sizes)
+    at = np.cumsum(sizes[often]) - sizes[often]
+    moved = np.empty_like(words_of)
+    moved[np.repeat(at[rank], sizes) + inside] = words_of
+    step = np.diff(moved, prepend=0)
     row = {
         "doc_id": rows["doc_id"].combine_chunks(),
         "lengths": pa.array(np.where(whole, 1, count)),
     }
     numbers = {
-        "run": run[keep],
-        "sizes": np.array([len(p) for p in pieces], np.int64),
-        "words_of": place[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64),
+        "run": rank[run],
+        "sizes": sizes[often],
+        "words_of": (step << 1) ^ (step >> 63),  # steps either way as numbers from 0
         "cut": np.searchsorted(part[order], np.arange(ranges + 1)),
     }
-    return b"".join(_framed(x) for x in (ipc(pa.table(row)), ipc(pa.table({"word": distinct.take(pa.array(order))})), *(ipc(pa.table({"x": [put_numbers(x)]}, schema=pa.schema([("x", pa.binary())]))) for x in numbers.values())))
+    return b"".join(_framed(x) for x in (ipc(pa.table(row)), ipc(pa.table({"word": distinct.take(pa.array(order))})), *map(_squeezed, numbers.values())))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 1 << 32 as their lowest bytes, then their next, and so on: bytes of a kind pack best together."""
+    width = len(put_numbers(x[:0] if not len(x) else np.array([x.max()]))) - 1
+    return bytes([max(0, width)]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : max(0, width)].T).tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    if not data[0]:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : data[0]] = planes.T
+    return wide.view("<i8").ravel()
 
 
 def _framed(data: bytes) -> bytes:
     return len(data).to_bytes(8, "little") + data
 
 
+def _unframed(data: bytes) -> list[bytes]:
+    parts, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        parts.append(data[at + 8 : at + 8 + size])
+        at += 8 + size
+    return parts
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    return ipc(pa.table({"x": [_planes(x.astype(np.int64))]}, schema=pa.schema([("x", pa.binary())])))
+
+
 class Block:
     """What _tokenized() packed."""
 
     def __init__(self, pack: bytes) -> None:
-        parts, at = [], 0
-        while at < len(pack):
-            size = int.from_bytes(pack[at : at + 8], "little")
-            parts.append(opened(pack[at + 8 : at + 8 + size]))
-            at += 8 + size
+        parts = [opened(x) for x in _unframed(pack)]
         self.doc_id, self.lengths, self.word = parts[0]["doc_id"], parts[0]["lengths"].to_numpy(), parts[1]["word"].combine_chunks()
-        self.run, self.sizes, self.words_of, self.cut = (get_numbers(p["x"][0].as_py()) for p in parts[2:])
+        self.run, self.sizes, steps, self.cut = (_numbers(p["x"][0].as_py()) for p in parts[2:])
+        self.words_of = np.cumsum((steps >> 1) ^ -(steps & 1))
 
 
 def _joined(values: pa.Array, at: np.ndarray, sizes: np.ndarray, between: bytes) -> pa.Array:
@@ -316,10 +355,17 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _replied(rows: pa.Table, coded: pa.Table) -> pa.Table:
-    """For each block that asked, its words' ids and decoded bytes in its own order."""
+    """For each block that asked, its words' decoded bytes, numbers of ids and ids, in its own order."""
     each, words = _known(rows)
     known = pa.concat_tables([opened(x.as_py()) for x in coded["coded"]]).sort_by("k").select(["ids", "decoded"]).combine_chunks()
-    replies = [ipc(known.take(pc.index_in(x, value_set=words).combine_chunks())) for x in each]
+    replies = []
+    for x in each:
+        own = known.take(pc.index_in(x, value_set=words).combine_chunks())
+        ids = own["ids"].combine_chunks()
+        # what was decoded goes back where it isn't the word that was asked for; null says that it is
+        back = pc.if_else(pc.equal(own["decoded"], x), pa.scalar(None, pa.binary()), own["decoded"])
+        size = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+        replies.append(_framed(ipc(pa.table({"decoded": back}))) + _framed(_squeezed(size)) + _framed(_squeezed(ids.flatten().to_numpy())))
     return pa.table({"part": rows["part"].combine_chunks(), "block": rows["block"].combine_chunks(), "reply": pa.array(replies, pa.binary())})
 
 
@@ -335,12 +381,12 @@ def _assembled(digest: bool, packs: pa.Table, replies: pa.Table) -> pa.Table:
     replies = replies.sort_by("part")
     for pack in packs["pack"]:  # one
         block = Block(pack.as_py())
-        coded = pa.concat_tables([opened(x.as_py()) for x in replies["reply"]] or [pa.table({"ids": pa.array([], pa.list_(pa.int32())), "decoded": pa.array([], pa.binary())})]).combine_chunks()
-        ids = coded["ids"].combine_chunks()
-        size = pc.list_value_length(ids).to_numpy().astype(np.int64)
-        numbers = ids.flatten().cast(pa.string()).cast(pa.large_binary())
+        told = [_unframed(x.as_py()) for x in replies["reply"]]
+        size, ids = (np.concatenate([np.zeros(0, np.int64), *(_numbers(opened(t[k])["x"][0].as_py()) for t in told)]) for k in (1, 2))
+        numbers = pa.array(ids).cast(pa.string()).cast(pa.large_binary())
         spelled = _joined(numbers, np.arange(len(numbers)), size, b" ")
-        back = coded["decoded"].combine_chunks().cast(pa.large_binary())
+        back = pa.chunked_array([c for t in told for c in opened(t[0])["decoded"].chunks], pa.binary()).combine_chunks()
+        back = pc.coalesce(back, block.word).cast(pa.large_binary())
         tokens = np.concatenate([[0], np.cumsum(size[block.words_of])])
         per_piece = np.concatenate([[0], np.cumsum(block.sizes)])
         tokens = (tokens[per_piece[1:]] - tokens[per_piece[:-1]])[block.run]
@@ -360,7 +406,7 @@ def code(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     """
     path = str(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    ranges = int(min(MAX_RANGES, max(1, -(-total // block_bytes))))
+    ranges = int(min(MAX_RANGES, max(1, -(-total // (4 * block_bytes)))))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data"))
     # formed in passing, so that one exchange of the blocks serves both passes
     packs = blocks(rows, block_bytes, partial(_tokenized, ranges)).select("block", "pack")

@@ -79,3 +79,22 @@ def test_pipeline_runs_whole(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     ids = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert 0.3 * n < len(ids) <= n
+
+
+def test_pipeline_of_odd_rows_and_of_none(spark, tmp_path):
+    """Null texts and ids, repeated rows and ties pass every stage; what is packed is what the stages kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.limit(40)
+    rows = odd.union(odd).union(odd.limit(2).selectExpr(*["CAST(NULL AS STRING) AS text" if c == "text" else c for c in odd.columns])).union(odd.limit(2).selectExpr(*["CAST(NULL AS BIGINT) AS doc_id" if c == "doc_id" else c for c in odd.columns]))
+    for name, table in (("odd", rows), ("none", docs.limit(0))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+    kept = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = kept.count()
+        kept = stage(spark, kept, str(tmp_path / "odd")).cache()
+        assert kept.columns == docs.columns and kept.count() <= before
+    assert kept.count() == kept.select("doc_id", "text").distinct().count()  # SimHash leaves one row of each group
+    packed = corpus_pipeline.run(spark, str(tmp_path / "odd"))
+    assert sorted(str(r.doc_id) for r in packed.where("piece = 0").collect()) == sorted(str(r.doc_id) for r in kept.collect())
