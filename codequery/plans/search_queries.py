@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation, search
-from .registry import frame, query
+from .registry import frame, oracle_sql, query
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _STEM = "CASE " + " ".join(f"WHEN ends_with(t, '{s}') AND length(t) > {len(s) + 3} THEN left(t, length(t) - {len(s)}){chr(32) + '||' + chr(32) + chr(39) + 'y' + chr(39) if s in T.TO_Y else ''}" for s in T.SUFFIXES) + " ELSE t END"
@@ -31,10 +33,15 @@ _BM25 = f"""{_DOCS}, {_QUERY},
    FROM post JOIN tdf USING (term) JOIN dl USING (k), st GROUP BY k)"""
 
 
+def spread(docs):
+    """The documents' ids and texts; dealt out only where the scan has fewer splits than there are cores."""
+    texts, cores = docs.select("doc_id", "text"), docs.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
+
+
 def corpus(spark, d):
     docs = frame(spark, d, "documents")
-    spread = docs.select("doc_id", "text").repartition(max(2, spark.sparkContext.defaultParallelism))
-    postings, lengths = search.index(T.terms(spread, "doc_id", "text"), "doc_id")
+    postings, lengths = search.index(T.terms(spread(docs), "doc_id", "text"), "doc_id")
     every = docs.select("doc_id").join(lengths, "doc_id", "left").na.fill(0, ["dl"])
     return docs, postings, every
 
@@ -49,7 +56,7 @@ def lexical(spark, d, limit=search.FIRST_STAGE):
 
 
 def semantic(spark, d, limit=search.FIRST_STAGE):
-    docs = frame(spark, d, "documents").select("doc_id", "text").repartition(max(2, spark.sparkContext.defaultParallelism))
+    docs = spread(frame(spark, d, "documents"))
     q = T.hashed(first_item(spark, d), "item_id", "text").select("bucket", F.col("weight").alias("qw"))
     scores = T.hashed(docs, "doc_id", "text").join(F.broadcast(q), "bucket").groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("score"))
     return search.ranked(scores, "doc_id", limit)
@@ -126,6 +133,34 @@ def hybrid_rrf(spark, d):
     return out.where("rank <= 10").select("doc_id", F.round("score", 6).alias("score"), "rank_semantic", "rank_lexical")
 
 
+_STORED: dict[tuple[str, str], tuple] = {}
+
+
+def stored_index(spark, d):
+    """Postings, lengths and vectors of all documents, written once a session below the warehouse, in the order of their keys."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _STORED:
+        place = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/index-{uuid.uuid4().hex}"
+        docs, postings, every = corpus(spark, d)
+        for name, rows, by in (("postings", postings, "term"), ("lengths", every, "doc_id"), ("vectors", T.hashed(spread(docs), "doc_id", "text"), "bucket")):
+            rows.repartitionByRange(by).sortWithinPartitions(by).write.parquet(f"{place}/{name}")
+        _STORED[key] = tuple(spark.read.parquet(f"{place}/{n}") for n in ("postings", "lengths", "vectors"))
+    return _STORED[key]
+
+
+@query("hybrid_stored", oracle_sql()["hybrid_rrf"])
+def hybrid_stored(spark, d):
+    """hybrid_rrf over a stored index: only the question's postings and buckets are read, by the order that they lie in."""
+    postings, every, vectors = stored_index(spark, d)
+    item = first_item(spark, d)
+    asked, wanted = T.terms(item, "item_id", "text").select("term").distinct(), T.hashed(item, "item_id", "text").select("bucket", F.col("weight").alias("qw"))
+    words, buckets = [r.term for r in asked.collect()], [r.bucket for r in wanted.collect()]  # of one question
+    lex = search.bm25(postings.where(F.col("term").isin(*words)), every, asked, "doc_id")
+    sem = vectors.where(F.col("bucket").isin(*buckets)).join(F.broadcast(wanted), "bucket").groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("score"))
+    out = search.fused({"lexical": search.ranked(lex, "doc_id", search.FIRST_STAGE), "semantic": search.ranked(sem, "doc_id", search.FIRST_STAGE)}, "doc_id")
+    return out.where("rank <= 10").select("doc_id", F.round("score", 6).alias("score"), "rank_semantic", "rank_lexical")
+
+
 @query("rrf_ties", "SELECT * FROM (VALUES ('y', 1, 0.032522), ('x', 2, 0.032266), ('z', 3, 0.016129)) AS t(id, rank, score)")
 def rrf_ties(spark, d):
     lists = {n: spark.createDataFrame([(x, i) for i, x in enumerate(xs, 1)], "id string, rank int") for n, xs in (("lexical", "xy"), ("semantic", "yzx"))}
@@ -167,8 +202,7 @@ def rank_metrics(spark, d):
     docs, items = frame(spark, d, "documents"), frame(spark, d, "benchmark")
     # a substring join: broadcast of the small fixed benchmark set
     relevant = docs.join(F.broadcast(items.select("item_id", F.col("text").alias("_p"))), F.col("text").contains(F.col("_p"))).select("item_id", "doc_id")
-    spread = docs.select("doc_id", "text").repartition(max(2, spark.sparkContext.defaultParallelism))
-    scores = T.terms(spread, "doc_id", "text").distinct().join(F.broadcast(T.terms(items, "item_id", "text").distinct()), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
+    scores = T.terms(spread(docs), "doc_id", "text").distinct().join(F.broadcast(T.terms(items, "item_id", "text").distinct()), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
     results = scores.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")))
     return evaluation.rank_metrics(results, relevant, "item_id", "doc_id", 10)
 
@@ -187,7 +221,7 @@ def lexical_set(spark, d, items, limit=search.FIRST_STAGE):
 
 
 def semantic_set(spark, d, items, limit=search.FIRST_STAGE):
-    docs = frame(spark, d, "documents").select("doc_id", "text").repartition(max(2, spark.sparkContext.defaultParallelism))
+    docs = spread(frame(spark, d, "documents"))
     q = T.hashed(items, "item_id", "text").withColumnRenamed("weight", "qw")
     scores = T.hashed(docs, "doc_id", "text").join(q, "bucket").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("score"))
     return search.ranked(scores, "doc_id", limit, "item_id")
