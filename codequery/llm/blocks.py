@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Of compression: a little slower than the library's own, and a tenth smaller.
-LEVEL = 6
 #: Blocks of one partition are numbered below 1 << SEQ_BITS.
 SEQ_BITS = 14
 #: Beyond so many ranges a block's share of one would be a few hundred bytes.
@@ -29,9 +27,10 @@ MAX_RANGES = 1 << 17
 RANGE_BYTES = 16 << 20
 
 
-def ipc(rows: pa.Table) -> bytes:
+def ipc(rows: pa.Table, level: int = 1) -> bytes:
+    """The rows compressed, at zstd's level."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as writer:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as writer:
         writer.write_table(rows.combine_chunks())
     return sink.getvalue().to_pybytes()
 
