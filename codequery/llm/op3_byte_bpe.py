@@ -8,16 +8,20 @@ into one value.
 Words travel, texts hardly: documents lie in blocks of bounded bytes; a block sends its distinct words, by range of
 their hash; a range's words are told apart, encoded and decoded as rows of their own, and go back to the blocks that
 asked, in the blocks' own order. There a document's ids and decoded bytes are those of its words, put together.
+
+Words that are frequent in a bounded sample are coded first, by the same folds, and told to every block; so a block asks
+only for the rest. Whichever words these are, the result is the same.
 """
 
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import cache, lru_cache, partial
 
 import numpy as np
 import public_tokenizers
@@ -31,7 +35,11 @@ from pyspark.sql import functions as F
 from .blocks import MAX_RANGES, blocks, ipc, opened, put_numbers
 from .common import on_table, on_tables, table
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Text of a range of words, in blocks.
+RANGE_BLOCKS = 8
+#: Bytes of the sample (of less than SHARE of all), and how many words of it, and how long ones, are told to every block.
+SAMPLE_BYTES, SHARE, COMMON, COMMON_BYTES = 32 << 20, 1 / 8, 1 << 17, 64
 NEVER = 1 << 17
 #: Of compression: blocks are a tenth smaller than at the usual level.
 LEVEL = 6
@@ -216,13 +224,12 @@ def _part_of(words: pa.Array, ranges: int) -> np.ndarray:
     return (((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
-def _tokenized(ranges: int, rows: pa.Table) -> bytes:
-    """A block of (doc_id, data) as its distinct words, by range and in order there, and numbers.
+def _pieces(data: pa.Array) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """The words of each distinct piece, the texts' runs of pieces in a row, and each text's number of them.
 
     A text is a run of pieces: what stands before its first space, and each chunk after one with that space; a text
     with other white space beside a space is one piece. A piece is a run of words.
     """
-    data = rows["data"].combine_chunks().fill_null(b"")
     parts = pc.split_pattern(data, b" ")
     starts, count = parts.offsets.to_numpy()[:-1].astype(np.int64), pc.list_value_length(parts).to_numpy().astype(np.int64)
     coded = parts.flatten().dictionary_encode()
@@ -238,14 +245,24 @@ def _tokenized(ranges: int, rows: pa.Table) -> bytes:
     keep = ~np.repeat(whole, count)
     keep[starts] = True
     pieces = [p or [] for p in pieces] + [_matches(_text(t)) for t in bare]
-    run = run[keep]
+    return pieces, run[keep], np.where(whole, 1, count)
+
+
+def _tokenized(ranges: int, common: bytes, rows: pa.Table) -> bytes:
+    """A block of (doc_id, data) as its distinct words that aren't common, by range and in order there, and numbers.
+
+    A word's number is its place among these, or how many they are and its place among the common ones.
+    """
+    pieces, run, lengths = _pieces(rows["data"].combine_chunks().fill_null(b""))
     words = pa.array([w for p in pieces for w in p], pa.binary()).dictionary_encode()
-    distinct = words.dictionary
+    told = pc.index_in(words.dictionary, value_set=opened(common)["word"].combine_chunks())
+    asked = np.flatnonzero(told.is_null().to_numpy(zero_copy_only=False))
+    distinct = words.dictionary.take(pa.array(asked))
     order = pc.sort_indices(distinct).to_numpy()
     part = _part_of(distinct, ranges)
     order = order[np.argsort(part[order], kind="stable")]  # by range, in order there: neighbours are alike and pack well
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = len(asked) + told.fill_null(0).to_numpy().astype(np.int64)
+    place[asked[order]] = np.arange(len(order))
     # frequent pieces get small numbers, whose upper bytes pack away; equally frequent ones follow their words
     sizes = np.array([len(p) for p in pieces], np.int64)
     words_of = place[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
@@ -261,7 +278,7 @@ def _tokenized(ranges: int, rows: pa.Table) -> bytes:
     step = np.diff(moved, prepend=0)
     row = {
         "doc_id": rows["doc_id"].combine_chunks(),
-        "lengths": pa.array(np.where(whole, 1, count)),
+        "lengths": pa.array(lengths),
     }
     numbers = {
         "run": rank[run],
@@ -375,24 +392,66 @@ def _replied(rows: pa.Table, coded: pa.Table) -> pa.Table:
     return pa.table({"part": rows["part"].combine_chunks(), "block": rows["block"].combine_chunks(), "reply": pa.array(replies, pa.binary())})
 
 
+@cache
+def _libc():
+    return ctypes.CDLL(None)
+
+
+def _lean(f, *given):
+    """f(*given); what was freed on the way goes back to the system, as idle Python workers keep what they hold."""
+    out = f(*given)
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+    return out
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of some texts that are short enough to be common, and how often they occur."""
+    for batch in batches:
+        pieces, run, _ = _pieces(batch.column("data").fill_null(b""))
+        words = pa.array([w for p in pieces for w in p], pa.binary()).dictionary_encode()
+        often = np.repeat(np.bincount(run, minlength=len(pieces)), [len(p) for p in pieces])
+        n = np.bincount(words.indices.to_numpy(), often, len(words.dictionary)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+        counted = pa.RecordBatch.from_arrays([words.dictionary, pa.array(n)], ["word", "n"])
+        yield counted.filter(pc.less_equal(pc.binary_length(words.dictionary), COMMON_BYTES))
+
+
+def _common(rows: DataFrame, total: int, path: str) -> bytes:
+    """(word, ids, decoded) of the words that are most frequent in a sample, coded by the folds.
+
+    Only how much blocks ask for depends on the sample.
+    """
+    if not total:
+        return _packed(pa.table({"word": pa.array([], pa.binary()), "ids": pa.array([], pa.list_(pa.int32())), "decoded": pa.array([], pa.binary())}))
+    some = rows.where(F.rand(1) < min(SHARE, SAMPLE_BYTES / total)).select("data")
+    counted = some.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    often = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(COMMON).select("word").repartition(16)
+    plain = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.conv(F.hex(F.substring("word", i, F.lit(1))), 16, 10).cast("int"))
+    ids = often.select("word", encoded(plain, path).alias("ids"))
+    told = ids.select("word", "ids", decoded(F.col("ids"), path).alias("decoded")).toArrow().sort_by("word")
+    return _packed(told.cast(pa.schema([("word", pa.binary()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])))
+
+
 CODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _assembled(digest: bool, packs: pa.Table, replies: pa.Table) -> pa.Table:
-    """Each document's ids and bytes: those of its pieces, which are those of their words."""
+def _assembled(digest: bool, common: bytes, packs: pa.Table, replies: pa.Table) -> pa.Table:
+    """Each document's ids and bytes: those of its pieces, which are those of their words, asked for or common."""
     names = [f.split()[0] for f in (DIGEST if digest else CODED).split(", ")]
     kinds = (pa.int64(), pa.int64(), *((pa.string(),) * 2 if digest else (pa.binary(),) * 2))
     out = [pa.table([pa.array([], t) for t in kinds], names=names)]
-    replies = replies.sort_by("part")
+    replies, common = replies.sort_by("part"), opened(common).combine_chunks()
     for pack in packs["pack"]:  # one
         block = Block(pack.as_py())
         told = [_unframed(x.as_py()) for x in replies["reply"]]
         size, ids = (np.concatenate([np.zeros(0, np.int64), *(_numbers(opened(t[k])["x"][0].as_py()) for t in told)]) for k in (1, 2))
+        size, ids = (np.concatenate([own, f(common["ids"]).to_numpy()]) for own, f in ((size, pc.list_value_length), (ids, pc.list_flatten)))
         numbers = pa.array(ids).cast(pa.string()).cast(pa.large_binary())
         spelled = _joined(numbers, np.arange(len(numbers)), size, b" ")
         back = pa.chunked_array([c for t in told for c in opened(t[0])["decoded"].chunks], pa.binary()).combine_chunks()
-        back = pc.coalesce(back, block.word).cast(pa.large_binary())
+        back = pa.concat_arrays([pc.coalesce(back, block.word), *common["decoded"].chunks]).cast(pa.large_binary())
         tokens = np.concatenate([[0], np.cumsum(size[block.words_of])])
         per_piece = np.concatenate([[0], np.cumsum(block.sizes)])
         tokens = (tokens[per_piece[1:]] - tokens[per_piece[:-1]])[block.run]
@@ -412,16 +471,17 @@ def code(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     """
     path = str(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    ranges = int(min(MAX_RANGES, max(1, -(-total // (4 * block_bytes)))))
+    ranges = int(min(MAX_RANGES, max(1, -(-total // (RANGE_BLOCKS * block_bytes)))))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data"))
+    common = _common(rows, total, path)
     # formed in passing, so that one exchange of the blocks serves both passes
-    packs = blocks(rows, block_bytes, partial(_tokenized, ranges)).select("block", "pack")
-    sent = packs.groupBy("block").applyInArrow(on_table(_sent), "part int, block long, words binary")
-    words = sent.groupBy("part").applyInArrow(on_table(_distinct), "part int, k int, word array<int>")
+    packs = blocks(rows, block_bytes, partial(_lean, _tokenized, ranges, common)).select("block", "pack")
+    sent = packs.groupBy("block").applyInArrow(on_table(_lean, _sent), "part int, block long, words binary")
+    words = sent.groupBy("part").applyInArrow(on_table(_lean, _distinct), "part int, k int, word array<int>")
     ids = words.select("part", "k", encoded(F.col("word"), path).alias("ids"))
     coded = ids.select("part", "k", "ids", decoded(F.col("ids"), path).alias("decoded")).mapInArrow(_gathered, "part int, coded binary")
-    replied = sent.groupBy("part").cogroup(coded.groupBy("part")).applyInArrow(on_tables(_replied), "part int, block long, reply binary")
-    return packs.groupBy("block").cogroup(replied.groupBy("block")).applyInArrow(on_tables(_assembled, digest), DIGEST if digest else CODED)
+    replied = sent.groupBy("part").cogroup(coded.groupBy("part")).applyInArrow(on_tables(_lean, _replied), "part int, block long, reply binary")
+    return packs.groupBy("block").cogroup(replied.groupBy("block")).applyInArrow(on_tables(_lean, _assembled, digest, common), DIGEST if digest else CODED)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

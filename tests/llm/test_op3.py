@@ -1,6 +1,9 @@
 import hashlib
+import subprocess
+import sys
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -12,6 +15,23 @@ EDGES = ["", " ", "  \n\n x", "'s 'll don't", "naïve 日本語 \U0001f600\U0001
 LONG = ["日本語の長い文は空白なしで続く" * 40, "\n" * 999, "aaaaaaab" * 300, "z" * 20_001, "donaudampfschifffahrtsgesellschaft" * 30]
 
 
+#: Prints by how much a process has grown after one block of as many different words as 4 MB hold.
+GIVEN_BACK = """
+import pyarrow as pa
+from codequery.llm import op3_byte_bpe as op3
+
+held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+words = lambda n, k: " ".join(f"w{i:x}{k}" for i in range(n)).encode()
+rows = lambda n: pa.table({"doc_id": range(100), "data": [words(n, k) for k in range(100)]})
+common = op3._packed(pa.table({"word": pa.array([], pa.binary())}))
+op3._lean(op3._tokenized, 2, common, rows(10))
+block = rows(6000)
+before = held()
+op3._lean(op3._tokenized, 2, common, block)
+print(held() - before)
+"""
+
+
 @pytest.fixture(scope="module")
 def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=op3.ranks_of(PATH), special_tokens={})
@@ -52,3 +72,30 @@ def test_documents_equal_library(spark, library):
 def test_decoding_by_the_fold_is_in_the_plan(spark):
     plan = op3.op3_byte_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().treeString()
     assert "decoded" in plan and "aggregate(" in plan
+
+
+def test_blocks_ask_for_no_common_words_and_give_the_same(spark):
+    words = [b"the", b" the", b" fox"]
+    common = op3._packed(pa.table({"word": words}))
+    rows = pa.table({"doc_id": [1, 2], "data": [b"the fox the  ox", b" the quick"]})
+    assert sorted(op3.Block(op3._tokenized(4, common, rows)).word.to_pylist()) == [b" ", b" ox", b" quick"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    told = op3.opened(op3._common(docs.select(F.col("text").cast("binary").alias("data")), total, PATH))
+    ranks, pieces = op3.ranks_of(PATH), {v: k for k, v in op3.ranks_of(PATH).items()}
+    assert 0 < told.num_rows <= op3.COMMON and told["word"].to_pylist() == sorted(set(told["word"].to_pylist()))
+    for r in told.to_pylist():
+        assert r["ids"] == op3.merged(r["word"], ranks) and r["decoded"] == r["word"] == b"".join(pieces[i] for i in r["ids"])
+
+
+def test_python_workers_give_back_what_blocks_took():
+    """Before, the process held 45 MB more after the call than before it; now 11 MB."""
+    told = subprocess.run([sys.executable, "-c", GIVEN_BACK], capture_output=True, text=True, check=True, timeout=300)
+    assert int(told.stdout) < 28 << 20
+
+
+def test_tables_so_small_that_the_sample_is_empty(spark, library):
+    for texts in (["one two one two"], ["", None], [" ", "x"]):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = sorted((r.doc_id, bytes(r.ids).decode(), bytes(r.decoded).decode()) for r in op3.code(df).collect())
+        assert got == [(i, " ".join(map(str, library.encode_ordinary(t or ""))), t or "") for i, t in enumerate(texts)]
