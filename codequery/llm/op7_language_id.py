@@ -2,8 +2,9 @@
 
 Subwords are the byte 2-, 3- and 4-grams of the whole text, A-Z lower-cased, each hashed into a bucket with an
 embedding. A text is the mean of its embeddings; a softmax layer reads it. Training is stochastic gradient
-descent in numpy on a bounded sample (SAMPLE_DOCS labelled documents); part of it calibrates the temperature of the
-scores and the score below which a prediction is rejected. For prediction the two linear layers are one table.
+descent in numpy on a bounded sample (SAMPLE_DOCS labelled documents), in one task; part of it calibrates the
+temperature of the scores and the score below which a prediction is rejected. For prediction the two linear layers are
+one table, which is all that the driver gets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ UNKNOWN = "und"
 REJECTED_SHARE = 0.001
 _letter = regex.compile(r"\p{L}")
 _MIX = {2: 0x9E3779B1, 3: 0x85EBCA77, 4: 0xC2B2AE3D}
+_MODEL = pa.schema([("langs", pa.list_(pa.string())), ("table", pa.binary()), ("bias", pa.binary()), ("temperature", pa.float64()), ("threshold", pa.float64())])
 
 
 def bag(data: bytes, bits: int = BITS) -> np.ndarray:
@@ -114,11 +116,17 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int
     return model
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of a partition's languages and texts, as one row."""
+    got = []
     for batch in batches:
-        found = [bag(x or b"") for x in batch.column(1).to_pylist()]
-        some = [np.flatnonzero(x) for x in found]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype("<u2").tobytes() for s in some], pa.binary()), pa.array([x[s].astype("<u4").tobytes() for x, s in zip(found, some, strict=True)], pa.binary())], ["lang", "at", "counts"])
+        for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts = bag(data)
+            at = np.flatnonzero(counts)
+            got.append((lang, at.astype("<u2").tobytes(), counts[at].astype("<u4").tobytes()))
+    got.sort()
+    model = train([(np.frombuffer(a, "<u2"), np.frombuffer(c, "<u4")) for _, a, c in got], [x for x, _, _ in got])
+    yield pa.RecordBatch.from_pylist([{"langs": model.langs, "table": model.table.tobytes(), "bias": model.bias.tobytes(), "temperature": model.temperature, "threshold": model.threshold}], _MODEL)
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -128,9 +136,11 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("data"), F.col(lang).cast("string").alias("lang"))
     usable = (fold(F.col("doc_id"), FOLDS) != HELD) & F.col("lang").isNotNull() & F.col("data").isNotNull()
-    got = sampled(rows.where(usable), sample_docs, "doc_id", "lang").select("lang", "data").mapInArrow(_bags, "lang string, at binary, counts binary").collect()
-    got = sorted((r.lang, bytes(r.at), bytes(r.counts)) for r in got)
-    return train([(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(np.float64)) for _, a, c in got], [x for x, _, _ in got])
+    few = sampled(rows.where(usable), sample_docs, "doc_id", "lang").select("lang", "data").coalesce(1)
+    got = few.mapInArrow(_taught, "langs array<string>, table binary, bias binary, temperature double, threshold double").first()
+    if got is None or not got.langs:
+        return train([], [])
+    return Model(got.langs, np.frombuffer(got.table, np.float32).reshape(-1, len(got.langs)), np.frombuffer(got.bias, np.float32), got.temperature, got.threshold)
 
 
 def _predicted(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

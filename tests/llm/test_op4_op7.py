@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -120,6 +122,25 @@ def test_language_learns_from_every_language_however_often_ids_repeat(spark):
     assert set(op7.learn(docs, sample_docs=20).langs) >= {"zz"}
 
 
+def test_language_is_learned_beside_the_driver(spark):
+    """The sample's bags stay in a task; the driver's Python gets the model alone, the one that train() makes of the same texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    tracemalloc.start()
+    try:
+        model = op7.learn(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.table.shape == (1 << op7.BITS, len(model.langs)) and peak < 4 * model.table.nbytes + (4 << 20)
+    few = docs.where("lang is not null and text is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").limit(60)
+    bags = sorted((r.lang, *(x.tobytes() for x in op7_bag(r.text.encode()))) for r in few.collect())
+    order = sorted((lang, np.frombuffer(a, np.int64).astype("<u2").tobytes(), np.frombuffer(c).astype("<u4").tobytes()) for lang, a, c in bags)
+    here = op7.train([(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(np.float64)) for _, a, c in order], [x for x, _, _ in order])
+    there = op7.learn(few)
+    assert there.langs == here.langs and np.allclose(there.table, here.table, atol=1e-4) and np.allclose(there.bias, here.bias, atol=1e-4)
+    assert np.isclose(there.temperature, here.temperature) and np.isclose(there.threshold, here.threshold, atol=1e-4)
+
+
 def test_quality_shift_puts_the_prior_above_half():
     scores = np.random.default_rng(8).beta(2, 3, 50_000)
     b = op4.shift(np.histogram(scores, 10_000, (0, 1))[0], 0.6)
